@@ -38,19 +38,8 @@ def recency_share(position: Column, size: Column) -> Column:
     return F.when(position == 0, F.lit(0.0)).otherwise(F.try_divide(position, size - 1))
 
 
-def action_rating(action: Column, share: Column, mix: Column) -> Column:
-    """Position inside the band of the action.
-
-    The bands stack: page views from 0, carts on top of them, purchases on top of
-    both, each as wide as the action's share of all events in percent.
-    """
-    page, cart, bought = (mix[n] for n in ("page", "cart", "purchase"))
-    low = F.when(action == "Product_Page", F.lit(0.0)).when(action == "Cart_Add", page).otherwise(cart + page)
-    high = (
-        F.when(action == "Product_Page", page)
-        .when(action == "Cart_Add", cart + page)
-        .otherwise(cart + page + bought)
-    )
+def action_rating(low: Column, high: Column, share: Column) -> Column:
+    """Position inside the band of the action, the newest event at its high end."""
     return high - (high - low) * share
 
 

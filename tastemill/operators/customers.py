@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions import dates, fixed, text
-from tastemill.operators.keys import attach_per_key, first_per_key, key_counts, union_distinct, with_keys, without_keys
+from tastemill.operators.keys import attach_per_key, first_per_key, union_distinct, with_keys, without_keys
 from tastemill.operators.sales import known_customers
 
 PROFILE = ["cust_id", "prefix", "first_name", "middle_initial", "last_name"]
@@ -67,7 +67,7 @@ def clienteling_transactions(lines: DataFrame, sources: DataFrame, digital: Data
 def channel_count(visits: DataFrame) -> DataFrame:
     """Visits with the number of distinct channels of their customer."""
     counted = visits.groupBy("cust_id").agg(F.count_distinct("channel").alias("channel_count"))
-    return attach_per_key(visits, counted, key_counts(visits, ["cust_id"]), ["cust_id"])
+    return attach_per_key(visits, counted, ["cust_id"])
 
 
 def customer_channel_status(visits: DataFrame) -> DataFrame:

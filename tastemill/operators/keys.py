@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from tastemill.session import cut
 
-# A key is hot when it holds more than one row in HOT_SHARE. At most HOT_SHARE - 1
-# keys can, whatever the data, so a list of hot keys is always safe to broadcast.
+# A key is hot when it holds more than one row in HOT_SHARE, and enough rows to keep a
+# task busy. At most HOT_SHARE - 1 keys can hold that share, whatever the data, so a
+# list of hot keys is always safe to broadcast.
 HOT_SHARE = 1000
+HOT_ROWS = 100_000
 
 
 def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -59,23 +61,26 @@ def key_counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return drop_incomplete(df.select(*keys)).groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def hot_keys(counts: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], name: str = "n", min_rows: int = HOT_ROWS) -> DataFrame:
     """Keys that hold more than one row in ``HOT_SHARE``; fewer than ``HOT_SHARE`` rows."""
     total = counts.agg(F.sum(name)).scalar()
-    return counts.where(F.col(name) * HOT_SHARE > total).select(*keys)
+    n = F.col(name)
+    return counts.where((n * HOT_SHARE > total) & (n > min_rows)).select(*keys)
 
 
-def attach_per_key(rows: DataFrame, lookup: DataFrame, counts: DataFrame, keys: list[str],
-                   how: str = "inner", slices: int = 64, name: str = "n") -> DataFrame:
-    """Join rows to a lookup with one row per key, hot keys cut into slices.
+def attach_per_key(rows: DataFrame, lookup: DataFrame, keys: list[str], slices: int = 64,
+                   min_rows: int = HOT_ROWS) -> DataFrame:
+    """Inner join of rows to a lookup with one row per key, hot keys cut into slices.
 
-    ``counts`` holds the rows per key. A lookup aggregated on the join key keeps its
-    partitioning, and AQE cannot split such a join; so the rows of a hot key get a
-    slice number and its lookup row is repeated once per slice. The slice depends on
-    the row and its input partition, never on a random number, so a lost task
-    that is run again puts the same rows in the same slices.
+    A lookup aggregated on the join key keeps its partitioning, and AQE cannot split
+    such a join. So the rows of a hot key get a slice number, and its lookup row is
+    repeated once per slice. The slice depends on the row and its input partition,
+    never on a random number, so a lost task that runs again fills the same slices.
     """
-    hot = F.broadcast(hot_keys(counts, keys, name).withColumn("_hot", F.lit(True)))
+    hot = cut(hot_keys(key_counts(rows, keys), keys, min_rows=min_rows), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(lookup, keys)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(slices)).cast("int")
     sliced = rows.join(hot, keys, "left").withColumn("_slice", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")
     every = F.sequence(F.lit(0), F.lit(slices - 1))
@@ -84,7 +89,7 @@ def attach_per_key(rows: DataFrame, lookup: DataFrame, counts: DataFrame, keys:
         .withColumn("_slice", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
         .drop("_hot")
     )
-    return sliced.join(copies, [*keys, "_slice"], how).drop("_slice")
+    return sliced.join(copies, [*keys, "_slice"]).drop("_slice")
 
 
 def ordered_index(labels: DataFrame, order: list[Column], name: str) -> DataFrame:
@@ -92,11 +97,11 @@ def ordered_index(labels: DataFrame, order: list[Column], name: str) -> DataFram
 
     The sort leaves every partition a contiguous range; a row's number is its position
     in the partition plus the sizes of the partitions before it. The ranges are fixed
-    by a checkpoint first, since they would be sampled anew on every evaluation.
+    by a cut first, since they would be sampled anew on every evaluation.
     The order must be total.
     """
     position = F.monotonically_increasing_id()
-    ranged = cut(labels.orderBy(*order).withColumn("_at", position))
+    ranged = cut(labels.orderBy(*order).withColumn("_at", position), "ranges")
     partition = F.shiftrightunsigned("_at", 33)
     within = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranged.groupBy(partition.alias("_part")).agg(F.count("*").alias("_size"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import fixed, scoring
 from tastemill.operators import filters
-from tastemill.operators.keys import HOT_SHARE, key_counts
+from tastemill.operators.keys import HOT_ROWS, hot_keys, key_counts
+from tastemill.session import cut
 
 GROUP = ["cust_id", "action_type"]
 EVENT = ["cust_id", "web_item_id", "date_time", "action_type", "regular_price"]
@@ -29,31 +30,32 @@ def union_actions(purchases: DataFrame, clicks: DataFrame) -> DataFrame:
     return bought.select(*EVENT).unionByName(clicks.select(*EVENT))
 
 
-def _supported(rows: DataFrame, key: str, low: int, high: int, closed: bool) -> DataFrame:
-    """Rows whose key occurs more than ``low`` and up to (or below) ``high`` times.
-
-    Keys far above the bound fail anyway. Those that would also crowd one task are
-    few, so they leave by a broadcast before the rows meet the list of good keys.
-    """
-    counts = key_counts(rows, [key])
+def _support(events: DataFrame, key: str, low: int, high: int, closed: bool) -> tuple[DataFrame, DataFrame]:
+    """Keys with enough but not too many events, and the hot ones among the rest."""
+    counts = cut(key_counts(events, [key]), "support")
     n = F.col("n")
-    total = counts.agg(F.sum("n")).scalar()
-    crowd = counts.where((n > high) & (n * HOT_SHARE > total)).select(key)
     good = counts.where((n > low) & ((n <= high) if closed else (n < high))).select(key)
-    return rows.join(F.broadcast(crowd), key, "left_anti").join(good, key, "left_semi")
+    hot = hot_keys(counts, [key], min_rows=max(high, HOT_ROWS))
+    return good, hot
 
 
 def frequency_support_filter(events: DataFrame, customers: tuple[int, int], items: tuple[int, int]) -> DataFrame:
     """Keep events of customers and items with enough, but not too many, events.
 
     Both counts are taken on all events. Customers may reach their upper bound,
-    items must stay below theirs.
+    items must stay below theirs. A hot key lies above its bound and fails anyway; there
+    are few of them, so they leave by a broadcast and never crowd a shuffle task.
     """
-    item_counts = key_counts(events, ["web_item_id"])
-    kept = _supported(events, "cust_id", *customers, closed=True)
-    n = F.col("n")
-    good = item_counts.where((n > items[0]) & (n < items[1])).select("web_item_id")
-    return kept.join(good, "web_item_id", "left_semi")
+    supports = {
+        "cust_id": _support(events, "cust_id", *customers, closed=True),
+        "web_item_id": _support(events, "web_item_id", *items, closed=False),
+    }
+    for key, (_, hot) in supports.items():
+        if not hot.isEmpty():
+            events = events.join(F.broadcast(hot), key, "left_anti")
+    for key, (good, _) in supports.items():
+        events = events.join(good, key, "left_semi")
+    return events
 
 
 def action_mix(events: DataFrame) -> DataFrame:
@@ -63,12 +65,17 @@ def action_mix(events: DataFrame) -> DataFrame:
     return counts.withColumn("percent_dist", F.col("action_count") / total * 100)
 
 
-def mix_row(mix: DataFrame) -> DataFrame:
-    """The three shares as one row with one struct; 0 for an action that never occurs."""
-    share = lambda a: F.coalesce(F.max(F.when(F.col("action_type") == a, F.col("percent_dist"))), F.lit(0.0))
-    return mix.agg(F.struct(
-        share("Product_Page").alias("page"), share("Cart_Add").alias("cart"), share("Purchase").alias("purchase"),
-    ).alias("mix"))
+def action_bands(mix: DataFrame) -> DataFrame:
+    """Low and high end of the rating band per action, in percent.
+
+    The bands stack: page views from 0, carts on top of them, purchases on top of
+    both, each as wide as the action's share of all events. One row per action.
+    """
+    place = F.when(F.col("action_type") == "Product_Page", 0).when(F.col("action_type") == "Cart_Add", 1).otherwise(2)
+    stacked = Window.orderBy(place)
+    high = F.sum("percent_dist").over(stacked)
+    low = F.coalesce(F.sum("percent_dist").over(stacked.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return mix.select("action_type", low.alias("low"), high.alias("high"))
 
 
 def recency_position(events: DataFrame, bounded: bool = False) -> DataFrame:
@@ -107,11 +114,22 @@ def training_events(supported: DataFrame, begin: dt.date, end: dt.date) -> DataF
 
 def action_ratings(purchases: DataFrame, views: DataFrame, customers: tuple[int, int], items: tuple[int, int],
                    begin: dt.date, end: dt.date, divisions: tuple = fixed.EXCLUDED_DIVISION_NAMES) -> DataFrame:
-    """Rating of every event: newer is higher, and purchases rate above carts above views."""
-    supported = frequency_support_filter(union_actions(purchases, usable_clicks(views, divisions)), customers, items)
-    mix = mix_row(action_mix(supported)).scalar()
-    placed = recency_position(training_events(supported, begin, end), bounded=True)
-    return placed.withColumn("rating", scoring.action_rating(F.col("action_type"), F.col("pu"), mix))
+    """Rating of every event: newer is higher, and purchases rate above carts above views.
+
+    Events are cut once, since both supports count them, and the supported events
+    once, since the mix and the training rows read them.
+    """
+    events = cut(union_actions(purchases, usable_clicks(views, divisions)), "actions")
+    supported = cut(frequency_support_filter(events, customers, items), "supported")
+    return rate_events(supported, training_events(supported, begin, end))
+
+
+def rate_events(supported: DataFrame, training: DataFrame) -> DataFrame:
+    """Ratings of training events from the action mix of the supported events."""
+    bands = F.broadcast(action_bands(action_mix(supported)))
+    placed = recency_position(training, bounded=True).join(bands, "action_type")
+    rating = scoring.action_rating(F.col("low"), F.col("high"), F.col("pu"))
+    return placed.withColumn("rating", rating).drop("low", "high")
 
 
 def holdout_pairs(supported: DataFrame, begin: dt.date, end: dt.date) -> DataFrame:

@@ -9,7 +9,8 @@ from tastemill.functions import fixed, scoring
 from tastemill.functions.text import concat_key
 from tastemill.levels import Level
 from tastemill.operators.filters import UNKNOWN_KEY, coalesce_counts
-from tastemill.operators.keys import attach_per_key, key_counts
+from tastemill.operators.keys import attach_per_key, key_counts, without_keys
+from tastemill.session import cut
 
 
 def with_category(df: DataFrame, level: Level) -> DataFrame:
@@ -101,12 +102,11 @@ def combined_rating(profile: DataFrame, ratings: DataFrame, score: str = "score"
     held = profile.select("cust_id", F.struct(*[c for c in profile.columns if c != "cust_id"]).alias("_row"))
     # At most the n rows of top_n_per_customer, so the array is small.
     packed = held.groupBy("cust_id").agg(F.collect_list("_row").alias("_rows"))
-    rated = ratings.select("cust_id", "rating")
-    counts = key_counts(rated, ["cust_id"])
+    rated = cut(ratings.select("cust_id", "rating"), "ratings")
     matched = (
-        attach_per_key(rated, packed, counts, ["cust_id"])
+        attach_per_key(rated, packed, ["cust_id"])
         .select("cust_id", "rating", F.explode("_rows").alias("_row"))
         .select("cust_id", "_row.*", (F.col(f"_row.{score}") + F.col("rating")).alias("combined_rating"))
     )
-    unrated = profile.join(counts, "cust_id", "left_anti").withColumn("combined_rating", F.lit(0.0))
+    unrated = without_keys(profile, rated.select("cust_id").distinct()).withColumn("combined_rating", F.lit(0.0))
     return matched.withColumn("combined_rating", F.coalesce("combined_rating", F.lit(0.0))).unionByName(unrated)

@@ -15,6 +15,7 @@ from tastemill.plans.registry import (
 )
 from tastemill.plans.scalar_queries import MERCH
 from tastemill.plans.sales_queries import WORDS
+from tastemill.session import cut
 
 CLICK_VIEWS = ["clickstream", "cookie_map", "catalog", "product"]
 STAMP = dt.datetime(2001, 8, 1, 6, 0, 0)
@@ -309,7 +310,7 @@ def actions(d):
 
 
 def supported(d):
-    return ratings.frequency_support_filter(actions(d), CUSTOMER_SUPPORT, ITEM_SUPPORT)
+    return ratings.frequency_support_filter(cut(actions(d), "actions"), CUSTOMER_SUPPORT, ITEM_SUPPORT)
 
 
 def rated(d):

@@ -43,15 +43,34 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/tastemill/{spark.sparkContext.applicationId}"
+
+
 def fresh_folder(spark: SparkSession, label: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tastemill/{label}-{uuid.uuid4().hex}"
+    """A new, unused path in this application's part of the shared folder."""
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, label: str = "cut") -> DataFrame:
+    """Write an intermediate result to the shared folder and go on from there.
+
+    The plan behind it runs once, however often the result is read, and the loss of
+    executors costs nothing that was written. Parquet rather than ``checkpoint()``:
+    that would run the plan twice, and its files know neither columns nor sizes,
+    so the planner could neither prune nor pick a broadcast by size.
+    """
+    path = fresh_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the shared folder; survives the loss of executors."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def release_cuts(spark: SparkSession) -> bool:
+    """Remove what this application has cut. Frames read from it are unusable afterwards."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", **extra: str) -> SparkSession:
