@@ -36,13 +36,17 @@ def parse_product_list(clicks: DataFrame) -> DataFrame:
 
 def click_items(clicks: DataFrame, begin: dt.date, end: dt.date, chain: str | None = None,
                 prefix: str = fixed.ITEM_PREFIX) -> DataFrame:
-    """Item-level clicks other than purchases, each once."""
+    """Item-level clicks other than purchases, each once.
+
+    Only what the later joins read is kept, so copies fold on the map side.
+    """
     good = filters.click_quality_filter(clicks, begin, end, chain)
     action = text.action_type(F.col("pagename"), F.col("purchase_id"))
     # The action is settled before the list is opened: fewer rows to explode.
     acted = good.withColumn("action_type", action).where(F.col("action_type") != "Purchase")
-    items = parse_product_list(acted.select("date_time", "email", "visitor_id", "action_type", "product_list"))
-    return items.where(F.col("item_code").startswith(prefix)).distinct()
+    items = parse_product_list(acted.select("date_time", "visitor_id", "action_type", "product_list"))
+    return items.where(F.col("item_code").startswith(prefix)).select(
+        "date_time", "visitor_id", "action_type", "item_code").distinct()
 
 
 def clickstream_products(clicks: DataFrame, cookies: DataFrame, catalog: DataFrame, product: DataFrame,
