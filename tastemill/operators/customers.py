@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.functions import dates, fixed, text
-from tastemill.operators.keys import attach_per_key, first_per_key, union_distinct, with_keys, without_keys
+from tastemill.operators.keys import attach_per_key, detached, first_per_key, union_distinct, with_keys, without_keys
 from tastemill.operators.sales import known_customers
 
 PROFILE = ["cust_id", "prefix", "first_name", "middle_initial", "last_name"]
@@ -34,31 +34,28 @@ def digital_only_customers(sales: DataFrame, customers: DataFrame) -> DataFrame:
     return known_customers(only, customers)
 
 
-def keep_active_associates(lines: DataFrame, active: DataFrame) -> DataFrame:
-    """Lines whose first or second associate is active, each line once with both keys.
+def matched_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
+    """Lines whose first or second associate is active, each once.
 
-    Flags from two left joins on a distinct list instead of a join on an OR, which
-    would compare every line with every associate.
+    Two semi joins on equal keys instead of one on an OR, which would compare every
+    line with every associate. A semi join needs no distinct list, so the many lines
+    without an associate can be split over tasks.
     """
-    ids = active.select("assoc_id").distinct()
-    first = ids.select(F.col("assoc_id").alias("assoc1"), F.lit(True).alias("_one"))
-    second = ids.select(F.col("assoc_id").alias("assoc2"), F.lit(True).alias("_two"))
-    touched = lines.join(first, "assoc1", "left").join(second, "assoc2", "left").where("_one OR _two")
-    filled = touched.withColumns({c: F.coalesce(c, F.lit(-1)).cast("bigint") for c in ("assoc1", "assoc2")})
-    return filled.select(*lines.columns).distinct()
+    one = with_keys(lines, active.select(F.col("assoc_id").alias("assoc1")))
+    two = with_keys(lines, active.select(F.col("assoc_id").alias("assoc2")))
+    return union_distinct(one.select(*lines.columns), two.select(*lines.columns))
 
 
-def matched_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
-    """The same lines as the union of the two matches with repeats removed."""
-    ids = active.select("assoc_id").distinct()
-    one = with_keys(lines, ids.withColumnRenamed("assoc_id", "assoc1"))
-    two = with_keys(lines, ids.withColumnRenamed("assoc_id", "assoc2"))
-    return union_distinct(one.select(*lines.columns), two.select(*lines.columns))
+def keep_active_associates(lines: DataFrame, active: DataFrame) -> DataFrame:
+    """The same lines with both associate keys filled in; -1 where there is none."""
+    matched = matched_by_associate(lines, active)
+    filled = matched.withColumns({c: F.coalesce(c, F.lit(-1)).cast("bigint") for c in ("assoc1", "assoc2")})
+    return filled.select(*lines.columns).distinct()
 
 
 def clienteling_transactions(lines: DataFrame, sources: DataFrame, digital: DataFrame, active: DataFrame) -> DataFrame:
     """Spend lines of ordinary customers who are served by an active associate."""
-    served = without_keys(vip_exclusion(lines, sources), digital, ["cust_id"])
+    served = without_keys(vip_exclusion(lines, sources), detached(digital), ["cust_id"])
     return keep_active_associates(served, active)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import fixed
 from tastemill.functions.text import brand_class
-from tastemill.operators.keys import first_per_key, without_keys
+from tastemill.operators.keys import detached, first_per_key, without_keys
 
 
 def _label(sep: str):
@@ -54,4 +54,4 @@ def low_stock_items(inventory: DataFrame, location: DataFrame, n: int = 10) -> D
 
 def drop_low_stock(wishes: DataFrame, low: DataFrame, keys: list[str]) -> DataFrame:
     """Customers' brand-classes that are in stock, each once."""
-    return without_keys(wishes, low.select(*keys), keys).select("cust_id", "brand_class").distinct()
+    return without_keys(wishes, detached(low.select(*keys)), keys).select("cust_id", "brand_class").distinct()

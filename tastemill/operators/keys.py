@@ -34,6 +34,17 @@ def with_keys(df: DataFrame, kept: DataFrame, keys: list[str] | None = None) ->
     return df.join(kept.select(*keys), keys, "left_semi")
 
 
+def detached(lookup: DataFrame) -> DataFrame:
+    """Give up the partitioning a join or an aggregate left behind.
+
+    AQE splits the hot partitions of a join only when both inputs come straight from
+    an exchange. A key list that is already partitioned by the key skips its exchange,
+    and a hot key of the big side would then stay in one task. One more shuffle of
+    the small list buys the split.
+    """
+    return lookup.hint("rebalance")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of every key in a declared order.
 

@@ -135,10 +135,14 @@ def open_recommendations(packed: DataFrame) -> DataFrame:
 
 
 def scale_scores(recs: DataFrame) -> DataFrame:
-    """Scores moved to 1..100 over all recommendations; the range is one scalar row."""
+    """Scores moved to 1..100 over all recommendations; the range is one scalar row.
+
+    The scalar becomes a column first, so that the plan holds its query once.
+    """
     score = F.col("propensity_score")
     span = recs.agg(F.struct(F.min(score).alias("low"), F.max(score).alias("high"))).scalar()
-    return recs.withColumn("propensity_score", scoring.minmax_scale(score, span["low"], span["high"]))
+    scaled = scoring.minmax_scale(score, F.col("_span.low"), F.col("_span.high"))
+    return recs.withColumn("_span", span).withColumn("propensity_score", scaled).drop("_span")
 
 
 def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSettings(), n: int = 15) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import fixed, scoring, text
 from tastemill.operators import filters
-from tastemill.operators.keys import first_per_key, with_keys, without_keys
+from tastemill.operators.keys import detached, first_per_key, with_keys, without_keys
 
 MONEY = "decimal(18,2)"
 
@@ -31,7 +31,7 @@ def known_customers(df: DataFrame, customers: DataFrame) -> DataFrame:
 def reachable_customers(df: DataFrame, customers: DataFrame, suppression: DataFrame) -> DataFrame:
     """Rows of existing customers that may be contacted: one join instead of two."""
     allowed = without_keys(customers.select("cust_id"), filters.suppressed_customers(suppression))
-    return with_keys(df, allowed, ["cust_id"])
+    return with_keys(df, detached(allowed), ["cust_id"])
 
 
 def enrich_lines(sales: DataFrame, customers: DataFrame, product: DataFrame, location: DataFrame) -> DataFrame:

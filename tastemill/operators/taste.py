@@ -71,8 +71,9 @@ def taste_quantiles(ranked: DataFrame) -> DataFrame:
 
 
 def score_taste(ranked: DataFrame) -> DataFrame:
-    score = scoring.taste_score(F.col("rank_implicit"), taste_quantiles(ranked).scalar())
-    return ranked.withColumn("score", score)
+    """The score next to the rank; the quantiles become a column, so the plan holds them once."""
+    score = scoring.taste_score(F.col("rank_implicit"), F.col("_q"))
+    return ranked.withColumn("_q", taste_quantiles(ranked).scalar()).withColumn("score", score).drop("_q")
 
 
 def taste_profile(views: DataFrame, sales: DataFrame, level: Level) -> DataFrame:
