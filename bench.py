@@ -47,7 +47,7 @@ def timed(run) -> float:
 def main() -> None:
     root = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "2"))
+    runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
     spark = local_session(cpus, partitions=max(int(cpus) if cpus.isdigit() else 8, 4), memory=os.environ.get("BENCH_MEMORY", "8g"))
     registered = all_queries()
