@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import crossparse, cutting, positive_unlabelled, rankqueue, repetition
+from tastemill.llm import crossparse, cutting, hostpaths, positive_unlabelled, rankqueue, repetition, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +39,12 @@ def op4_cross_parsing_language(spark: SparkSession, root: str) -> DataFrame:
     return found.select("doc_id", (crc_remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@register
+def op5_host_path_extraction(spark: SparkSession, root: str) -> DataFrame:
+    """Main text of every page."""
+    return hostpaths.extract(tables(spark, root, "pages"))
+
+
 @register
 def op7_suffix_array_repetition(spark: SparkSession, root: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
@@ -53,6 +59,12 @@ def op8_rank_queue_bpe(spark: SparkSession, root: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@register
+def op9_vantage_point_search(spark: SparkSession, root: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    return vptree.nearest(tables(spark, root, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @register
 def op10_cutting_stock_packing(spark: SparkSession, root: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""
