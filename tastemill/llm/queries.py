@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import crossparse, cutting, hostpaths, positive_unlabelled, rankqueue, repetition, vptree
+from tastemill.llm import crossparse, cutting, hostpaths, minhash, positive_unlabelled, rankqueue, repetition, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,12 @@ def register(run):
     return run
 
 
+@register
+def op1_bbit_minhash_groups(spark: SparkSession, root: str) -> DataFrame:
+    """Near-duplicate groups of all documents on sets of 4-word shingles."""
+    return minhash.groups(tables(spark, root, "documents"), size=4, percent=80)
+
+
 @register
 def op2_positive_unlabelled_quality(spark: SparkSession, root: str) -> DataFrame:
     """Quality of every document by a classifier of positives and unlabelled text."""
