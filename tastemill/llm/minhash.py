@@ -8,13 +8,18 @@ sets. Candidates are never all pairs of a bucket:
 
 1. every member of a bucket meets the bucket's smallest member; links make components;
 2. in buckets that still hold several components, members outside the smallest member's component
-   meet all members, tile by tile, and only pairs of different components are estimated.
+   meet all members, tile by tile, and only pairs of different components are estimated, each in
+   the first band that it shares.
 
-After that, every pair that shares a bucket either is in one component or has been compared.
+After that, every pair that shares a bucket either is in one component or has been compared; a
+tile gives back links, at most one less than its rows, never its pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,12 +29,12 @@ from tastemill.llm.shared import Cuts, components, text_bytes
 from tastemill.llm.words import Texts, mix, runs_inside, slices, windows
 
 _U = np.uint64
-BANDS, ROWS = 32, 4
+BANDS, ROWS = 32, 4  # on the first 128 minima
 BITS = 4
-HASHES = BANDS * ROWS
+HASHES = 256
 PER_LONG = 64 // BITS
 LONGS = HASHES // PER_LONG
-MARGIN = 0.2  # five standard deviations of the estimate at a similarity of 0.8
+MARGIN = 0.12  # four and a half standard deviations of the estimate at a similarity of 0.8
 TILE = 512
 LOW = sum(1 << (BITS * i) for i in range(PER_LONG))
 _FACTORS = np.random.default_rng(91).integers(1, 1 << 62, HASHES, dtype=np.int64).astype(_U) * _U(2) + _U(1)
@@ -77,7 +82,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                         minima[:, j] = np.minimum.reduceat(hashes * _FACTORS[j], starts)
                     sums[0, some] = np.add.reduceat(mix(hashes), starts)
                     sums[1, some] = np.add.reduceat(mix(hashes ^ _U(0xA5A5A5A5A5A5A5A5)), starts)
-                bands = windows_of_rows(minima.reshape(len(some), BANDS, ROWS))
+                bands = windows_of_rows(minima[:, : BANDS * ROWS].reshape(len(some), BANDS, ROWS))
                 low = (minima & _U((1 << BITS) - 1)).reshape(len(some), LONGS, PER_LONG)
                 packed = np.bitwise_or.reduce(low << (_U(BITS) * np.arange(PER_LONG, dtype=_U)), axis=2)
 
@@ -115,9 +120,130 @@ def estimate(a: str, b: str):
     return ((1 - differ / HASHES) - chance) / (1 - chance)
 
 
-def confirmed(cuts: Cuts, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
-    """Of the pairs (a, b) of representatives those whose full sets are similar enough."""
-    wanted = cuts.save(f"{name}-wanted", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def meet(e: dict[str, np.ndarray], f: dict[str, np.ndarray], key: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one tile, the pairs of different components that may reach the threshold."""
+    i, j = np.nonzero(
+        (e["c"][:, None] != f["c"][None, :])
+        & ~(e["outside"][:, None] & (e["doc_id"][:, None] >= f["doc_id"][None, :]))
+        & (100 * np.minimum(e["n"][:, None], f["n"][None, :]) >= percent * np.maximum(e["n"][:, None], f["n"][None, :]))
+    )
+    if len(i) == 0:
+        return i, j
+    differ = np.zeros(len(i), np.int64)
+    for part in range(LONGS):
+        x = e["bits"][i, part] ^ f["bits"][j, part]
+        x |= x >> _U(2)
+        x |= x >> _U(1)
+        differ += np.bitwise_count(x & _U(LOW))
+    chance = 2.0**-BITS
+    near = ((1 - differ / HASHES) - chance) / (1 - chance) >= percent / 100 - MARGIN
+    i, j = i[near], j[near]
+    shared = e["bands"][i] == f["bands"][j]
+    here = e["bands"][i, shared.argmax(axis=1)] == np.uint64(key) if len(i) else np.zeros(0, bool)
+    return i[here], j[here]
+
+
+def tiles_of(batches) -> Iterator[tuple[tuple[int, int, int], dict[str, np.ndarray]]]:
+    """The rows of one (key, tile, strip) after another from batches sorted by them."""
+    rest = None
+    for batch in chain(batches, (None,)):
+        table = pa.Table.from_batches([batch]) if batch is not None else None
+        if rest is not None:
+            table = rest if table is None else pa.concat_tables([rest, table])
+        if table is None or table.num_rows == 0:
+            continue
+        table = table.combine_chunks()
+        place = np.stack([table.column(k).to_numpy().astype(np.int64) for k in ("key", "tile", "strip")], axis=1)
+        turns = np.flatnonzero((place[1:] != place[:-1]).any(axis=1)) + 1
+        bounds = np.concatenate(([0], turns, [len(place)] if batch is None else [])).astype(int)
+        rest = table.slice(int(bounds[-1])) if batch is not None else None
+        values = {k: table.column(k).to_numpy() for k in ("doc_id", "c", "n", "role")}
+        values["outside"] = table.column("outside").to_numpy().astype(bool)
+        for k, width in (("bits", LONGS), ("bands", BANDS)):
+            values[k] = lists_of(table, k)[0].view(np.uint64).reshape(-1, width)
+        sets = lists_of(table, "set") if "set" in table.column_names else None
+        for at, end in zip(bounds[:-1], bounds[1:], strict=True):
+            rows = {k: v[at:end] for k, v in values.items()}
+            if sets is not None:
+                rows["set"] = np.empty(end - at, object)
+                for r in range(at, end):
+                    rows["set"][r - at] = sets[0][sets[1][r] : sets[1][r + 1]]
+            yield tuple(int(x) for x in place[at]), rows
+
+
+def lists_of(table: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Values and offsets of a list column."""
+    column = table.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    at = column.offsets.to_numpy()
+    return column.flatten().to_numpy(), at - at[0]
+
+
+def sides(rows: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    return tuple({k: v[rows["role"] == r] for k, v in rows.items()} for r in (0, 1))
+
+
+def likely_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """The rows of each tile that may have a link there, as (key, tile, strip, doc_id)."""
+
+    def run(batches):
+        for (key, tile, strip), group in tiles_of(batches):
+            e, f = sides(group)
+            i, j = meet(e, f, key & (2**64 - 1), percent)
+            docs = np.unique(np.concatenate([e["doc_id"][i], f["doc_id"][j]]))
+            if len(docs):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), x)) for x in (key, tile, strip)] + [pa.array(docs)], ["key", "tile", "strip", "doc_id"])
+
+    return rows.mapInArrow(run, "key long, tile long, strip long, doc_id long")
+
+
+def linked_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of each tile, confirmed on full sets; of those between the same two
+    components or documents that are already joined in the tile one is enough."""
+
+    def run(batches):
+        for (key, _, _), group in tiles_of(batches):
+            e, f = sides(group)
+            i, j = meet(e, f, key & (2**64 - 1), percent)
+            if not len(i):
+                continue
+            number = np.unique(np.concatenate([*e["set"], *f["set"]]))
+            local = [np.searchsorted(number, x) for x in e["set"]]
+            mark = np.zeros(len(number), bool)
+            joined: dict[int, int] = {}
+            a, b = [], []
+            by = np.argsort(j, kind="stable")
+            for y, some in zip(*_runs(j[by], i[by]), strict=True):
+                own = np.searchsorted(number, f["set"][y])
+                mark[own] = True
+                sizes = np.array([len(local[x]) for x in some])
+                common = np.add.reduceat(mark[np.concatenate([local[x] for x in some])].astype(np.int64), np.cumsum(sizes) - sizes)
+                mark[own] = False
+                for x in some[100 * common >= percent * (sizes + len(own) - common)]:
+                    left, right = _root(joined, int(e["c"][x])), _root(joined, int(f["c"][y]))
+                    if left != right:
+                        joined[max(left, right)] = min(left, right)
+                        a.append(int(e["doc_id"][x]))
+                        b.append(int(f["doc_id"][y]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.split(values, first[1:])
+
+
+def _root(joined: dict[int, int], x: int) -> int:
+    while x in joined:
+        x = joined[x]
+    return x
+
+
+def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """doc_id and sorted set of the documents named by ``wanted`` (doc_id)."""
 
     def run(batches):
         for batch in batches:
@@ -128,8 +254,13 @@ def confirmed(cuts: Cuts, docs: DataFrame, pairs: DataFrame, size: int, percent:
                     ["doc_id", "set"],
                 )
 
-    texts = text_bytes(docs).join(wanted, "doc_id", "left_semi")
-    sets = cuts.save(f"{name}-sets", texts.mapInArrow(run, "doc_id long, set array<long>"))
+    return text_bytes(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set array<long>")
+
+
+def confirmed(cuts: Cuts, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Of the pairs (a, b) of representatives those whose full sets are similar enough."""
+    wanted = cuts.save(f"{name}-wanted", pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = cuts.save(f"{name}-sets", full_sets(docs, wanted, size))
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     union = F.size("sa") + F.size("sb") - common
@@ -153,7 +284,7 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     classes = cuts.save("classes", linkable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     reps = classes.select(F.col("rep").alias("doc_id"), "f1", "f2", "n_shingles")
     # a representative may stand in several rows with its id; those with its fingerprint are equal
-    heads = cuts.save("heads", linkable.join(reps, ["doc_id", "f1", "f2", "n_shingles"]).dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", "bands", "bits"))
+    heads = cuts.save("heads", linkable.join(reps, ["doc_id", "f1", "f2", "n_shingles"]).dropDuplicates(["doc_id", "f1", "f2"]).select("doc_id", F.col("n_shingles").alias("n"), "bands", "bits"))
     members = heads.select("doc_id", F.explode("bands").alias("key"))
     buckets = cuts.save("buckets", members.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1"))
     held = cuts.save("held", members.join(buckets, "key"))
@@ -167,23 +298,28 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     links = confirmed(cuts, docs, cuts.save("stars", likely(stars)), size, percent, "star")
     label = components(cuts, links, "star-component")
     held = cuts.save("labelled", held.join(label, held.doc_id == label.node, "left").select("key", "doc_id", "first", F.coalesce("component", "doc_id").alias("c")))
-    mixed = held.groupBy("key").agg(F.count("*").alias("n"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("c"))).alias("c0"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
-    mixed = cuts.save("mixed", mixed.select("key", "n", "c0"))
-    apart = cuts.save("apart", held.join(mixed, "key").select("key", "doc_id", "c", "n", (F.col("c") != F.col("c0")).alias("outside")))
+    mixed = held.groupBy("key").agg(F.count("*").alias("k"), F.max(F.when(F.col("doc_id") == F.col("first"), F.col("c"))).alias("c0"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi")
+    mixed = cuts.save("mixed", mixed.select("key", "k", "c0"))
+    apart = cuts.save("apart", held.join(mixed, "key").select("key", "doc_id", "c", "k", (F.col("c") != F.col("c0")).alias("outside")))
     outside = cuts.save("outside", apart.where("outside").groupBy("key").agg(F.count("*").alias("s")))
-    tiles, strips = F.ceil(F.col("n") / TILE).cast("int"), F.ceil(F.col("s") / TILE).cast("int")
+    tiles, strips = F.ceil(F.col("k") / TILE).cast("int"), F.ceil(F.col("s") / TILE).cast("int")
     place = F.xxhash64("doc_id")
-    sized = apart.join(outside, "key")
-    every = sized.select("key", "doc_id", "c", F.pmod(place, tiles).cast("int").alias("tile"), F.explode(F.sequence(F.lit(0), strips - 1)).alias("strip"))
-    few = sized.where("outside").select("key", F.col("doc_id").alias("d"), F.col("c").alias("e"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("tile"), F.pmod(place, strips).cast("int").alias("strip"))
-    every = every.join(bits.select("doc_id", F.col("bits").alias("xa")), "doc_id")
-    few = few.join(bits.select(F.col("doc_id").alias("d"), F.col("bits").alias("xb")), "d")
-    met = every.join(few, ["key", "tile", "strip"]).where((F.col("c") != F.col("e")) & (estimate("xa", "xb") >= percent / 100 - MARGIN))
-    met = cuts.save("met", met.select(F.least("doc_id", "d").alias("a"), F.greatest("doc_id", "d").alias("b")).distinct())
-    cuts.drop("held", "labelled", "mixed", "apart", "outside", "buckets", "heads", "stars")
-    if not met.isEmpty():
-        more = confirmed(cuts, docs, met, size, percent, "tile")
+    sized = apart.join(outside, "key").join(heads.select("doc_id", "n", "bits", "bands"), "doc_id")
+    every = sized.withColumn("tile", F.pmod(place, tiles).cast("int")).withColumn("strip", F.explode(F.sequence(F.lit(0), strips - 1))).withColumn("role", F.lit(0))
+    few = sized.where("outside").withColumn("tile", F.explode(F.sequence(F.lit(0), tiles - 1))).withColumn("strip", F.pmod(place, strips).cast("int")).withColumn("role", F.lit(1))
+    placed = every.unionByName(few).select("key", "tile", "strip", "doc_id", "c", "n", "outside", "role", "bits", "bands")
+    tile = ["key", "tile", "strip"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*tile).sortWithinPartitions(*tile)
+
+    near = cuts.save("near", likely_in_tiles(dealt(placed), percent))
+    if not near.isEmpty():
+        sets = cuts.save("sets", full_sets(docs, cuts.save("wanted", near.select("doc_id").distinct()), size))
+        again = placed.join(near, [*tile, "doc_id"], "left_semi").join(sets, "doc_id")
+        more = cuts.save("more", linked_in_tiles(dealt(again), percent))
         label = components(cuts, links.unionByName(more), "component")
+    cuts.drop("held", "labelled", "mixed", "apart", "outside", "buckets", "heads", "stars", "near")
     final = cuts.save("final", classes.join(label, classes.rep == label.node, "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     found = signed.select("doc_id", "n_shingles", "f1", "f2").join(final, ["f1", "f2", "n_shingles"], "left")
     found = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
