@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import crossparse, cutting, hostpaths, minhash, positive_unlabelled, rankqueue, repetition, vptree
+from tastemill.llm import anchors, crossparse, cutting, hostpaths, minhash, positive_unlabelled, rankqueue, repetition, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ def op5_host_path_extraction(spark: SparkSession, root: str) -> DataFrame:
     return hostpaths.extract(tables(spark, root, "pages"))
 
 
+@register
+def op6_difference_cover_passages(spark: SparkSession, root: str) -> DataFrame:
+    """Words of every document without passages that an earlier document has."""
+    stripped = anchors.strip_repeats(tables(spark, root, "documents").select("doc_id", "text"), window=13)
+    return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 @register
 def op7_suffix_array_repetition(spark: SparkSession, root: str) -> DataFrame:
     """Repetition counts and verdict of every document."""
