@@ -14,11 +14,10 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastemill.llm.exchange import blocks, bucket_bounds, bucket_count, from_planes, open_block, planes, replies, texts_of, with_answers
-from tastemill.llm.shared import Cuts
+from tastemill.llm.shared import Cuts, with_rows
 from tastemill.llm.words import Texts, runs_inside, windows
 
 _U = np.uint64
@@ -163,17 +162,17 @@ def answer_windows(asked: DataFrame) -> DataFrame:
     return asked.groupBy("bucket").applyInArrow(answer, "block long, bucket long, reply binary")
 
 
-def strip_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
+def strip_repeats(docs: DataFrame, window: int = 13, keep_layout: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and row (all columns but the text) of every row.
 
     Removed is each word covered by a run of ``window`` words that also starts in a document with
-    a smaller doc_id, judged on the input; kept words are joined by one space. A null text has no
+    a smaller doc_id, judged on the input; kept words are joined by one space; with ``keep_layout`` a text that loses nothing stays
+    as it is, null included. A null text has no
     words. A null doc_id counts as larger than all others; rows with equal ids never remove from
     each other. An empty table gives no rows.
     """
     cuts = Cuts(docs.sparkSession, "anchors")
-    others = [c for c in docs.columns if c != "text"]
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), F.struct(*others).alias("row"))
+    narrow = with_rows(docs)
     table = cuts.save("blocks", blocks(narrow))
     buckets = bucket_count(table)
     anchors = cuts.save("anchors", answer_anchors(ask_anchors(table, window, buckets)))
@@ -192,12 +191,13 @@ def strip_repeats(docs: DataFrame, window: int = 13) -> DataFrame:
                 np.add.at(edge, gone + window, -1)
                 kept = np.cumsum(edge)[:-1] == 0
                 words = b.part.words
-                texts = b.batch.column(1).fill_null(b"").to_pylist()
                 out = []
-                for i, text in enumerate(texts):
+                for i, text in enumerate(b.batch.column(1).to_pylist()):
                     flags = kept[words[i] : words[i + 1]]
-                    split = text.split()
-                    out.append(b" ".join(split if flags.all() else compress(split, flags)))
+                    if keep_layout and flags.all():
+                        out.append(text)
+                    else:
+                        out.append(b" ".join(compress((text or b"").split(), flags)))
                 removed = np.concatenate(([0], np.cumsum(~kept)))[words]
                 yield pa.RecordBatch.from_arrays(
                     [b.batch.column(0), pa.array(np.diff(words)), pa.array(np.diff(removed)), pa.array(out, pa.binary()).cast(pa.string()), b.batch.column(2)],

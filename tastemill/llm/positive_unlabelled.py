@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tastemill.llm.shared import ready, text_bytes
+from tastemill.llm.shared import ready, text_bytes, with_rows
 from tastemill.llm.words import Texts, mix, slices, windows
 
 _U = np.uint64
@@ -144,17 +145,22 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int =
     return fit(x[1], x[0], prior)
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
+def score(docs: DataFrame, scorer: Scorer, carry: bool = False) -> DataFrame:
     """doc_id and score (0 to 1, higher is better) of every row, from its whole text alone.
 
-    A null text counts as empty and is scored like one. Rows that repeat are scored each; a null
-    doc_id stays null; other columns are ignored.
+    With ``carry`` also text (bytes) and row (a struct of all other columns). A null text counts as
+    empty and is scored like one. Rows that repeat are scored each; a null doc_id stays null; other
+    columns are ignored.
     """
     ready(docs.sparkSession)
+    rows = with_rows(docs) if carry else text_bytes(docs)
+    schema = T.StructType([rows.schema["doc_id"], T.StructField("score", T.DoubleType()), *rows.schema[1:]] if carry else [rows.schema["doc_id"], T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.count), pa.array(scorer.score(features(part)).astype(np.float64))], ["doc_id", "score"])
+                some = batch.slice(part.first, part.count)
+                found = [some.column(0), pa.array(scorer.score(features(part)).astype(np.float64)), *(some.columns[1:] if carry else ())]
+                yield pa.RecordBatch.from_arrays(found, schema.names)
 
-    return text_bytes(docs).mapInArrow(run, "doc_id long, score double")
+    return rows.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import anchors, crossparse, cutting, hostpaths, minhash, positive_unlabelled, rankqueue, repetition, vptree
+from tastemill.llm import anchors, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,14 @@ def op2_positive_unlabelled_quality(spark: SparkSession, root: str) -> DataFrame
     return scored.select("doc_id", (crc_remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= ACCEPTED).cast("int").alias("predicted"))
 
 
+@register
+def op3_deleted_interpolation(spark: SparkSession, root: str) -> DataFrame:
+    """Log probability of every document by interpolated bigrams."""
+    fold = crc_remainder("doc_id", 7)
+    scored = interpolation.score(tables(spark, root, "documents"), fold != 2, fold == 3)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @register
 def op4_cross_parsing_language(spark: SparkSession, root: str) -> DataFrame:
     """Language of every document by cross-parsing."""

@@ -14,8 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-from tastemill.llm.shared import ready, text_bytes
+from tastemill.llm.shared import ready, text_bytes, with_rows
 from tastemill.llm.words import Texts, mix, slices
 
 _U = np.uint64
@@ -158,14 +159,17 @@ def measure(part: Texts) -> dict[str, np.ndarray]:
 FIELDS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
 
-def judge(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFrame:
+def judge(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), carry: bool = False) -> DataFrame:
     """Counts and verdict of every row of ``docs`` (doc_id, text), by its whole text.
 
     n_covered_words: words in the union of all repeats of ``repeat_words`` or more words;
-    longest_repeat: words of the longest repeat. A null or empty text has no words and fails.
+    longest_repeat: words of the longest repeat. With ``carry`` also text (bytes) and row (a struct
+    of all other columns). A null or empty text has no words and fails.
     Rows that repeat are judged each; a null doc_id stays null; other columns are ignored.
     """
     ready(docs.sparkSession)
+    rows = with_rows(docs) if carry else text_bytes(docs)
+    schema = T.StructType([*T._parse_datatype_string(FIELDS), *(rows.schema[1:] if carry else ())])
 
     def run(batches):
         for batch in batches:
@@ -180,6 +184,7 @@ def judge(docs: DataFrame, rules: RepetitionRules = RepetitionRules()) -> DataFr
                 m["base_failed"], m["kept"] = base, ~(base | bad)
                 names = [f.split()[0] for f in FIELDS.split(", ")][1:]
                 columns = [pa.array(m[c], pa.bool_() if c in ("base_failed", "kept") else pa.int64()) for c in names]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.count), *columns], ["doc_id", *names])
+                some = batch.slice(part.first, part.count)
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns, *(some.columns[1:] if carry else ())], schema.names)
 
-    return text_bytes(docs).mapInArrow(run, FIELDS)
+    return rows.mapInArrow(run, schema)

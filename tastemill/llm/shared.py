@@ -79,6 +79,17 @@ def text_bytes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, the text as bytes, and all other columns as one struct that passes through a task."""
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"), others.alias("row"))
+
+
+def restored(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns that ``with_rows`` has packed, in their order."""
+    return df.select(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns])
+
+
 def crc_remainder(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(modulus))
 
