@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.llm.exchange import blocks, bucket_bounds, bucket_count, from_planes, open_block, planes, replies, texts_of, with_answers
-from tastemill.llm.shared import Cuts
+from tastemill.llm.shared import Cuts, shuffles_once
 from tastemill.llm.words import mix
 
 _U = np.uint64
@@ -216,7 +216,8 @@ def score(docs: DataFrame, training: Column, tuning: Column) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array(n)], ["code", "n"])
 
     # bounded by the grid, whatever the corpus: buckets times steps of two logarithms
-    met = both.mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+    with shuffles_once(spark):
+        met = both.mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     code = met["code"].to_numpy().astype(np.int64)
     pair_step, token_step = code // 1024 % 1024, code % 1024
     ratio = [np.where(s > 0, np.exp((s - 400) / GRID), 0.0) for s in (pair_step, token_step)]

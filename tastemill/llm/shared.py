@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,8 +53,8 @@ class Cuts:
 
     def save(self, name: str, df: DataFrame) -> DataFrame:
         path = self.paths[name] = fresh_folder(self.spark, f"{self.label}-{name}")
-        df.write.parquet(path)
-        collect_garbage(self.spark)
+        with shuffles_once(self.spark):
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -63,10 +64,17 @@ class Cuts:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Let Spark's cleaner remove the shuffle files of jobs that are done."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def shuffles_once(spark: SparkSession) -> Iterator[None]:
+    """What runs inside lets its shuffle files go as soon as it is done. For actions on frames that
+    nobody runs again; results handed to a caller keep theirs."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def tables(spark: SparkSession, root: str, name: str) -> DataFrame:
