@@ -54,7 +54,7 @@ def shingle_sets(part: Texts, size: int) -> tuple[np.ndarray, np.ndarray]:
         short = np.flatnonzero(words == n)
         if len(short):
             whole = windows(h, n)[part.words[short]]
-            hashes.append(mix(whole + _U(n) * _U(0x9E3779B97F4A7C15)))
+            hashes.append(mix(whole + _U(n * 0x9E3779B97F4A7C15 % 2**64)))
             owner.append(short)
     hashes, owner = np.concatenate(hashes), np.concatenate(owner)
     by = np.lexsort((hashes, owner))
@@ -322,5 +322,5 @@ def groups(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
     cuts.drop("held", "labelled", "mixed", "apart", "outside", "buckets", "heads", "stars", "near")
     final = cuts.save("final", classes.join(label, classes.rep == label.node, "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
     found = signed.select("doc_id", "n_shingles", "f1", "f2").join(final, ["f1", "f2", "n_shingles"], "left")
-    found = found.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = found.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
