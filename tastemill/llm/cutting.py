@@ -22,12 +22,33 @@ from tastemill.llm.shared import Cuts, ready
 
 MAX_COLUMNS = 6000
 RANK_BUCKETS = 256
-CACHED_PRETOKENS = 600_000
+CACHED_PRETOKENS = 1_000_000
 TEXTS_AT_ONCE = 2 << 20
 # The split that a byte-level tokenizer file of this kind makes before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+class Known(dict):
+    """Ids of pre-tokens as bytes. A pre-token that is not known stands for itself and waits in
+    ``asked`` to be encoded with others."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.asked = tokenizer, []
+
+    def __missing__(self, piece: str) -> str:
+        self.asked.append(piece)
+        return piece
+
+    def learn(self) -> None:
+        pieces = list(set(self.asked))
+        self.asked.clear()
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self[piece] = np.array(e.ids, np.uint32).tobytes()
+
+
 class Ids:
     """Ids of texts by a tokenizer file, each distinct pre-token encoded once while cached.
 
@@ -44,23 +65,27 @@ class Ids:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(split).findall if split else None
-        self.cache: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer)
 
     def of(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if self.find is None or any(a in t for a in self.added)]
         out: list[np.ndarray | None] = [None] * len(texts)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
-        split = {i: self.find(t) for i, t in enumerate(texts) if out[i] is None}
-        if len(self.cache) > CACHED_PRETOKENS:
-            self.cache.clear()
-        missing = list(set().union(*split.values()) - self.cache.keys())
-        for at in range(0, len(missing), 4096):
-            some = missing[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(e.ids, np.uint32).tobytes()
-        for i, pieces in split.items():
-            out[i] = np.frombuffer(b"".join(map(self.cache.__getitem__, pieces)), np.uint32)
+        if len(self.known) > CACHED_PRETOKENS:
+            self.known.clear()
+        known, waiting = self.known, []
+        for i, text in enumerate(texts):
+            if out[i] is None:
+                before = len(known.asked)
+                parts = list(map(known.__getitem__, self.find(text)))
+                if len(known.asked) > before:
+                    waiting.append((i, parts))
+                else:
+                    out[i] = np.frombuffer(b"".join(parts), np.uint32)
+        known.learn()
+        for i, parts in waiting:
+            out[i] = np.frombuffer(b"".join([x if type(x) is bytes else known[x] for x in parts]), np.uint32)
         return out
 
 
