@@ -48,10 +48,11 @@ def kmeans_elbow(df: DataFrame, feature: str, ks: range = range(1, 10), seed: in
 
 
 def cluster_feature(df: DataFrame, feature: str, k: int, ascending: bool = True, seed: int = 7) -> DataFrame:
-    """Add ``<feature>_cluster``, numbered by the mean of the feature."""
+    """Add ``<feature>_cluster``, numbered by the mean of the feature; null where that is null."""
     name = f"{feature}_cluster"
     model = _kmeans(k, seed, 300).fit(_weighted_values(df, feature))
     points = VectorAssembler(inputCols=["_x"], outputCol="features").transform(
         df.where(F.col(feature).isNotNull()).withColumn("_x", F.col(feature).cast("double")))
     labelled = model.setPredictionCol(name).transform(points).drop("features", "_x")
-    return relabel_clusters(labelled, name, feature, ascending)
+    missing = df.where(F.col(feature).isNull()).withColumn(name, F.lit(None).cast("int"))
+    return relabel_clusters(labelled, name, feature, ascending).unionByName(missing)

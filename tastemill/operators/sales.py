@@ -85,13 +85,17 @@ def daily_channel_revenue(sales: DataFrame, customers: DataFrame, channels: list
     )
 
 
-def daily_customer_spend(sales: DataFrame, customers: DataFrame, suppression: DataFrame) -> DataFrame:
-    """Whole money units spent per customer and day; equal amounts of a transaction count once."""
+def daily_customer_spend(sales: DataFrame, customers: DataFrame, suppression: DataFrame, whole: bool = True) -> DataFrame:
+    """Money spent per customer and day; equal amounts of a transaction count once.
+
+    ``whole`` cuts the exact sums to whole units, as the published table shows them;
+    figures computed further take the exact ones.
+    """
     lines = sales.select("cust_id", "trans_date", "tran_no", line_amount().alias("amount")).distinct()
     daily = lines.groupBy("cust_id", "trans_date").agg(F.sum(F.col("amount").cast(MONEY)).alias("spent"))
     kept = daily.where(F.col("trans_date").isNotNull() & F.col("spent").isNotNull())
     return reachable_customers(kept, customers, suppression).select(
-        "cust_id", "trans_date", F.col("spent").cast("bigint").alias("total_spent"))
+        "cust_id", "trans_date", F.col("spent").cast("bigint" if whole else MONEY).alias("total_spent"))
 
 
 def trips(sales: DataFrame, customers: DataFrame, suppression: DataFrame, location: DataFrame,

@@ -74,7 +74,7 @@ def _(d):
 def _(d):
     scores, _users, _products = recommend.indexed_scores(profile(d, DIVISION), DIVISION)
     train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
-    return recommend.tune_als(train, validation, settings=recommend.ALSSettings(iterations=5))[0]
+    return recommend.tune_als(train, validation)[0]
 
 
 @query("open_recommendations", [], """SELECT user_id, CAST(product_id AS INTEGER) AS product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY product_id) AS INTEGER) AS propensity_rank, CAST(rating AS DOUBLE) AS propensity_score FROM (
@@ -107,7 +107,7 @@ def _(d):
 
 @query("kmeans_elbow")
 def _(d):
-    return clusters.kmeans_elbow(d.table("part"), "p_size", iterations=100)
+    return clusters.kmeans_elbow(d.table("part"), "p_size")
 
 
 @query("cluster_feature")
@@ -125,16 +125,16 @@ CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment F
 CUSTOMER_TEXT = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer"
 
 
-@query("read_relation_distinct", [], "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem")
+@query("read_relation_distinct", [], "SELECT DISTINCT * FROM lineitem")
 def _(d):
-    rows = d.table("lineitem").select(F.col("l_orderkey").alias("L_OrderKey"), F.col("l_linenumber").alias("L_LineNumber"))
+    rows = d.table("lineitem").withColumnsRenamed({"l_orderkey": "L_OrderKey", "l_linenumber": "L_LineNumber"})
     rows.createOrReplaceTempView("tastemill_lines")
     return tables.read_relation(d.spark, "tastemill_lines")
 
 
-@query("read_relation_with_duplicates", [], "SELECT l_orderkey, l_linenumber FROM lineitem")
+@query("read_relation_with_duplicates", [], "SELECT * FROM lineitem")
 def _(d):
-    rows = d.table("lineitem").select(F.col("l_orderkey").alias("L_OrderKey"), F.col("l_linenumber").alias("L_LineNumber"))
+    rows = d.table("lineitem").withColumnsRenamed({"l_orderkey": "L_OrderKey", "l_linenumber": "L_LineNumber"})
     rows.createOrReplaceTempView("tastemill_lines_all")
     return tables.read_relation(d.spark, "tastemill_lines_all", distinct=False)
 

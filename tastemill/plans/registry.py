@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tastemill.plans.logical import with_views
 from tastemill.session import configure
@@ -23,9 +24,14 @@ DIVISIONS = (3,)
 CUSTOMER_SUPPORT = (3, 100)
 ITEM_SUPPORT = (20, 120)
 
-# The same base filter as SQL, for oracles that start from sales lines.
-BASE = """base AS (SELECT * FROM sales WHERE trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND status<>'V' AND cust_id<>0
- AND chain='MAIN' AND department_id NOT IN (7,13,21) AND division_id<>3)"""
+# The base filters as SQL, for oracles that start from sales lines: with the division rule,
+# without it, without chain and division, and by date and chain alone.
+_DATED = "SELECT * FROM sales WHERE trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01'"
+_VALID = "status<>'V' AND cust_id<>0 AND department_id NOT IN (7,13,21)"
+BASE = f"base AS ({_DATED} AND {_VALID} AND chain='MAIN' AND division_id<>3)"
+BASE_ALL_DIVISIONS = f"base AS ({_DATED} AND {_VALID} AND chain='MAIN')"
+BASE_ALL_CHAINS = f"base AS ({_DATED} AND {_VALID})"
+BASE_DATED = f"base AS ({_DATED} AND chain='MAIN')"
 # Lines of existing customers that may be contacted.
 REACHABLE = "cust_id IN (SELECT cust_id FROM customers) AND NOT EXISTS (SELECT 1 FROM suppressed z WHERE z.cust_id={0}.cust_id)"
 
@@ -55,11 +61,18 @@ def query(name: str, views: tuple[str, ...] | list[str] = (), sql: str | None =
     return add
 
 
-def base_sales(d: RetailData, *columns: str) -> DataFrame:
-    """Sales lines under the shared base filter, reduced to what the query reads."""
+def base_sales(d: RetailData, *columns: str, chain: str | None = CHAIN, divisions: tuple = DIVISIONS) -> DataFrame:
+    """Sales lines under the base filter of a query, reduced to what the query reads."""
     from tastemill.operators.filters import sales_base_filter
 
-    needed = ["cust_id", "trans_date", "status", "chain", "department_id", "division_id"]
+    needed = ["cust_id", "trans_date", "status", "department_id", *(["chain"] if chain else []), *(["division_id"] if divisions else [])]
     wanted = [*columns, *[c for c in needed if c not in columns]]
     lines = d.sales(*wanted, between=(SALES_BEGIN, SALES_END))
-    return sales_base_filter(lines, SALES_BEGIN, SALES_END, CHAIN, DEPARTMENTS, DIVISIONS).select(*columns)
+    return sales_base_filter(lines, SALES_BEGIN, SALES_END, chain, DEPARTMENTS, divisions).select(*columns)
+
+
+def dated_sales(d: RetailData, *columns: str) -> DataFrame:
+    """All sales lines of the chain in the date range, voided and anonymous ones included."""
+    wanted = [*columns, *[c for c in ("trans_date", "chain") if c not in columns]]
+    lines = d.sales(*wanted, between=(SALES_BEGIN, SALES_END))
+    return lines.where(F.col("trans_date").between(F.lit(SALES_BEGIN), F.lit(SALES_END)) & (F.col("chain") == CHAIN)).select(*columns)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import text
 from tastemill.operators import features, inventory, sales
-from tastemill.plans.registry import AS_OF, BASE, DIVISIONS, REACHABLE, base_sales, query
+from tastemill.plans.registry import AS_OF, BASE, BASE_ALL_CHAINS, BASE_ALL_DIVISIONS, BASE_DATED, DIVISIONS, REACHABLE, base_sales, dated_sales, query
 
 CHANNELS = ["Catalog", "Online", "Store"]
 ALL_SPEND_COLUMNS = ["cust_id", "trans_date", "designer", "item_id", "location_id", "department_id", "division_id",
@@ -37,17 +37,17 @@ def _(d):
     return spend(d)
 
 
-@query("daily_channel_revenue", ["sales", "customers"], f"""WITH {BASE}, r AS (SELECT trans_date, channel, sum(CAST(amount AS DECIMAL(18,2))) AS v
+@query("daily_channel_revenue", ["sales", "customers"], f"""WITH {BASE_ALL_DIVISIONS}, r AS (SELECT trans_date, channel, sum(CAST(amount AS DECIMAL(18,2))) AS v
  FROM (SELECT DISTINCT cust_id, trans_date, channel, unit_price*qty AS amount FROM base WHERE cust_id IN (SELECT cust_id FROM customers)) GROUP BY 1,2)
  SELECT trans_date, CAST(max(v) FILTER (channel='Catalog') AS DOUBLE)/1000000.0::DOUBLE AS catalog, CAST(max(v) FILTER (channel='Online') AS DOUBLE)/1000000.0::DOUBLE AS online,
  CAST(max(v) FILTER (channel='Store') AS DOUBLE)/1000000.0::DOUBLE AS store, CAST(sum(v) AS DOUBLE)/1000000.0::DOUBLE AS total FROM r GROUP BY 1""")
 def _(d):
-    return sales.daily_channel_revenue(base_sales(d, "cust_id", "trans_date", "channel", "unit_price", "qty"), d.customers(), CHANNELS)
+    return sales.daily_channel_revenue(base_sales(d, "cust_id", "trans_date", "channel", "unit_price", "qty", divisions=()), d.customers(), CHANNELS)
 
 
-def daily_spend(d):
+def daily_spend(d, whole: bool = True):
     lines = base_sales(d, "cust_id", "trans_date", "tran_no", "unit_price", "qty")
-    return sales.daily_customer_spend(lines, d.customers(), d.suppression())
+    return sales.daily_customer_spend(lines, d.customers(), d.suppression(), whole)
 
 
 DAILY = f"""{BASE}, daily AS (SELECT cust_id, trans_date, CAST(trunc(sum(CAST(amount AS DECIMAL(18,2)))) AS BIGINT) AS total_spent
@@ -59,13 +59,16 @@ def _(d):
     return daily_spend(d)
 
 
-@query("rfm", ["sales", "customers", "suppressed"], f"""WITH {DAILY} SELECT cust_id, count(DISTINCT trans_date)-1 AS frequency,
+EXACT = DAILY.replace("CAST(trunc(sum(CAST(amount AS DECIMAL(18,2)))) AS BIGINT)", "sum(CAST(amount AS DECIMAL(18,2)))")
+
+
+@query("rfm", ["sales", "customers", "suppressed"], f"""WITH {EXACT} SELECT cust_id, count(DISTINCT trans_date)-1 AS frequency,
  CAST(max(trans_date)-min(trans_date) AS INTEGER) AS days_betn_first_shopd_and_last_shopd,
  CAST(sum(total_spent) AS DOUBLE)/count(*) AS avg_monetary_value, CAST(sum(total_spent) AS DOUBLE) AS now_lifetime_spent,
  CAST(DATE '2001-08-01'-min(trans_date) AS INTEGER) AS days_betn_first_shopd_and_today, CAST(DATE '2001-08-01'-max(trans_date) AS INTEGER) AS days_since_last_shopd,
  min(trans_date) AS first_shopd_day, max(trans_date) AS last_shopd_day FROM daily GROUP BY 1""")
 def _(d):
-    return features.rfm(daily_spend(d), AS_OF)
+    return features.rfm(daily_spend(d, whole=False), AS_OF)
 
 
 GAP_BASE = """gap_base AS (SELECT * FROM sales WHERE trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND status<>'V' AND cust_id<>0
@@ -145,12 +148,12 @@ def _(d):
     return features.cohort_lines(product_lines(d), cohort)
 
 
-@query("item_price_catalog", ["sales", "product"], f"""WITH {BASE} SELECT DISTINCT b.item_id, unit_price, unit_discount, unit_retail, brand_name, class_name, initial_cost, initial_retail, gender, color, size,
+@query("item_price_catalog", ["sales", "product"], f"""WITH {BASE_DATED} SELECT DISTINCT b.item_id, unit_price, unit_discount, unit_retail, brand_name, class_name, initial_cost, initial_retail, gender, color, size,
  department_name, division_name, group_name FROM base b JOIN product p ON b.item_id=p.item_id
  WHERE b.item_id IN (SELECT item_id FROM sales WHERE trans_date BETWEEN DATE '2001-07-02' AND DATE '2001-08-01')""")
 def _(d):
     recent = d.sales("item_id", between=(dt.date(2001, 7, 2), AS_OF))
-    return sales.item_price_catalog(base_sales(d, "item_id", "unit_price", "unit_discount", "unit_retail"), recent, d.product())
+    return sales.item_price_catalog(dated_sales(d, "item_id", "unit_price", "unit_discount", "unit_retail"), recent, d.product())
 
 
 def _trips(d, by, channel=None):
@@ -184,11 +187,11 @@ def _(d):
     return _trips(d, ["channel", "division_id"])
 
 
-@query("daily_revenue", ["sales", "customers", "location"], f"""WITH {BASE} SELECT trans_date, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)/1000000.0::DOUBLE AS revenue FROM (
+@query("daily_revenue", ["sales", "customers", "location"], f"""WITH {BASE_ALL_CHAINS} SELECT trans_date, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)/1000000.0::DOUBLE AS revenue FROM (
  SELECT DISTINCT trans_date, cust_id, unit_price*qty AS amount FROM base b JOIN location l ON b.location_id=l.location_id
  WHERE (area_id=14 OR region_id=201 OR district_id IN (13011,13021,13014)) AND cust_id IN (SELECT cust_id FROM customers)) GROUP BY 1""")
 def _(d):
-    return sales.daily_revenue(base_sales(d, "cust_id", "trans_date", "location_id", "unit_price", "qty"), d.customers(), d.location())
+    return sales.daily_revenue(base_sales(d, "cust_id", "trans_date", "location_id", "unit_price", "qty", chain=None, divisions=()), d.customers(), d.location())
 
 
 @query("customer_history", ["sales", "product", "location"], """SELECT DISTINCT s.cust_id, trans_date, tran_no, location_name, s.item_id, unit_price, qty, unit_discount, assoc1, assoc2, s.division,
@@ -228,15 +231,15 @@ BRAND_BUYS = f"""buys AS (SELECT DISTINCT x.cust_id, x.item_id, trans_date AS ev
 
 
 def brand_buys(d):
-    return sales.brand_class_purchases(base_sales(d, "cust_id", "item_id", "trans_date"), d.customers(), d.suppression(), d.product())
+    return sales.brand_class_purchases(base_sales(d, "cust_id", "item_id", "trans_date", divisions=()), d.customers(), d.suppression(), d.product())
 
 
-@query("brand_class_purchases", ["sales", "customers", "suppressed", "product"], f"WITH {BASE}, {BRAND_BUYS} SELECT * FROM buys")
+@query("brand_class_purchases", ["sales", "customers", "suppressed", "product"], f"WITH {BASE_ALL_DIVISIONS}, {BRAND_BUYS} SELECT * FROM buys")
 def _(d):
     return brand_buys(d)
 
 
-@query("brand_class_purchase_counts", ["sales", "customers", "suppressed", "product"], f"""WITH {BASE}, {BRAND_BUYS} SELECT cust_id, brand||'_'||class AS brand_class, count(*) AS total_transactions FROM buys GROUP BY 1,2""")
+@query("brand_class_purchase_counts", ["sales", "customers", "suppressed", "product"], f"""WITH {BASE_ALL_DIVISIONS}, {BRAND_BUYS} SELECT cust_id, brand||'_'||class AS brand_class, count(*) AS total_transactions FROM buys GROUP BY 1,2""")
 def _(d):
     from tastemill.operators.clicks import brand_class_counts
 

@@ -373,15 +373,12 @@ def _(d):
     return ratings.explode_aligned(_lists(d), {"items": "item", "days": "day"})
 
 
-@query("combined_rating", ["sales", *ACTION_VIEWS], f"""WITH {RATED}, divs AS (SELECT cust_id, division AS category, division_id, division, count(*)*CAST(0.8 AS DOUBLE) AS rank_implicit FROM sales WHERE status<>'V' GROUP BY ALL),
- best AS (SELECT *, row_number() OVER (PARTITION BY cust_id ORDER BY rank_implicit DESC, category) AS r FROM divs)
- SELECT b.cust_id, category, division_id, division, round(rank_implicit,6) AS rank_implicit, round(coalesce(rank_implicit+rating,0),6) AS combined_rating FROM best b LEFT JOIN rated t ON b.cust_id=t.cust_id WHERE r<=3""")
-def _(d):
-    counts = taste.count_by_level(taste.trans_by_level(history(d, DIVISION), DIVISION), DIVISION, "n")
-    ranked = counts.withColumn("rank_implicit", F.col("n") * 0.8).drop("n")
-    top = taste.top_n_per_customer(ranked, 3, "rank_implicit")
-    joined = taste.combined_rating(top, rated(d), "rank_implicit")
-    return joined.withColumns({c: F.round(c, 6) for c in ("rank_implicit", "combined_rating")})
+@query("combined_rating", TASTE_VIEWS + ["purchases"], f"""WITH best AS (SELECT *, row_number() OVER (PARTITION BY cust_id ORDER BY score DESC, category) AS r
+ FROM (WITH {taste_sql(DIVISION)} SELECT * FROM profile)), marks AS (SELECT cust_id, rating FROM (WITH {RATED} SELECT * FROM rated))
+ SELECT b.cust_id, category, division_id, division, score, round(coalesce(score+rating,0),6) AS combined_rating FROM best b LEFT JOIN marks t ON b.cust_id=t.cust_id WHERE r<=15""")
+def _(d):
+    joined = taste.combined_rating(taste.top_n_per_customer(profile(d, DIVISION)), rated(d))
+    return joined.withColumn("combined_rating", F.round("combined_rating", 6))
 
 
 @query("brand_exclusion_list", ["product", "excluded_brands", *[v for v in CLICK_VIEWS if v != "product"]], f"""WITH {click_sql()} SELECT cust_id, web_item_id, designer, date_time FROM clicked c

@@ -69,8 +69,8 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_single_csv(df: DataFrame, path: str, gzip: bool = False, header: bool = False) -> None:
-    """One part file, for small reports only: one task writes it all."""
-    writer = df.coalesce(1).write.mode("overwrite").option("header", header)
+    """One part file, for small reports only: one task writes it, the plan before keeps its tasks."""
+    writer = df.repartition(1).write.mode("overwrite").option("header", header)
     (writer.option("compression", "gzip") if gzip else writer).csv(path)
 
 

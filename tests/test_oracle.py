@@ -2,33 +2,21 @@
 
 from __future__ import annotations
 
-import os
-
 import pytest
 from verify import compare, connect
 
 from tastemill.levels import LEVELS
 from tastemill.plans.catalog import all_oracles, all_queries
 
-# The level families share one program; two levels each run here, all with TASTEMILL_ALL=1.
-SHOWN = ("division", "designer_division_class")
 FAMILIES = ("taste_profile_", "rerank_unseen_", "publish_")
 
 
-def _left_out(name: str) -> bool:
-    for family in FAMILIES:
-        level = name.removeprefix(family)
-        if level != name and level in LEVELS:
-            return level not in SHOWN and not os.environ.get("TASTEMILL_ALL")
-    return False
-
-
 @pytest.fixture(scope="module")
 def duck(root):
     return connect(root)
 
 
-@pytest.mark.parametrize("name", [n for n in all_oracles() if not _left_out(n)])
+@pytest.mark.parametrize("name", list(all_oracles()))
 def test_matches_sql(spark, duck, root, name):
     problem, _ = compare(all_queries()[name](spark, root), duck, all_oracles()[name])
     assert problem is None, problem
