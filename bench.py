@@ -10,11 +10,12 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 from tastemill.levels import LEVELS
 from tastemill.plans.catalog import all_queries
-from tastemill.session import local_session
+from tastemill.session import local_session, release_cuts
 
 HEADLINE = [
     *[f"taste_profile_{name}" for name in LEVELS],
@@ -35,6 +36,10 @@ HEADLINE = [
     "publish_designer_division_class",
     "recommend_division",
     "recommend_designer_division_class",
+    "combined_rating",
+    "category_recommendations",
+    "tune_als",
+    "kmeans_elbow",
 ]
 
 
@@ -49,13 +54,15 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS", "8")
     runs = int(os.environ.get("BENCH_RUNS", "1"))
     names = [n for n in os.environ.get("BENCH_QUERIES", "").split(",") if n] or HEADLINE
-    spark = local_session(cpus, partitions=max(int(cpus) if cpus.isdigit() else 8, 4), memory=os.environ.get("BENCH_MEMORY", "8g"))
+    spark = local_session(cpus, partitions=max(int(cpus) if cpus.isdigit() else 8, 4), memory=os.environ.get("BENCH_MEMORY", "8g"),
+                          **{"spark.checkpoint.dir": tempfile.mkdtemp(prefix="tastemill-bench-")})
     registered = all_queries()
     seconds: dict[str, float] = {}
     for name in names:
         q = registered[name]
         timed(lambda: q(spark, root))
         seconds[name] = round(statistics.median(timed(lambda: q(spark, root)) for _ in range(runs)), 3)
+        release_cuts(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total_seconds",

@@ -38,11 +38,10 @@ def matched_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
     """Lines whose first or second associate is active, each once.
 
     Two semi joins on equal keys instead of one on an OR, which would compare every
-    line with every associate. A semi join needs no distinct list, so the many lines
-    without an associate can be split over tasks.
+    line with every associate. Lines without an associate, marked -1, stay out of them.
     """
-    one = with_keys(lines, active.select(F.col("assoc_id").alias("assoc1")))
-    two = with_keys(lines, active.select(F.col("assoc_id").alias("assoc2")))
+    one = with_keys(lines.where("assoc1 <> -1"), active.select(F.col("assoc_id").alias("assoc1")))
+    two = with_keys(lines.where("assoc2 <> -1"), active.select(F.col("assoc_id").alias("assoc2")))
     return union_distinct(one.select(*lines.columns), two.select(*lines.columns))
 
 

@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 
 from tastemill.session import cut
 
-# A key is hot when it holds more than one row in HOT_SHARE, and enough rows to keep a
-# task busy. At most HOT_SHARE - 1 keys can hold that share, whatever the data, so a
-# list of hot keys is always safe to broadcast.
+# A key is hot when it holds more than one row in HOT_SHARE. At most HOT_SHARE - 1 keys can
+# hold that share, whatever the data, so a list of hot keys is always safe to broadcast.
+# The rule is the same at every size, so small runs take the path that large ones take.
 HOT_SHARE = 1000
-HOT_ROWS = 100_000
 
 
 def drop_incomplete(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -72,15 +71,14 @@ def key_counts(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return drop_incomplete(df.select(*keys)).groupBy(*keys).agg(F.count("*").alias(name))
 
 
-def hot_keys(counts: DataFrame, keys: list[str], name: str = "n", min_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(counts: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     """Keys that hold more than one row in ``HOT_SHARE``; fewer than ``HOT_SHARE`` rows."""
     total = counts.agg(F.sum(name)).scalar()
     n = F.col(name)
-    return counts.where((n * HOT_SHARE > total) & (n > min_rows)).select(*keys)
+    return counts.where(n * HOT_SHARE > total).select(*keys)
 
 
-def attach_per_key(rows: DataFrame, lookup: DataFrame, keys: list[str], slices: int = 64,
-                   min_rows: int = HOT_ROWS) -> DataFrame:
+def attach_per_key(rows: DataFrame, lookup: DataFrame, keys: list[str], slices: int = 64) -> DataFrame:
     """Inner join of rows to a lookup with one row per key, hot keys cut into slices.
 
     A lookup aggregated on the join key keeps its partitioning, and AQE cannot split
@@ -88,9 +86,7 @@ def attach_per_key(rows: DataFrame, lookup: DataFrame, keys: list[str], slices:
     repeated once per slice. The slice depends on the row and its input partition,
     never on a random number, so a lost task that runs again fills the same slices.
     """
-    hot = cut(hot_keys(key_counts(rows, keys), keys, min_rows=min_rows), "hot-keys")
-    if hot.isEmpty():
-        return rows.join(lookup, keys)
+    hot = cut(hot_keys(key_counts(rows, keys), keys), "hot-keys")
     hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), F.lit(slices)).cast("int")
     sliced = rows.join(hot, keys, "left").withColumn("_slice", F.when(F.col("_hot"), spread).otherwise(0)).drop("_hot")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import fixed, scoring
 from tastemill.operators import filters
-from tastemill.operators.keys import HOT_ROWS, hot_keys, key_counts
+from tastemill.operators.keys import hot_keys, key_counts
 from tastemill.session import cut
 
 GROUP = ["cust_id", "action_type"]
@@ -35,7 +35,8 @@ def _support(events: DataFrame, key: str, low: int, high: int, closed: bool) ->
     counts = cut(key_counts(events, [key]), "support")
     n = F.col("n")
     good = counts.where((n > low) & ((n <= high) if closed else (n < high))).select(key)
-    hot = hot_keys(counts, [key], min_rows=max(high, HOT_ROWS))
+    # only keys above their bound: these fail whatever the rest of the rule says
+    hot = hot_keys(counts, [key, "n"]).where(F.col("n") > high).select(key)
     return good, hot
 
 
@@ -51,8 +52,7 @@ def frequency_support_filter(events: DataFrame, customers: tuple[int, int], item
         "web_item_id": _support(events, "web_item_id", *items, closed=False),
     }
     for key, (_, hot) in supports.items():
-        if not hot.isEmpty():
-            events = events.join(F.broadcast(hot), key, "left_anti")
+        events = events.join(F.broadcast(hot), key, "left_anti")
     for key, (good, _) in supports.items():
         events = events.join(good, key, "left_semi")
     return events

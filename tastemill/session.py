@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,14 +32,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a folder of its own.
+    Only a local session without that setting falls back to a folder of its own, as in tests.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not named:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = "/tmp/tastemill-checkpoints"
+        named = os.path.join(tempfile.gettempdir(), "checkpoints", "tastemill")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named
