@@ -12,7 +12,7 @@ from tastemill.operators import filters
 
 CATALOG_COLUMNS = ["item_code", "item_id", "web_item_id", "description", "regular_price"]
 PRODUCT_COLUMNS = ["item_id", "designer_id", "designer", "division_id", "division", "division_name",
-                   "class_id", "class", "group_id", "department_name"]
+                   "class_id", "class", "subclass", "group_id", "group_name", "department_name"]
 
 
 def flatten(df: DataFrame, column: str, name: str) -> DataFrame:

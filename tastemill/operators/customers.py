@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions import dates, fixed, text
-from tastemill.operators.keys import attach_per_key, detached, first_per_key, union_distinct, with_keys, without_keys
+from tastemill.operators.keys import detached, first_per_key, with_keys, without_keys
 from tastemill.operators.sales import known_customers
 
 PROFILE = ["cust_id", "prefix", "first_name", "middle_initial", "last_name"]
@@ -26,10 +26,11 @@ def vip_exclusion(df: DataFrame, sources: DataFrame, source: str = "DLE") -> Dat
     return without_keys(df, sources.where(F.col("source") == source), ["cust_id"])
 
 
-def digital_only_customers(sales: DataFrame, customers: DataFrame) -> DataFrame:
-    """Customers none of whose valid lines names an associate; one pass over the lines."""
+def digital_only_customers(sales: DataFrame, customers: DataFrame, begin: dt.date, end: dt.date, chain: str) -> DataFrame:
+    """Customers none of whose valid lines at a chain in a date range names an associate; one pass over the lines."""
     named = F.max(F.when(F.col("assoc1") != -1, 1).otherwise(0))
-    lines = sales.where("status <> 'V' AND assoc1 IS NOT NULL AND cust_id <> 0")
+    ranged = F.col("trans_date").between(F.lit(begin), F.lit(end)) & (F.col("chain") == chain)
+    lines = sales.where(ranged).where("status <> 'V' AND assoc1 IS NOT NULL AND cust_id <> 0")
     only = lines.groupBy("cust_id").agg(named.alias("_named")).where("_named = 0").select("cust_id")
     return known_customers(only, customers)
 
@@ -37,17 +38,24 @@ def digital_only_customers(sales: DataFrame, customers: DataFrame) -> DataFrame:
 def matched_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
     """Lines whose first or second associate is active, each once.
 
-    Two semi joins on equal keys instead of one on an OR, which would compare every
-    line with every associate. Lines without an associate, marked -1, stay out of them.
+    The lines run once: each meets the distinct associates by its first and by its second key,
+    in joins on equal keys rather than one on an OR, which would compare every line with every
+    associate. The line is the preserved side of both joins, so AQE may split lines with no
+    associate, marked -1 or null.
     """
-    one = with_keys(lines.where("assoc1 <> -1"), active.select(F.col("assoc_id").alias("assoc1")))
-    two = with_keys(lines.where("assoc2 <> -1"), active.select(F.col("assoc_id").alias("assoc2")))
-    return union_distinct(one.select(*lines.columns), two.select(*lines.columns))
+    return _marked_by_associate(lines, active).select(*lines.columns).distinct()
+
+
+def _marked_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
+    known = active.where("assoc_id <> -1").select("assoc_id").distinct()
+    first = known.select(F.col("assoc_id").alias("assoc1"), F.lit(True).alias("_first"))
+    second = known.select(F.col("assoc_id").alias("assoc2"), F.lit(True).alias("_second"))
+    return lines.join(first, "assoc1", "left").join(second, "assoc2", "left").where("_first OR _second")
 
 
 def keep_active_associates(lines: DataFrame, active: DataFrame) -> DataFrame:
     """The same lines with both associate keys filled in; -1 where there is none."""
-    matched = matched_by_associate(lines, active)
+    matched = _marked_by_associate(lines, active)
     filled = matched.withColumns({c: F.coalesce(c, F.lit(-1)).cast("bigint") for c in ("assoc1", "assoc2")})
     return filled.select(*lines.columns).distinct()
 
@@ -61,9 +69,13 @@ def clienteling_transactions(lines: DataFrame, sources: DataFrame, digital: Data
 # --- channels and stores ----------------------------------------------------------
 
 def channel_count(visits: DataFrame) -> DataFrame:
-    """Visits with the number of distinct channels of their customer."""
-    counted = visits.groupBy("cust_id").agg(F.count_distinct("channel").alias("channel_count"))
-    return attach_per_key(visits, counted, ["cust_id"])
+    """Visits with the number of distinct channels of their customer.
+
+    A customer has at most one row per channel and store, so one window holds them and the
+    visits are worked out once.
+    """
+    seen = F.collect_set("channel").over(Window.partitionBy("cust_id"))
+    return visits.withColumn("channel_count", F.size(seen).cast("bigint"))
 
 
 def customer_channel_status(visits: DataFrame) -> DataFrame:

@@ -113,31 +113,43 @@ def trips(sales: DataFrame, customers: DataFrame, suppression: DataFrame, locati
 
 def daily_revenue(lines: DataFrame, customers: DataFrame, location: DataFrame,
                   areas: tuple = fixed.REVENUE_AREAS, regions: tuple = fixed.REVENUE_REGIONS,
-                  districts: tuple = fixed.REVENUE_DISTRICTS) -> DataFrame:
-    """Revenue per day in millions over the locations that fit one of three rules."""
+                  districts: tuple = fixed.REVENUE_DISTRICTS, *, begin: dt.date, end: dt.date,
+                  departments: tuple = fixed.EXCLUDED_DEPARTMENTS) -> DataFrame:
+    """Revenue per day in millions over the locations that fit one of three rules.
+
+    ``lines`` are register lines; their customer key leads to the customer. Voided lines and
+    the unwanted departments stay out, no chain or division does.
+    """
     counted = location.where(
         F.col("area_id").isin(*areas) | F.col("region_id").isin(*regions) | F.col("district_id").isin(*districts)
     ).select("location_id")
+    valid = lines.where(
+        F.col("trans_date").between(F.lit(begin), F.lit(end)) & (F.col("status") != "V") & ~F.col("department_id").isin(*departments))
+    people = customers.where(F.col("cust_id").cast("string") != filters.NO_CUSTOMER).select("customer_key", "cust_id")
     amounts = (
-        lines.join(counted, "location_id", "left_semi")
-        .select("trans_date", "cust_id", line_amount().alias("amount"))
+        valid.join(counted, "location_id", "left_semi")
+        .select("trans_date", "customer_key", line_amount().alias("amount"))
         .distinct()
     )
     return (
-        known_customers(amounts, customers)
+        amounts.join(people, "customer_key")
+        .select("trans_date", "cust_id", "amount")
+        .distinct()
         .groupBy("trans_date")
         .agg(scoring.scale_millions(money_sum(F.col("amount"))).alias("revenue"))
     )
 
 
-def customer_history(sales: DataFrame, product: DataFrame, location: DataFrame, cust_id, after: dt.date) -> DataFrame:
-    """Valid lines of one customer after a day, in date order."""
+def customer_history(sales: DataFrame, customers: DataFrame, product: DataFrame, location: DataFrame, cust_id, after: dt.date) -> DataFrame:
+    """Valid lines of one existing customer after a day, in date order."""
     lines = sales.where((F.col("cust_id") == cust_id) & (F.col("status") != "V") & (F.col("trans_date") > F.lit(after)))
+    attributes = product.select("item_id", "division_name", "department_name", "group_name", "class_name", "brand_name", "gender", "color", "size")
     return (
-        lines.join(product.select("item_id", "department_name", "class_name", "gender", "color", "size"), "item_id")
+        known_customers(lines, customers.where(F.col("cust_id") == cust_id))
+        .join(attributes, "item_id")
         .join(location.select("location_id", "location_name"), "location_id")
-        .select("cust_id", "trans_date", "tran_no", "location_name", "item_id", "unit_price", "qty", "unit_discount",
-                "assoc1", "assoc2", "division", "department_name", "class_name", "designer", "gender", "color", "size")
+        .select("cust_id", "trans_date", "tran_no", "location_name", "item_id", "unit_price", "qty", "unit_discount", "unit_retail",
+                "assoc1", "assoc2", "division_name", "department_name", "group_name", "class_name", "brand_name", "gender", "color", "size")
         .distinct()
         .orderBy("trans_date", "tran_no", "item_id")
     )
@@ -150,12 +162,12 @@ def web_sales_items(lines: DataFrame, customers: DataFrame, product: DataFrame,
     sold = filters.purchase_line_filter(lines, begin, end, prefix)
     goods = (
         filters.merch_exclusions(filters.known_products(product, known_brand=False), divisions)
-        .select("product_key", "division_name", "group_id", "class_name", "department_name", "designer")
+        .select("product_key", "division_name", "group_id", "group_name", "class_name", "subclass", "department_name", "designer")
         .distinct()
     )
     items = (
         filters.description_exclusions(catalog)
-        .select("catalog_key", "web_item_id", "description", "regular_price")
+        .select("catalog_key", "web_item_id", "web_item_name", "description", "regular_price", "sale_price")
         .distinct()
     )
     people = customers.where(F.col("cust_id").cast("string") != filters.UNKNOWN_KEY).select("customer_key", "cust_id")
@@ -165,8 +177,8 @@ def web_sales_items(lines: DataFrame, customers: DataFrame, product: DataFrame,
         .join(people, "customer_key")
         .join(goods, "product_key")
         .join(items, "catalog_key")
-        .select("cust_id", "tran_time", "web_item_id", "division_name", "group_id", "class_name",
-                "department_name", "designer", "description", "regular_price")
+        .select("cust_id", "tran_time", "web_item_id", "web_item_name", "division_name", "group_id", "group_name", "class_name",
+                "subclass", "department_name", "designer", "description", "regular_price", "sale_price")
         .distinct()
     )
 
@@ -187,31 +199,31 @@ def item_price_catalog(sales: DataFrame, recent_lines: DataFrame, product: DataF
     """Distinct price points and attributes of the items sold recently."""
     points = sales.select("item_id", "unit_price", "unit_discount", "unit_retail").distinct()
     recent = recent_lines.select("item_id").distinct()
-    attributes = product.select("item_id", "brand_name", "class_name", "initial_cost", "initial_retail", "gender",
+    attributes = product.select("item_id", "brand_name", "class_name", "initial_cost", "initial_retail", "tax_category_id", "gender",
                                 "color", "size", "department_name", "division_name", "group_name")
     return points.join(recent, "item_id", "left_semi").join(attributes, "item_id").distinct()
 
 
-def latest_fiscal_month(summary: DataFrame, after: int) -> DataFrame:
-    return summary.where(F.col("fiscal_month_end") > after).agg(F.max("fiscal_month_end").alias("latest_year_month"))
+def latest_fiscal_month(summary: DataFrame, after: int, chain: str) -> DataFrame:
+    return summary.where((F.col("chain") == chain) & (F.col("fiscal_month_end") > after)).agg(F.max("fiscal_month_end").alias("latest_year_month"))
 
 
-def rolling_ty_ly(summary: DataFrame, after: int) -> DataFrame:
-    """Rolling amount and segment of the latest month next to the same month a year before.
+def rolling_ty_ly(summary: DataFrame, after: int, chain: str) -> DataFrame:
+    """Rolling amount and segment of a chain's latest month next to the same month a year before.
 
     The latest month is a scalar subquery, so nothing comes back to the driver.
     Both months are narrowed to one row per customer before they meet.
     """
-    latest = latest_fiscal_month(summary, after).scalar()
-    month = F.col("fiscal_month_end")
+    latest = latest_fiscal_month(summary, after, chain).scalar()
+    month, own = F.col("fiscal_month_end"), summary.where(F.col("chain") == chain)
 
     def one(df: DataFrame, prefix: str) -> DataFrame:
         best = first_per_key(df, ["cust_id"], [F.col("rolling_amt").desc(), F.col("segment").asc()])
         return best.select("cust_id", F.col("rolling_amt").alias(f"{prefix}_rolling_amt"),
                            F.col("segment").alias(f"{prefix}_cgroup"))
 
-    this_year = one(summary.where(month == latest), "ty")
-    last_year = one(summary.where(month == latest - 100), "ly")
+    this_year = one(own.where(month == latest), "ty")
+    last_year = one(own.where(month == latest - 100), "ly")
     joined = this_year.join(last_year, "cust_id", "left")
     return filters.coalesce_counts(joined, ["ty_rolling_amt", "ty_cgroup", "ly_rolling_amt", "ly_cgroup"])
 

@@ -5,6 +5,7 @@ Written apart from the Spark definitions so that the oracle does not lean on the
 
 from __future__ import annotations
 
+from tastemill.functions.fixed import EXCLUDED_DESCRIPTION_WORDS, SUPPRESSION_POSITIONS
 from tastemill.sources.retail import DIVISION_NAMES, GENDERS
 
 
@@ -22,7 +23,7 @@ _EMAIL = "CASE WHEN user_id%7=0 THEN 'u'||user_id||'@staff.example.com' ELSE 'u'
 _K = "CAST(json_extract_string(props,'$.k') AS INTEGER)"
 
 VIEWS: dict[str, str] = {
-    "sales": f"""SELECT o_custkey AS cust_id, CAST(o_orderdate AS DATE) AS trans_date, l_orderkey AS tran_no, l_partkey AS item_id,
+    "sales": f"""SELECT CAST(CASE WHEN o_orderkey%101=0 THEN 0 ELSE o_custkey END AS BIGINT) AS cust_id, CAST(o_orderdate AS DATE) AS trans_date, l_orderkey AS tran_no, l_partkey AS item_id,
  s_nationkey AS location_id, {_PART},
  CASE WHEN l_returnflag='R' THEN 'V' ELSE 'S' END AS status,
  CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 'Store' WHEN o_orderpriority='5-LOW' THEN 'Catalog' ELSE 'Online' END AS channel,
@@ -33,16 +34,16 @@ VIEWS: dict[str, str] = {
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey JOIN supplier ON l_suppkey=s_suppkey""",
     "product": f"""SELECT p_partkey AS item_id, p_partkey AS product_key, {_PART},
  CASE WHEN CAST(split_part(p_brand,'#',2) AS INTEGER)=25 THEN 'UNKNOWN BRAND' ELSE p_brand END AS brand_name,
- split_part(p_name,' ',2) AS class_name, 'Dept '||p_size AS department_name, CAST(p_size%20+800 AS VARCHAR) AS group_id,
+ split_part(p_name,' ',2) AS class_name, 'Dept '||p_size AS department_name, 'Sub '||(p_size%4) AS subclass, p_size%3 AS tax_category_id, CAST(p_size%20+800 AS VARCHAR) AS group_id,
  'Group '||(p_size%20) AS group_name, {_list(DIVISION_NAMES)}[p_partkey%{len(DIVISION_NAMES)}+1] AS division_name,
  {_list(GENDERS)}[p_partkey%{len(GENDERS)}+1] AS gender,
  CASE WHEN p_name LIKE 'hot %' THEN 'NO COLOR' ELSE split_part(p_name,' ',1) END AS color,
  CASE WHEN p_size%10=0 THEN 'NO SIZE' ELSE CAST(p_size AS VARCHAR) END AS size,
  p_retailprice*CAST(0.5 AS DOUBLE) AS initial_cost, p_retailprice AS initial_retail FROM part""",
-    "catalog": """SELECT p_partkey AS catalog_key, 'NM_'||p_partkey AS item_code, right('NM_'||p_partkey,5) AS item_suffix, p_partkey AS item_id,
- 'W'||p_partkey AS web_item_id,
- CASE WHEN p_partkey%23=0 THEN p_name||' Swim set' WHEN p_partkey%31=0 THEN 'MISC '||p_name ELSE p_name END AS description,
- p_retailprice AS regular_price, p_brand AS brand, split_part(p_name,' ',2) AS class FROM part""",
+    "catalog": f"""SELECT p_partkey AS catalog_key, 'NM_'||p_partkey AS item_code, right('NM_'||p_partkey,5) AS item_suffix, p_partkey AS item_id,
+ 'W'||p_partkey AS web_item_id, 'Web '||p_name AS web_item_name,
+ CASE WHEN p_partkey%7=0 THEN p_name||' '||upper({_list(EXCLUDED_DESCRIPTION_WORDS)}[(p_partkey//7)%{len(EXCLUDED_DESCRIPTION_WORDS)}+1])||' set' ELSE p_name END AS description,
+ p_retailprice AS regular_price, CASE WHEN p_partkey%4=0 THEN p_retailprice*CAST(0.5 AS DOUBLE) ELSE p_retailprice END AS sale_price, p_brand AS brand, split_part(p_name,' ',2) AS class FROM part""",
     "location": """SELECT n_nationkey AS location_id, CASE WHEN n_nationkey<>24 THEN n_nationkey+1000 END AS location_no,
  CASE WHEN n_regionkey=0 THEN n_name||' Online' WHEN n_regionkey=1 THEN n_name||' Catalog' ELSE n_name END AS location_name,
  n_nationkey%7 AS chain_id, n_nationkey%6+10 AS area_id, n_regionkey+200 AS region_id,
@@ -53,34 +54,35 @@ VIEWS: dict[str, str] = {
  CASE WHEN p_partkey%5=0 THEN 'OUTLET' ELSE 'STORES' END AS selling_group FROM part""",
     "web_stock": "SELECT p_partkey AS item_id, p_size%7 AS qty, CASE WHEN p_partkey%9=0 THEN 'OTHER' ELSE 'MAIN' END AS retailer FROM part",
     "register_lines": """SELECT o_orderdate AS tran_time, CAST(o_orderdate AS DATE) AS trans_date,
- CASE WHEN l_tax<=CAST(0.06 AS DOUBLE) THEN 'SALE' ELSE 'VOID' END AS tran_type, CASE WHEN l_returnflag='R' THEN 'R' ELSE 'S' END AS status,
- CASE WHEN l_linenumber=7 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS qty, l_partkey AS product_key,
+ CASE WHEN l_tax<=CAST(0.06 AS DOUBLE) THEN 'SALE' ELSE 'VOID' END AS tran_type, CASE WHEN l_tax>CAST(0.07 AS DOUBLE) THEN 'V' WHEN l_returnflag='R' THEN 'R' ELSE 'S' END AS status,
+ l_partkey%50+1 AS department_id, l_suppkey%25 AS location_id, l_extendedprice AS unit_price,
+ CASE WHEN l_linenumber=7 THEN 0 ELSE CAST(l_quantity AS INTEGER) END AS qty, CASE WHEN l_suppkey%37=1 THEN -1 ELSE l_partkey END AS product_key,
  CASE WHEN l_linenumber=5 THEN -1 ELSE l_partkey END AS catalog_key,
  CASE WHEN l_suppkey%50=0 THEN -1 ELSE o_custkey END AS customer_key,
  CASE WHEN l_suppkey%9=0 THEN 'XX_'||l_partkey ELSE 'NM_'||l_partkey END AS item_code
  FROM lineitem JOIN orders ON l_orderkey=o_orderkey""",
-    "purchases": """SELECT o_custkey AS cust_id, 'W'||l_partkey AS web_item_id, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date_time,
+    "purchases": """SELECT CAST(CASE WHEN o_orderkey%101=0 THEN 0 ELSE o_custkey END AS BIGINT) AS cust_id, 'W'||l_partkey AS web_item_id, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS date_time,
  p_retailprice AS regular_price FROM lineitem JOIN orders ON l_orderkey=o_orderkey JOIN part ON l_partkey=p_partkey WHERE l_returnflag<>'R'""",
     "returned": """SELECT CASE WHEN l_returnflag='R' THEN 'R' ELSE 'S' END AS status, l_suppkey AS return_location,
  CAST(l_shipdate AS DATE) AS return_date, l_extendedprice AS unit_price, CAST(l_quantity AS INTEGER) AS qty,
  lpad(CAST(l_suppkey*7%2000 AS VARCHAR),4,'0')||'/'||lpad(CAST(l_linenumber AS VARCHAR),6,'0')||'/001'||lpad(CAST(l_orderkey%10000 AS VARCHAR),4,'0')
  ||'/'||strftime(o_orderdate,'%m%d%y') AS reference FROM lineitem JOIN orders ON l_orderkey=o_orderkey""",
-    "rolling_summary": """SELECT o_custkey AS cust_id, CAST(year(o_orderdate)*100+month(o_orderdate) AS INTEGER) AS fiscal_month_end,
+    "rolling_summary": """SELECT o_custkey AS cust_id, CASE WHEN o_custkey%6=0 THEN 'SECOND' ELSE 'MAIN' END AS chain, CAST(year(o_orderdate)*100+month(o_orderdate) AS INTEGER) AS fiscal_month_end,
  CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS rolling_amt, CASE WHEN count(*)>1 THEN 2 ELSE 1 END AS segment
- FROM orders GROUP BY 1,2""",
-    "clickstream": f"""SELECT event_id, ts AS date_time, CAST(ts AS DATE) AS event_date, 'v'||user_id AS visitor_id, {_EMAIL} AS email,
+ FROM orders GROUP BY 1,2,3""",
+    "clickstream": f"""SELECT event_id, ts AS date_time, CAST(ts AS DATE) AS event_date, 'v'||user_id AS visitor_id, CASE WHEN event_id%33<>5 THEN {_EMAIL} END AS email,
  CASE event_type WHEN 'view' THEN 'product detail' WHEN 'click' THEN 'Shopping Cart' WHEN 'purchase' THEN 'order confirmation' ELSE 'home' END AS pagename,
  CASE WHEN event_type='purchase' THEN event_id END AS purchase_id,
- 'c;NM_'||{_K}||';1;'||{_K}||',c;NM_'||({_K}+1)||';2;'||({_K}+1) AS product_list,
- CASE WHEN event_id%50=0 THEN 1 ELSE 0 END AS exclude_hit, 0 AS duplicate_purchase,
+ CASE WHEN event_id%40<>7 THEN CASE WHEN event_id%21=3 THEN 'c;XX_' ELSE 'c;NM_' END||{_K}||';1;'||{_K}||',c;NM_'||({_K}+1)||';2;'||({_K}+1) END AS product_list,
+ CASE WHEN event_id%50=0 THEN 1 ELSE 0 END AS exclude_hit, CASE WHEN event_id%30=11 THEN 1 ELSE 0 END AS duplicate_purchase,
  CASE WHEN event_id%6=0 THEN 'SECOND' ELSE 'MAIN' END AS chain FROM events""",
-    "cookie_map": "SELECT DISTINCT 'v'||user_id AS visitor_id, user_id AS cust_id FROM events WHERE user_id%10<>9",
+    "cookie_map": """SELECT DISTINCT 'v'||user_id AS visitor_id, CASE WHEN user_id%13=12 THEN -1 WHEN user_id%11<>10 THEN user_id END AS cust_id
+ FROM events WHERE user_id%10<>9""",
     "email_map": f"SELECT DISTINCT {_EMAIL} AS email, user_id AS cust_id FROM events WHERE user_id%10<>9",
     "customers": "SELECT c_custkey AS cust_id, c_custkey AS customer_key FROM customer",
-    "suppression": """SELECT c_custkey AS cust_id, (CASE WHEN c_nationkey=3 THEN '1' ELSE '0' END)||repeat('0',40)
- ||(CASE WHEN c_mktsegment='MACHINERY' THEN '1' ELSE '0' END) AS bits FROM customer""",
-    "suppressed": """SELECT cust_id FROM suppression WHERE substr(bits,1,1)='1' OR substr(bits,3,1)='1' OR substr(bits,5,1)='1'
- OR substr(bits,6,1)='1' OR substr(bits,7,1)='1' OR substr(bits,42,1)='1'""",
+    "suppression": """SELECT c_custkey AS cust_id, (c_nationkey=3)::INT||''||(c_custkey%5=1)::INT||(c_custkey%61=0)::INT||'0'||(c_custkey%67=0)::INT
+ ||(c_custkey%71=0)::INT||(c_custkey%29=0)::INT||'00'||(c_custkey%4=3)::INT||repeat('0',31)||(c_mktsegment='MACHINERY')::INT AS bits FROM customer""",
+    "suppressed": "SELECT cust_id FROM suppression WHERE " + " OR ".join(f"substr(bits,{p},1)='1'" for p in SUPPRESSION_POSITIONS),
     "customer_source": "SELECT c_custkey AS cust_id, CASE WHEN c_custkey%20=0 THEN 'DLE' ELSE 'STD' END AS source FROM customer",
     "customer_metrics": """SELECT CASE WHEN c_custkey%53<>0 THEN c_custkey END AS cust_id, CASE WHEN c_custkey%2=0 THEN 'Dr' ELSE 'Mx' END AS prefix,
  split_part(c_name,'#',1) AS first_name, left(c_mktsegment,1) AS middle_initial, split_part(c_name,'#',2) AS last_name,

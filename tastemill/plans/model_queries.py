@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from tastemill.levels import DIVISION, LEVELS, Level
 from tastemill.operators import clusters, recommend, rerank, taste
 from tastemill.plans.registry import query
-from tastemill.plans.taste_queries import STAMP, TASTE_VIEWS, history, profile, recent, taste_sql
-from tastemill.session import fresh_folder
+from tastemill.plans.taste_queries import (
+    STAMP, TASTE_VIEWS, deterministic_recs, history, profile, publish_sql, recent, rounded_score, taste_sql,
+)
+from tastemill.session import cut, fresh_folder
 from tastemill.sources import tables
 
 # --- recommendation -----------------------------------------------------------------
@@ -20,7 +23,7 @@ def _(d):
 
 
 @query("index_products", ["sales"], """SELECT designer||' '||class AS category, designer_id, designer, class_id, class, CAST(row_number() OVER (ORDER BY n DESC, designer||' '||class, designer_id, designer, class_id, class)-1 AS INTEGER) AS product_id
- FROM (SELECT designer_id, designer, class_id, class, count(*) AS n FROM sales WHERE status<>'V' GROUP BY ALL)""")
+ FROM (SELECT designer_id, designer, class_id, class, count(*) AS n FROM sales WHERE status<>'V' AND trans_date BETWEEN DATE '1998-07-29' AND DATE '2001-07-28' GROUP BY ALL)""")
 def _(d):
     level = LEVELS["designer_class"]
     return recommend.index_ids(taste.trans_by_level(history(d, level), level), level.product_columns, "product_id")
@@ -52,16 +55,70 @@ def _recommended(d, level: Level):
     return recommend.recommend(profile(d, level), level)
 
 
+def contract_sql(level: Level) -> str:
+    """What any model must give: a full list for each customer in the training share."""
+    columns = ", ".join(level.product_columns[1:])
+    return f"""WITH {taste_sql(level)}, users AS (SELECT cust_id, row_number() OVER (ORDER BY n DESC, cust_id)-1 AS user_id FROM (SELECT cust_id, count(*) AS n FROM profile GROUP BY 1)),
+ goods AS (SELECT category, {columns}, row_number() OVER (ORDER BY n DESC, category, {columns})-1 AS product_id FROM (SELECT category, {columns}, count(*) AS n FROM profile GROUP BY ALL)),
+ split AS (SELECT cust_id, product_id, CAST('0x'||substr(md5('7|'||user_id||'|'||product_id),1,8) AS BIGINT)<3435973836 AS in_train
+ FROM profile JOIN users USING (cust_id) JOIN goods USING (category, {columns})),
+ known AS (SELECT count(DISTINCT product_id) AS n FROM split WHERE in_train)
+ SELECT cust_id, CASE WHEN trained THEN least(15, n) ELSE 0 END AS n_recs, true AS ranks_whole, true AS scores_fall, true AS scores_in_range
+ FROM (SELECT cust_id, bool_or(in_train) AS trained FROM split GROUP BY 1), known"""
+
+
+def recommendation_contract(recs, profile, level: Level):
+    """Per customer of a profile: length of the list, whether ranks run 1, 2, 3 ..., whether scores fall
+    with them and stay in 1 to 100. A customer without a list is reported with length 0."""
+    place, score = F.col("propensity_rank"), F.col("propensity_score")
+    before = F.lag("propensity_score").over(Window.partitionBy("cust_id").orderBy("propensity_rank"))
+    held = recs.withColumn("_falls", F.coalesce(score <= before, F.lit(True))).groupBy("cust_id").agg(
+        F.count("*").alias("n_recs"),
+        ((F.min(place) == 1) & (F.max(place) == F.count("*")) & (F.count_distinct(place) == F.count("*"))).alias("ranks_whole"),
+        F.min("_falls").alias("scores_fall"),
+        F.min(score.between(1, 100)).alias("scores_in_range"))
+    joined = profile.select("cust_id").distinct().join(held, "cust_id", "left")
+    flags = {c: F.coalesce(c, F.lit(True)) for c in ("ranks_whole", "scores_fall", "scores_in_range")}
+    return joined.withColumns({"n_recs": F.coalesce("n_recs", F.lit(0)), **flags})
+
+
+def published(d, level: Level):
+    stamp = F.lit(STAMP).cast("timestamp_ntz")
+    return rerank.publish(rerank.rerank_unseen(deterministic_recs(d, level), recent(d, level), level), stamp)
+
+
 def _register_level(level: Level) -> None:
     @query(f"recommend_{level.name}")
     def _(d):
         return _recommended(d, level)
 
+    @query(f"recommend_{level.name}_contract", TASTE_VIEWS, contract_sql(level))
+    def _(d):
+        tastes = cut(profile(d, level), "profile")
+        return recommendation_contract(recommend.recommend(tastes, level), tastes, level)
+
+    @query(f"publish_and_load_{level.name}", TASTE_VIEWS, publish_sql(level).replace("SELECT r.* REPLACE", "SELECT 0 AS n_rejected, r.* REPLACE"))
+    def _(d):
+        """Rule, gzip file, then a refresh of the table that is there, with the rejects counted."""
+        rows, table = published(d, level), f"tastemill_published_{level.name}"
+        path = fresh_folder(d.spark, "publish")
+        tables.write_csv_gz(rows, path, header=False)
+        d.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        tables.create_table_as(rows.limit(0), table, path=fresh_folder(d.spark, "publish-table"))
+        loaded, bad = tables.full_refresh_load(d.spark, path, table, rows.schema)
+        return rounded_score(loaded.withColumn("n_rejected", cut(bad, "rejects").agg(F.count("*")).scalar()))
+
 
 for _level in LEVELS.values():
     _register_level(_level)
 
 
+@query("recommend_division_for_all")
+def _(d):
+    """The complete form: the model is fitted on every score, so each customer gets a list."""
+    return recommend.recommend(profile(d, DIVISION), DIVISION, recommend.ALSSettings(refit_on_all=True))
+
+
 @query("category_recommendations")
 def _(d):
     """All steps for one level: profile, model, re-rank, publish."""
@@ -110,6 +167,13 @@ def _(d):
     return clusters.kmeans_elbow(d.table("part"), "p_size")
 
 
+@query("cluster_feature_separated", [], "SELECT c_custkey, CAST((c_nationkey%3)*1000+c_custkey%7 AS DOUBLE) AS place, CAST(c_nationkey%3 AS INTEGER) AS place_cluster FROM customer")
+def _(d):
+    """Groups so far apart that every sound clustering finds them: SQL knows the labels."""
+    place = (F.col("c_nationkey") % 3 * 1000 + F.col("c_custkey") % 7).cast("double")
+    return clusters.cluster_feature(d.table("customer").select("c_custkey", place.alias("place")), "place", 3)
+
+
 @query("cluster_feature")
 def _(d):
     return clusters.cluster_feature(d.table("customer").select("c_custkey", "c_acctbal"), "c_acctbal", 4)
@@ -122,7 +186,9 @@ CUSTOMER = StructType([
     StructField("c_acctbal", DoubleType()), StructField("c_mktsegment", StringType()),
 ])
 CUSTOMER_SQL = "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
-CUSTOMER_TEXT = "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, c_mktsegment FROM customer"
+CUSTOMER_TEXT = """SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_nationkey AS VARCHAR) AS c_nationkey, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
+ c_mktsegment FROM customer"""
+NAME_SQL = "CASE WHEN c_custkey%7=0 THEN c_name||' and company' ELSE c_name END"
 
 
 @query("read_relation_distinct", [], "SELECT DISTINCT * FROM lineitem")
@@ -149,7 +215,7 @@ def _(d):
 @query("csv_gz_round_trip", [], CUSTOMER_TEXT)
 def _(d):
     path = fresh_folder(d.spark, "csv-gz")
-    rows = d.table("customer").drop("c_acctbal")
+    rows = d.table("customer")
     tables.write_csv_gz(rows, path)
     return tables.read_csv_gz(d.spark, path, rows.columns)
 
@@ -168,11 +234,12 @@ def _(d):
     return tables.read_parquet_dataset(d.spark, path)
 
 
-@query("single_csv_round_trip", [], "SELECT n_nationkey, n_name FROM nation")
+@query("single_csv_round_trip", [], "SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def _(d):
     path = fresh_folder(d.spark, "single")
-    tables.write_single_csv(d.table("nation").select("n_nationkey", "n_name"), path, gzip=True, header=True)
-    return tables.read_csv(d.spark, path, StructType([StructField("n_nationkey", IntegerType()), StructField("n_name", StringType())]))
+    rows = d.table("nation")
+    tables.write_single_csv(rows, path, gzip=True, header=True)
+    return tables.read_csv(d.spark, path, rows.schema)
 
 
 @query("create_table_as", [], CUSTOMER_SQL)
@@ -182,20 +249,23 @@ def _(d):
     return tables.create_table_as(d.table("customer"), name, refresh=False)
 
 
-@query("full_refresh_load", [], CUSTOMER_SQL)
+@query("full_refresh_load", [], """SELECT CASE WHEN c_custkey%10<>0 THEN c_custkey END AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, c_custkey%10=0 AS rejected FROM customer""")
 def _(d):
-    path = fresh_folder(d.spark, "refresh")
-    tables.write_csv_gz(d.table("customer"), path)
+    """A table that holds other rows is emptied and filled from a file in which every tenth key is unreadable."""
+    path, key = fresh_folder(d.spark, "refresh"), F.col("c_custkey")
+    tables.write_csv_gz(d.table("customer").withColumn("c_custkey", F.when(key % 10 == 0, F.concat(F.lit("no. "), key)).otherwise(key.cast("string"))), path)
     d.spark.sql("DROP TABLE IF EXISTS tastemill_refresh")
-    loaded, _bad = tables.full_refresh_load(d.spark, path, "tastemill_refresh", CUSTOMER, header=True, table_path=fresh_folder(d.spark, "refresh-table"))
-    return loaded
+    tables.create_table_as(d.table("customer").where("c_custkey % 2 = 0"), "tastemill_refresh", path=fresh_folder(d.spark, "refresh-table"))
+    loaded, bad = tables.full_refresh_load(d.spark, path, "tastemill_refresh", CUSTOMER, header=True)
+    return loaded.withColumn("rejected", F.lit(False)).unionByName(bad.drop(tables.BAD).withColumn("rejected", F.lit(True)))
 
 
-@query("load_as_strings", [], CUSTOMER_TEXT)
+@query("load_as_strings", [], f"SELECT *, length(c_name)>18 AS rejected FROM ({CUSTOMER_TEXT.replace('c_name,', NAME_SQL + ' AS c_name,')})")
 def _(d):
-    rows = d.table("customer").drop("c_acctbal")
-    loaded, _wide = tables.load_as_strings(rows, "tastemill_text", path=fresh_folder(d.spark, "text-table"))
-    return loaded
+    """Names of every seventh customer are too wide and come back as rejects."""
+    name = F.when(F.col("c_custkey") % 7 == 0, F.concat("c_name", F.lit(" and company"))).otherwise(F.col("c_name"))
+    loaded, wide = tables.load_as_strings(d.table("customer").withColumn("c_name", name), "tastemill_text", width=18, path=fresh_folder(d.spark, "text-table"))
+    return loaded.withColumn("rejected", F.lit(False)).unionByName(wide.withColumn("rejected", F.lit(True)))
 
 
 @query("copy_dataset", [], CUSTOMER_SQL)

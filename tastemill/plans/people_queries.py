@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tastemill.operators import customers as cu
-from tastemill.plans.registry import AS_OF, query
+from tastemill.plans.registry import AS_OF, CHAIN, SALES_BEGIN, SALES_END, query
 from tastemill.plans.sales_queries import SPEND, TRIP_VIEWS, VISITS, spend, visits
 
 METRICS = ", ".join(cu.METRICS)
@@ -27,11 +27,13 @@ def _(d):
 
 
 DIGITAL = """digital AS (SELECT DISTINCT cust_id FROM sales s WHERE status<>'V' AND assoc1=-1 AND cust_id<>0 AND cust_id IN (SELECT cust_id FROM customers)
- AND NOT EXISTS (SELECT 1 FROM sales o WHERE o.cust_id=s.cust_id AND o.status<>'V' AND o.assoc1<>-1))"""
+ AND chain='MAIN' AND trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND NOT EXISTS (SELECT 1 FROM sales o WHERE o.cust_id=s.cust_id AND o.status<>'V'
+ AND o.assoc1<>-1 AND o.chain='MAIN' AND o.trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01'))"""
 
 
 def digital(d):
-    return cu.digital_only_customers(d.sales("cust_id", "status", "assoc1"), d.customers())
+    lines = d.sales("cust_id", "trans_date", "chain", "status", "assoc1", between=(SALES_BEGIN, SALES_END))
+    return cu.digital_only_customers(lines, d.customers(), SALES_BEGIN, SALES_END, CHAIN)
 
 
 @query("digital_only_customers", ["sales", "customers"], f"WITH {DIGITAL} SELECT * FROM digital")

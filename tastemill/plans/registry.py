@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tastemill.functions.dates import run_windows
 from tastemill.plans.logical import with_views
 from tastemill.session import configure
 from tastemill.sources.retail import RetailData
@@ -16,21 +17,26 @@ from tastemill.sources.retail import RetailData
 # Parameters of the runs on the given tables.
 AS_OF = dt.date(2001, 8, 1)
 SALES_BEGIN, SALES_END = dt.date(1995, 1, 1), AS_OF
-RECENT_BEGIN = dt.date(2001, 7, 2)
-CLICK_BEGIN, CLICK_END = dt.date(2023, 12, 13), dt.date(2024, 1, 31)
+CLICKS_AS_OF = dt.date(2024, 1, 31)
+HISTORY, RECENT = (run_windows(AS_OF)[w] for w in ("history", "recent"))
+CLICK_BEGIN, CLICK_END = run_windows(CLICKS_AS_OF)["browse"]
 CHAIN = "MAIN"
 DEPARTMENTS = (7, 13, 21)
 DIVISIONS = (3,)
 CUSTOMER_SUPPORT = (3, 100)
 ITEM_SUPPORT = (20, 120)
 
+# The same windows for the oracles: three years of sales, 30 days of sales and 49 days of clicks up to the last Saturday.
+HISTORY_SQL = "trans_date BETWEEN DATE '1998-07-29' AND DATE '2001-07-28'"
+RECENT_SQL = "trans_date BETWEEN DATE '2001-06-28' AND DATE '2001-07-28'"
+CLICKS_SQL = "event_date BETWEEN DATE '2023-12-09' AND DATE '2024-01-27'"
+
 # The base filters as SQL, for oracles that start from sales lines: with the division rule,
-# without it, without chain and division, and by date and chain alone.
+# without it, and by date and chain alone.
 _DATED = "SELECT * FROM sales WHERE trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01'"
 _VALID = "status<>'V' AND cust_id<>0 AND department_id NOT IN (7,13,21)"
 BASE = f"base AS ({_DATED} AND {_VALID} AND chain='MAIN' AND division_id<>3)"
 BASE_ALL_DIVISIONS = f"base AS ({_DATED} AND {_VALID} AND chain='MAIN')"
-BASE_ALL_CHAINS = f"base AS ({_DATED} AND {_VALID})"
 BASE_DATED = f"base AS ({_DATED} AND chain='MAIN')"
 # Lines of existing customers that may be contacted.
 REACHABLE = "cust_id IN (SELECT cust_id FROM customers) AND NOT EXISTS (SELECT 1 FROM suppressed z WHERE z.cust_id={0}.cust_id)"

@@ -6,9 +6,10 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from tastemill.functions import text
+from tastemill.functions import fixed, text
 from tastemill.operators import features, inventory, sales
-from tastemill.plans.registry import AS_OF, BASE, BASE_ALL_CHAINS, BASE_ALL_DIVISIONS, BASE_DATED, DIVISIONS, REACHABLE, base_sales, dated_sales, query
+from tastemill.plans.registry import AS_OF, BASE, BASE_ALL_DIVISIONS, BASE_DATED, CHAIN, DEPARTMENTS, REACHABLE, RECENT, RECENT_SQL, SALES_BEGIN, SALES_END, base_sales, dated_sales, query
+from tastemill.plans.scalar_queries import MERCH, SHORT_NAME, WORDS
 
 CHANNELS = ["Catalog", "Online", "Store"]
 ALL_SPEND_COLUMNS = ["cust_id", "trans_date", "designer", "item_id", "location_id", "department_id", "division_id",
@@ -71,16 +72,15 @@ def _(d):
     return features.rfm(daily_spend(d, whole=False), AS_OF)
 
 
-GAP_BASE = """gap_base AS (SELECT * FROM sales WHERE trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND status<>'V' AND cust_id<>0
- AND chain='MAIN' AND department_id NOT IN (7,13,21) AND division_id<>3 AND cust_id IN (SELECT cust_id FROM customers))"""
-GAP = f"""{GAP_BASE}, gap AS (SELECT * FROM (SELECT cust_id, trans_date, CAST(trans_date-lag(trans_date) OVER w AS INTEGER) AS inter_shopping_days,
- count(trans_date) OVER w AS trip_number, spent_in_this_shopd_day, max(trans_date) OVER (PARTITION BY cust_id) AS last_shopd_day,
- CAST(DATE '2001-08-01'-max(trans_date) OVER (PARTITION BY cust_id) AS INTEGER) AS days_since_last_shopd,
- min(trans_date) OVER (PARTITION BY cust_id) AS first_shopd_day,
- CAST(max(trans_date) OVER (PARTITION BY cust_id)-min(trans_date) OVER (PARTITION BY cust_id) AS INTEGER) AS days_betn_first_shopd_and_last_shopd
- FROM (SELECT cust_id, trans_date, CAST(sum(CAST(unit_price*qty AS DECIMAL(18,2))) AS DOUBLE) AS spent_in_this_shopd_day FROM gap_base GROUP BY 1,2)
- WINDOW w AS (PARTITION BY cust_id ORDER BY trans_date)) g
- WHERE days_since_last_shopd<365 AND NOT EXISTS (SELECT 1 FROM suppressed z WHERE z.cust_id=g.cust_id))"""
+# Shopping days, then first and last day of each customer as an aggregate joined back.
+GAP_BASE = f"""{BASE}, gap_base AS (SELECT * FROM base WHERE cust_id IN (SELECT cust_id FROM customers))"""
+SPENT = "CAST(sum(CAST(unit_price*qty AS DECIMAL(18,2))) AS DOUBLE) AS spent_in_this_shopd_day"
+ENDS = """ends AS (SELECT cust_id, min(trans_date) AS first_shopd_day, max(trans_date) AS last_shopd_day, CAST(DATE '2001-08-01'-max(trans_date) AS INTEGER) AS days_since_last_shopd,
+ CAST(max(trans_date)-min(trans_date) AS INTEGER) AS days_betn_first_shopd_and_last_shopd FROM trip GROUP BY 1)"""
+ACTIVE_ENDS = "JOIN (SELECT * FROM ends e WHERE days_since_last_shopd<365 AND e.cust_id NOT IN (SELECT cust_id FROM suppressed)) USING (cust_id)"
+GAP = f"""{GAP_BASE}, trip AS (SELECT cust_id, trans_date, {SPENT} FROM gap_base GROUP BY 1,2), {ENDS},
+ gap AS (SELECT cust_id, trans_date, CAST(trans_date-lag(trans_date) OVER w AS INTEGER) AS inter_shopping_days, row_number() OVER w AS trip_number, spent_in_this_shopd_day,
+ last_shopd_day, days_since_last_shopd, first_shopd_day, days_betn_first_shopd_and_last_shopd FROM trip {ACTIVE_ENDS} WINDOW w AS (PARTITION BY cust_id ORDER BY trans_date))"""
 GAP_VIEWS = ["sales", "customers", "suppressed"]
 
 
@@ -94,16 +94,11 @@ def _(d):
     return gaps(d)
 
 
-@query("inter_shopping_days_by_location", [*GAP_VIEWS, "location"], f"""WITH {GAP_BASE}, p AS (SELECT cust_id, trans_date, location_name,
- CAST(sum(CAST(unit_price*qty AS DECIMAL(18,2))) AS DOUBLE) AS spent_in_this_shopd_day FROM gap_base b JOIN location l ON b.location_id=l.location_id GROUP BY 1,2,3)
- SELECT cust_id, trans_date, inter_shopping_days, trip_number, CASE WHEN location_name LIKE '%Online%' THEN 'online' WHEN location_name LIKE '%Catalog%' THEN 'catalog' ELSE location_name END AS location_name,
- spent_in_this_shopd_day, last_shopd_day, days_since_last_shopd, first_shopd_day, days_betn_first_shopd_and_last_shopd FROM (
- SELECT cust_id, trans_date, location_name, spent_in_this_shopd_day,
- CAST(trans_date-lag(trans_date) OVER (PARTITION BY cust_id ORDER BY trans_date, location_name) AS INTEGER) AS inter_shopping_days,
- count(trans_date) OVER (PARTITION BY cust_id ORDER BY trans_date) AS trip_number, max(trans_date) OVER c AS last_shopd_day,
- CAST(DATE '2001-08-01'-max(trans_date) OVER c AS INTEGER) AS days_since_last_shopd, min(trans_date) OVER c AS first_shopd_day,
- CAST(max(trans_date) OVER c-min(trans_date) OVER c AS INTEGER) AS days_betn_first_shopd_and_last_shopd
- FROM p WINDOW c AS (PARTITION BY cust_id)) g WHERE days_since_last_shopd<365 AND NOT EXISTS (SELECT 1 FROM suppressed z WHERE z.cust_id=g.cust_id)""")
+@query("inter_shopping_days_by_location", [*GAP_VIEWS, "location"], f"""WITH {GAP_BASE}, trip AS (SELECT cust_id, trans_date, location_name, {SPENT}
+ FROM gap_base JOIN location USING (location_id) GROUP BY 1,2,3), {ENDS}
+ SELECT cust_id, trans_date, CAST(trans_date-lag(trans_date) OVER (w ORDER BY trans_date, location_name) AS INTEGER) AS inter_shopping_days, count(*) OVER (w ORDER BY trans_date) AS trip_number,
+ CASE WHEN contains(location_name,'Online') THEN 'online' WHEN contains(location_name,'Catalog') THEN 'catalog' ELSE location_name END AS location_name, spent_in_this_shopd_day,
+ last_shopd_day, days_since_last_shopd, first_shopd_day, days_betn_first_shopd_and_last_shopd FROM trip {ACTIVE_ENDS} WINDOW w AS (PARTITION BY cust_id)""")
 def _(d):
     lines = base_sales(d, "cust_id", "trans_date", "location_id", "unit_price", "qty")
     return features.inter_shopping_days_by_location(lines, d.customers(), d.suppression(), d.location(), AS_OF, 365)
@@ -120,19 +115,16 @@ def _(d):
 
 LINES = f"""{GAP}, plines AS (SELECT DISTINCT s.cust_id, s.trans_date, s.item_id, unit_price, qty, unit_discount, unit_retail, inter_shopping_days, trip_number,
  first_shopd_day, last_shopd_day, days_since_last_shopd, days_betn_first_shopd_and_last_shopd, initial_cost, initial_retail,
- CASE WHEN division_name LIKE 'Wo%' THEN 'WA' WHEN division_name LIKE 'Co%' THEN 'CA' WHEN division_name LIKE 'Ch%' THEN 'Ch' WHEN division_name LIKE 'Gi%' THEN 'GH'
- WHEN division_name LIKE 'La%' THEN 'LS' WHEN division_name LIKE 'De%' THEN 'DH' WHEN division_name LIKE 'Fa%' THEN 'FA' WHEN division_name LIKE 'Me%' THEN 'Men'
- WHEN division_name LIKE 'Be%' THEN 'Be' WHEN division_name LIKE 'Je%' THEN 'Je' WHEN division_name LIKE 'Fi%' THEN 'FA' WHEN division_name LIKE 'No%' THEN 'NR'
- WHEN division_name LIKE 'In%' THEN 'IA' WHEN division_name LIKE 'NMG Mis%' THEN 'Mis' ELSE division_name END AS division_name, department_name, group_name, class_name,
+ {SHORT_NAME} AS division_name, department_name, group_name, class_name,
  CASE WHEN brand_name LIKE 'UNKNOWN%' THEN '?' ELSE brand_name END AS brand_name,
- CASE WHEN left(gender,1) IN ('W','U','M','G','B') THEN left(gender,1) ELSE 'N' END AS gender,
+ CASE WHEN left(gender,1) IN {fixed.GENDER_CODES} THEN left(gender,1) ELSE 'N' END AS gender,
  CASE WHEN color LIKE 'NO COLO%' THEN '?' ELSE color END AS color, CASE WHEN size LIKE 'NO SIZ%' THEN '?' ELSE size END AS size
  FROM sales s JOIN gap g ON s.cust_id=g.cust_id AND s.trans_date=g.trans_date JOIN product p ON s.item_id=p.item_id WHERE s.status<>'V')"""
 LINE_COLUMNS = ["cust_id", "trans_date", "item_id", "status", "unit_price", "qty", "unit_discount", "unit_retail"]
 
 
 def product_lines(d):
-    return features.recent_product_lines(gaps(d), d.sales(*LINE_COLUMNS), d.product())
+    return features.recent_product_lines(gaps(d), d.sales(*LINE_COLUMNS, between=(SALES_BEGIN, SALES_END)), d.product())
 
 
 @query("recent_product_lines", [*GAP_VIEWS, "product"], f"WITH {LINES} SELECT * FROM plines")
@@ -148,11 +140,11 @@ def _(d):
     return features.cohort_lines(product_lines(d), cohort)
 
 
-@query("item_price_catalog", ["sales", "product"], f"""WITH {BASE_DATED} SELECT DISTINCT b.item_id, unit_price, unit_discount, unit_retail, brand_name, class_name, initial_cost, initial_retail, gender, color, size,
+@query("item_price_catalog", ["sales", "product"], f"""WITH {BASE_DATED} SELECT DISTINCT b.item_id, unit_price, unit_discount, unit_retail, brand_name, class_name, initial_cost, initial_retail, tax_category_id, gender, color, size,
  department_name, division_name, group_name FROM base b JOIN product p ON b.item_id=p.item_id
- WHERE b.item_id IN (SELECT item_id FROM sales WHERE trans_date BETWEEN DATE '2001-07-02' AND DATE '2001-08-01')""")
+ WHERE b.item_id IN (SELECT item_id FROM sales WHERE {RECENT_SQL})""")
 def _(d):
-    recent = d.sales("item_id", between=(dt.date(2001, 7, 2), AS_OF))
+    recent = d.sales("item_id", between=RECENT)
     return sales.item_price_catalog(dated_sales(d, "item_id", "unit_price", "unit_discount", "unit_retail"), recent, d.product())
 
 
@@ -187,29 +179,28 @@ def _(d):
     return _trips(d, ["channel", "division_id"])
 
 
-@query("daily_revenue", ["sales", "customers", "location"], f"""WITH {BASE_ALL_CHAINS} SELECT trans_date, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)/1000000.0::DOUBLE AS revenue FROM (
- SELECT DISTINCT trans_date, cust_id, unit_price*qty AS amount FROM base b JOIN location l ON b.location_id=l.location_id
- WHERE (area_id=14 OR region_id=201 OR district_id IN (13011,13021,13014)) AND cust_id IN (SELECT cust_id FROM customers)) GROUP BY 1""")
+@query("daily_revenue", ["register_lines", "customers", "location"], f"""SELECT trans_date, CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE)/1000000.0::DOUBLE AS revenue FROM (
+ SELECT DISTINCT trans_date, c.cust_id, unit_price*qty AS amount FROM register_lines r JOIN customers c ON r.customer_key=c.customer_key JOIN location l ON r.location_id=l.location_id
+ WHERE trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND status<>'V' AND department_id NOT IN {DEPARTMENTS} AND c.cust_id<>0
+ AND (area_id=14 OR region_id=201 OR district_id IN {fixed.REVENUE_DISTRICTS})) GROUP BY 1""")
 def _(d):
-    return sales.daily_revenue(base_sales(d, "cust_id", "trans_date", "location_id", "unit_price", "qty", chain=None, divisions=()), d.customers(), d.location())
+    return sales.daily_revenue(d.register_lines(), d.customers(), d.location(), begin=SALES_BEGIN, end=SALES_END, departments=DEPARTMENTS)
 
 
-@query("customer_history", ["sales", "product", "location"], """SELECT DISTINCT s.cust_id, trans_date, tran_no, location_name, s.item_id, unit_price, qty, unit_discount, assoc1, assoc2, s.division,
- department_name, class_name, s.designer, gender, color, size FROM sales s JOIN product p ON s.item_id=p.item_id JOIN location l ON s.location_id=l.location_id
+@query("customer_history", ["sales", "customers", "product", "location"], """SELECT DISTINCT s.cust_id, trans_date, tran_no, location_name, s.item_id, unit_price, qty, unit_discount, unit_retail, assoc1, assoc2,
+ division_name, department_name, group_name, class_name, brand_name, gender, color, size
+ FROM sales s JOIN customers c ON s.cust_id=c.cust_id JOIN product p ON s.item_id=p.item_id JOIN location l ON s.location_id=l.location_id
  WHERE s.cust_id=5 AND status<>'V' AND trans_date>DATE '1995-06-30'""")
 def _(d):
-    lines = d.sales("cust_id", "trans_date", "tran_no", "location_id", "item_id", "status", "unit_price", "qty", "unit_discount", "assoc1", "assoc2", "division", "designer")
-    return sales.customer_history(lines, d.product(), d.location(), 5, dt.date(1995, 6, 30))
+    lines = d.sales("cust_id", "trans_date", "tran_no", "location_id", "item_id", "status", "unit_price", "qty", "unit_discount", "unit_retail", "assoc1", "assoc2")
+    return sales.customer_history(lines, d.customers(), d.product(), d.location(), 5, dt.date(1995, 6, 30))
 
 
 WEB_ITEMS_VIEWS = ["register_lines", "customers", "product", "catalog"]
-WORDS = " AND ".join(f"description NOT ILIKE '%{w}%'" for w in (
-    "swim", "christmas", "ornament", "trunk show", "unknown brand", "unclassified", "gwp", "ingestibles", "desserts", "hardware", "misc"))
-WEB_ITEMS = f"""web_items AS (SELECT DISTINCT c.cust_id, tran_time, web_item_id, division_name, group_id, class_name, department_name, p.designer, description, regular_price
- FROM register_lines r JOIN customers c ON r.customer_key=c.customer_key JOIN product p ON r.product_key=p.product_key JOIN catalog q ON r.catalog_key=q.catalog_key
- WHERE qty>0 AND tran_type='SALE' AND status='S' AND r.item_code LIKE 'NM%' AND r.product_key<>-1 AND r.customer_key<>-1 AND r.catalog_key<>-1
- AND trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND c.cust_id<>-1
- AND division_name NOT IN ('Last Call Direct Purchase','Flash Sales Direct Purchase','NMG Miscellaneous','Intimate Apparel','Non Retail') AND group_id<>'818' AND {WORDS})"""
+WEB_ITEMS = f"""web_items AS (SELECT DISTINCT c.cust_id, tran_time, web_item_id, web_item_name, division_name, group_id, group_name, class_name, subclass, department_name, p.designer, description,
+ regular_price, sale_price FROM register_lines r JOIN customers c ON r.customer_key=c.customer_key JOIN product p ON r.product_key=p.product_key JOIN catalog q ON r.catalog_key=q.catalog_key
+ WHERE qty>0 AND tran_type='SALE' AND status='S' AND starts_with(r.item_code,'{fixed.ITEM_PREFIX}') AND r.product_key<>-1 AND r.customer_key<>-1 AND r.catalog_key<>-1
+ AND trans_date BETWEEN DATE '1995-01-01' AND DATE '2001-08-01' AND c.cust_id<>-1 AND {MERCH} AND {WORDS})"""
 
 
 def web_items(d):
@@ -246,19 +237,19 @@ def _(d):
     return brand_class_counts(brand_buys(d), "total_transactions")
 
 
-@query("latest_fiscal_month", ["rolling_summary"], "SELECT max(fiscal_month_end) AS latest_year_month FROM rolling_summary WHERE fiscal_month_end>200000")
+@query("latest_fiscal_month", ["rolling_summary"], "SELECT max(fiscal_month_end) AS latest_year_month FROM rolling_summary WHERE fiscal_month_end>200000 AND chain='MAIN'")
 def _(d):
-    return sales.latest_fiscal_month(d.rolling_summary(), 200000)
+    return sales.latest_fiscal_month(d.rolling_summary(), 200000, CHAIN)
 
 
 ROLLING = """SELECT t.cust_id, t.rolling_amt AS ty_rolling_amt, t.segment AS ty_cgroup, coalesce(l.rolling_amt,0) AS ly_rolling_amt, coalesce(l.segment,0) AS ly_cgroup
- FROM (SELECT * FROM rolling_summary WHERE fiscal_month_end=(SELECT max(fiscal_month_end) FROM rolling_summary WHERE fiscal_month_end>{0})) t
- LEFT JOIN (SELECT * FROM rolling_summary WHERE fiscal_month_end=(SELECT max(fiscal_month_end)-100 FROM rolling_summary WHERE fiscal_month_end>{0})) l ON t.cust_id=l.cust_id"""
+ FROM (SELECT * FROM rolling_summary WHERE fiscal_month_end=(SELECT max(fiscal_month_end) FROM rolling_summary WHERE fiscal_month_end>{0} AND chain='MAIN') AND chain='MAIN') t
+ LEFT JOIN (SELECT * FROM rolling_summary WHERE fiscal_month_end=(SELECT max(fiscal_month_end)-100 FROM rolling_summary WHERE fiscal_month_end>{0} AND chain='MAIN') AND chain='MAIN') l ON t.cust_id=l.cust_id"""
 
 
 @query("rolling_ty_ly", ["rolling_summary"], ROLLING.format(200000))
 def _(d):
-    return sales.rolling_ty_ly(d.rolling_summary(), 200000)
+    return sales.rolling_ty_ly(d.rolling_summary(), 200000, CHAIN)
 
 
 @query("time_features", ["sales"], """SELECT cust_id, trans_date, CAST(year(trans_date) AS INTEGER) AS year, CAST(month(trans_date) AS INTEGER) AS month, CAST(week(trans_date) AS INTEGER) AS week,

@@ -7,9 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.functions import dates, scoring, text
+from tastemill.functions import dates, fixed, scoring, text
 from tastemill.operators import clicks, filters, keys
-from tastemill.plans.registry import AS_OF, BASE, CLICK_BEGIN, CLICK_END, SALES_BEGIN, SALES_END, base_sales, query
+from tastemill.plans.registry import AS_OF, BASE, CLICK_BEGIN, CLICK_END, CLICKS_SQL, SALES_BEGIN, SALES_END, base_sales, query
 from tastemill.sources.retail import RetailData
 
 # --- functions -------------------------------------------------------------------
@@ -45,12 +45,10 @@ def _(d):
     return d.product().select("item_id", text.brand_class(b, c, " ").alias("blank"), text.brand_class(b, c, "_").alias("underscore"))
 
 
-@query("division_short_name", ["product"], """SELECT item_id, CASE WHEN division_name LIKE 'Wo%' THEN 'WA' WHEN division_name LIKE 'Co%' THEN 'CA'
- WHEN division_name LIKE 'Ch%' THEN 'Ch' WHEN division_name LIKE 'Gi%' THEN 'GH' WHEN division_name LIKE 'La%' THEN 'LS'
- WHEN division_name LIKE 'De%' THEN 'DH' WHEN division_name LIKE 'Fa%' THEN 'FA' WHEN division_name LIKE 'Me%' THEN 'Men'
- WHEN division_name LIKE 'Be%' THEN 'Be' WHEN division_name LIKE 'Je%' THEN 'Je' WHEN division_name LIKE 'Fi%' THEN 'FA'
- WHEN division_name LIKE 'No%' THEN 'NR' WHEN division_name LIKE 'In%' THEN 'IA' WHEN division_name LIKE 'NMG Mis%' THEN 'Mis'
- ELSE division_name END AS division_name FROM product""")
+SHORT_NAME = "CASE " + " ".join(f"WHEN starts_with(division_name,'{p}') THEN '{n}'" for p, n in fixed.DIVISION_SHORT_NAMES) + " ELSE division_name END"
+
+
+@query("division_short_name", ["product"], f"SELECT item_id, {SHORT_NAME} AS division_name FROM product")
 def _(d):
     return d.product().select("item_id", text.division_short_name(F.col("division_name")).alias("division_name"))
 
@@ -71,9 +69,11 @@ def _(d):
     return d.location().select("location_id", text.location_bucket(F.col("location_name")).alias("location_name"))
 
 
-@query("chain_code", ["location"], """SELECT location_id, CASE WHEN chain_id=4 THEN 'LC' WHEN district_id IN (13012,13022) THEN 'HC' WHEN district_id=12031 THEN 'CU'
- WHEN chain_id=2 THEN 'BG' WHEN district_id=13013 THEN 'BG' WHEN district_id IN (13011,13021,13014) THEN 'NM' WHEN area_id=14 THEN 'NM'
- WHEN region_id=201 THEN 'NM' ELSE 'Other' END AS chain FROM location""")
+CHAIN_CODE = "CASE " + " ".join(
+    f"WHEN {c} IN ({','.join(map(str, v))}) THEN '{n}'" for c, v, n in fixed.CHAIN_RULES) + " ELSE 'Other' END"
+
+
+@query("chain_code", ["location"], f"SELECT location_id, {CHAIN_CODE} AS chain FROM location")
 def _(d):
     cols = {c: F.col(c) for c in ("chain_id", "district_id", "area_id", "region_id")}
     return d.location().select("location_id", text.chain_code(cols).alias("chain"))
@@ -172,8 +172,7 @@ def _(d):
     return filters.suppression_filter(d.sales("cust_id", "tran_no", "item_id", "qty"), d.suppression())
 
 
-WORDS = " AND ".join(f"description NOT ILIKE '%{w}%'" for w in (
-    "swim", "christmas", "ornament", "trunk show", "unknown brand", "unclassified", "gwp", "ingestibles", "desserts", "hardware", "misc"))
+WORDS = " AND ".join(f"description NOT ILIKE '%{w}%'" for w in fixed.EXCLUDED_DESCRIPTION_WORDS)
 
 
 @query("description_exclusions", ["catalog"], f"SELECT item_id, description FROM catalog WHERE {WORDS}")
@@ -181,8 +180,7 @@ def _(d):
     return filters.description_exclusions(d.catalog().select("item_id", "description"))
 
 
-MERCH = """division_name NOT IN ('Last Call Direct Purchase','Flash Sales Direct Purchase','NMG Miscellaneous','Intimate Apparel','Non Retail')
- AND group_id<>'818'"""
+MERCH = f"division_name NOT IN {fixed.EXCLUDED_DIVISION_NAMES} AND group_id<>'{fixed.EXCLUDED_GROUP}'"
 
 
 @query("merch_exclusions", ["product"], f"SELECT item_id, division_name, group_id FROM product WHERE {MERCH} AND brand_name<>'UNKNOWN BRAND'")
@@ -190,8 +188,8 @@ def _(d):
     return filters.merch_exclusions(filters.known_products(d.product())).select("item_id", "division_name", "group_id")
 
 
-@query("click_quality_filter", ["clickstream"], """SELECT event_id, email, event_date FROM clickstream WHERE email IS NOT NULL
- AND event_date BETWEEN DATE '2023-12-13' AND DATE '2024-01-31' AND chain='MAIN' AND exclude_hit=0 AND duplicate_purchase=0 AND product_list IS NOT NULL""")
+@query("click_quality_filter", ["clickstream"], f"""SELECT event_id, email, event_date FROM clickstream WHERE email IS NOT NULL
+ AND {CLICKS_SQL} AND chain='MAIN' AND exclude_hit=0 AND duplicate_purchase=0 AND product_list IS NOT NULL""")
 def _(d):
     return filters.click_quality_filter(d.clickstream(), CLICK_BEGIN, CLICK_END, "MAIN").select("event_id", "email", "event_date")
 

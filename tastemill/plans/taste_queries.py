@@ -7,14 +7,14 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tastemill.functions.fixed import ITEM_PREFIX
 from tastemill.levels import DIVISION, LEVELS, Level
 from tastemill.operators import clicks, ratings, rerank, taste
 from tastemill.operators.keys import first_per_key
 from tastemill.plans.registry import (
-    AS_OF, CLICK_BEGIN, CLICK_END, CUSTOMER_SUPPORT, ITEM_SUPPORT, RECENT_BEGIN, SALES_BEGIN, query,
+    CHAIN, CLICK_BEGIN, CLICK_END, CLICKS_SQL, CUSTOMER_SUPPORT, HISTORY, HISTORY_SQL, ITEM_SUPPORT, RECENT, RECENT_SQL, SALES_BEGIN, query,
 )
-from tastemill.plans.scalar_queries import MERCH
-from tastemill.plans.sales_queries import WORDS
+from tastemill.plans.scalar_queries import ACTION, MERCH, WORDS
 from tastemill.session import cut
 
 CLICK_VIEWS = ["clickstream", "cookie_map", "catalog", "product"]
@@ -25,21 +25,23 @@ STAMP = dt.datetime(2001, 8, 1, 6, 0, 0)
 
 def click_views(d, known_brand: bool = True, with_ids: bool = True):
     return clicks.clickstream_products(
-        d.clickstream(), d.cookie_map(), d.catalog(), d.product(), CLICK_BEGIN, CLICK_END,
+        d.clickstream(), d.cookie_map(), d.catalog(), d.product(), CLICK_BEGIN, CLICK_END, CHAIN,
         known_brand=known_brand, with_ids=with_ids)
 
 
 def click_sql(brand_rule: str = "WHERE brand_name<>'UNKNOWN BRAND'", ids: bool = True) -> str:
+    """Parsed entries, then one lookup each for customer, item and product."""
     id_cols = "designer_id, division_id, class_id," if ids else ""
-    return f"""click_items AS (SELECT DISTINCT date_time, email, visitor_id, action_type, string_split(e,';')[2] AS item_code, string_split(e,';')[3] AS qty, string_split(e,';')[4] AS total_price
- FROM (SELECT *, unnest(string_split(product_list,',')) AS e, CASE WHEN pagename LIKE '%Cart%' THEN 'Cart_Add' WHEN pagename='product detail' THEN 'Product_Page'
- WHEN purchase_id IS NOT NULL THEN 'Purchase' ELSE 'Other' END AS action_type FROM clickstream
- WHERE email IS NOT NULL AND event_date BETWEEN DATE '2023-12-13' AND DATE '2024-01-31' AND exclude_hit=0 AND duplicate_purchase=0 AND product_list IS NOT NULL)
- WHERE action_type<>'Purchase' AND string_split(e,';')[2] LIKE 'NM%'),
- clicked AS (SELECT DISTINCT date_time, cust_id, web_item_id, action_type, description, regular_price, {id_cols} designer, division, division_name, class, group_id, department_name
- FROM click_items i LEFT JOIN cookie_map c ON i.visitor_id=c.visitor_id
- LEFT JOIN (SELECT DISTINCT item_code, item_id, web_item_id, description, regular_price FROM catalog) k ON i.item_code=k.item_code
- LEFT JOIN (SELECT DISTINCT item_id AS pid, designer_id, designer, division_id, division, division_name, class_id, class, group_id, department_name FROM product {brand_rule}) p ON k.item_id=p.pid)"""
+    return f"""good_clicks AS (SELECT *, {ACTION} AS action_type FROM clickstream
+ WHERE {CLICKS_SQL} AND chain='MAIN' AND exclude_hit+duplicate_purchase=0 AND email IS NOT NULL AND product_list IS NOT NULL),
+ click_items AS (SELECT DISTINCT date_time, visitor_id, action_type, split_part(entry,';',2) AS item_code
+ FROM (SELECT date_time, visitor_id, action_type, unnest(string_split(product_list,',')) AS entry FROM good_clicks WHERE action_type<>'Purchase')
+ WHERE starts_with(split_part(entry,';',2),'{ITEM_PREFIX}')),
+ who AS (SELECT DISTINCT visitor_id, cust_id FROM cookie_map WHERE cust_id IS NOT NULL),
+ what AS (SELECT DISTINCT item_code, item_id, web_item_id, description, regular_price FROM catalog),
+ sort AS (SELECT DISTINCT item_id, designer, division, division_name, class, subclass, group_id, group_name, {id_cols} department_name FROM product {brand_rule}),
+ clicked AS (SELECT DISTINCT date_time, cust_id, web_item_id, action_type, description, regular_price, sort.* EXCLUDE (item_id)
+ FROM click_items LEFT JOIN who USING (visitor_id) LEFT JOIN what USING (item_code) LEFT JOIN sort ON sort.item_id=what.item_id)"""
 
 
 @query("clickstream_products", CLICK_VIEWS, f"WITH {click_sql()} SELECT * FROM clicked")
@@ -71,7 +73,7 @@ def _(d):
 
 
 BROWSES = """browses AS (SELECT DISTINCT m.cust_id, b.item_suffix, event_date, brand, class FROM (SELECT DISTINCT email, event_date, right(string_split(e,';')[2],5) AS item_suffix
- FROM (SELECT *, unnest(string_split(product_list,',')) AS e FROM clickstream WHERE email IS NOT NULL AND event_date>DATE '2023-12-13' AND chain='MAIN' AND exclude_hit=0
+ FROM (SELECT *, unnest(string_split(product_list,',')) AS e FROM clickstream WHERE email IS NOT NULL AND event_date>DATE '2023-12-09' AND chain='MAIN' AND exclude_hit=0
  AND duplicate_purchase=0 AND product_list IS NOT NULL AND purchase_id IS NULL AND lower(pagename) LIKE '%detail%')) b
  JOIN (SELECT DISTINCT item_suffix, brand, class FROM catalog) k ON b.item_suffix=k.item_suffix JOIN email_map m ON b.email=m.email
  WHERE NOT EXISTS (SELECT 1 FROM suppressed z WHERE z.cust_id=m.cust_id))"""
@@ -95,7 +97,8 @@ def _(d):
 # --- taste --------------------------------------------------------------------------
 
 def history(d, level: Level):
-    return d.sales("cust_id", "status", *level.columns).where("status <> 'V'").drop("status")
+    """Valid lines of the last three years; the range reaches the scan of the orders."""
+    return d.sales("cust_id", "status", *level.columns, between=HISTORY).where("status <> 'V'").drop("status")
 
 
 def taste_sql(level: Level) -> str:
@@ -105,7 +108,7 @@ def taste_sql(level: Level) -> str:
     complete = " AND ".join(f"{c} IS NOT NULL" for c in ["cust_id", *level.columns])
     return f"""{click_sql()}, bc AS (SELECT cust_id, {category} AS category, {plain}, count(*) AS times_browse FROM clicked
  WHERE cust_id<>-1 AND {complete} GROUP BY ALL),
- tc AS (SELECT cust_id, {category} AS category, {plain}, count(*) AS total_transactions FROM sales WHERE status<>'V' AND {complete} GROUP BY ALL),
+ tc AS (SELECT cust_id, {category} AS category, {plain}, count(*) AS total_transactions FROM sales WHERE status<>'V' AND {HISTORY_SQL} AND {complete} GROUP BY ALL),
  merged AS (SELECT {keys}, coalesce(times_browse,0) AS times_browse, coalesce(total_transactions,0) AS total_transactions FROM bc FULL JOIN tc USING ({keys})),
  ranked AS (SELECT *, total_transactions*CAST(0.8 AS DOUBLE)+times_browse*CAST(0.2 AS DOUBLE) AS rank_implicit FROM merged),
  q AS (SELECT quantile_cont(rank_implicit,[0.25,0.5,0.75,0.85]) AS q FROM ranked),
@@ -113,7 +116,7 @@ def taste_sql(level: Level) -> str:
  best AS (SELECT *, CAST(row_number() OVER (PARTITION BY cust_id ORDER BY rank_implicit DESC, category) AS INTEGER) AS propensity_rank FROM ranked),
  recs AS (SELECT {keys}, 99*(rank_implicit-lo)/(hi-lo)+1 AS propensity_score, propensity_rank FROM best,
  (SELECT min(rank_implicit) AS lo, max(rank_implicit) AS hi FROM best WHERE propensity_rank<=15) WHERE propensity_rank<=15),
- recent AS (SELECT DISTINCT cust_id, {plain} FROM sales WHERE trans_date BETWEEN DATE '2001-07-02' AND DATE '2001-08-01'),
+ recent AS (SELECT DISTINCT cust_id, {plain} FROM sales WHERE {RECENT_SQL}),
  reranked AS (SELECT r.*, CASE WHEN k.cust_id IS NULL THEN CAST(row_number() OVER (PARTITION BY r.cust_id, k.cust_id IS NULL ORDER BY propensity_score DESC, propensity_rank) AS INTEGER) END AS next_best_rank
  FROM recs r LEFT JOIN recent k ON {' AND '.join(f'r.{c}=k.{c}' for c in ['cust_id', *level.columns])})"""
 
@@ -136,30 +139,35 @@ def deterministic_recs(d, level: Level):
 
 
 def recent(d, level: Level):
-    return d.recent_history(RECENT_BEGIN, AS_OF).select("cust_id", *level.columns)
+    return d.recent_history(*RECENT).select("cust_id", *level.columns)
 
 
-def _rounded(df):
+def rounded_score(df):
     return df.withColumn("propensity_score", F.round("propensity_score", 6))
 
 
-def _register_level(level: Level) -> None:
-    rounded = "* REPLACE (round(propensity_score,6) AS propensity_score)"
+ROUNDED = "* REPLACE (round(propensity_score,6) AS propensity_score)"
+
+
+def publish_sql(level: Level) -> str:
+    return f"""WITH {taste_sql(level)} SELECT r.{ROUNDED}, TIMESTAMP '2001-08-01 06:00:00' AS record_creation_datetime, TIMESTAMP '2001-08-01 06:00:00' AS record_updated_datetime
+ FROM reranked r JOIN (SELECT cust_id AS cid, count(*) FILTER (next_best_rank IS NULL) AS bought FROM reranked GROUP BY 1) b ON r.cust_id=b.cid
+ WHERE propensity_rank<=CASE WHEN bought<10 THEN 10 ELSE 15 END"""
 
+
+def _register_level(level: Level) -> None:
     @query(f"taste_profile_{level.name}", TASTE_VIEWS, f"WITH {taste_sql(level)} SELECT * FROM profile")
     def _(d):
         return profile(d, level)
 
-    @query(f"rerank_unseen_{level.name}", TASTE_VIEWS, f"WITH {taste_sql(level)} SELECT {rounded} FROM reranked")
+    @query(f"rerank_unseen_{level.name}", TASTE_VIEWS, f"WITH {taste_sql(level)} SELECT {ROUNDED} FROM reranked")
     def _(d):
-        return _rounded(rerank.rerank_unseen(deterministic_recs(d, level), recent(d, level), level))
+        return rounded_score(rerank.rerank_unseen(deterministic_recs(d, level), recent(d, level), level))
 
-    @query(f"publish_{level.name}", TASTE_VIEWS, f"""WITH {taste_sql(level)} SELECT {rounded}, TIMESTAMP '2001-08-01 06:00:00' AS record_creation_datetime,
- TIMESTAMP '2001-08-01 06:00:00' AS record_updated_datetime FROM reranked r JOIN (SELECT cust_id AS cid, count(*) FILTER (next_best_rank IS NULL) AS bought FROM reranked GROUP BY 1) b ON r.cust_id=b.cid
- WHERE propensity_rank<=CASE WHEN bought<10 THEN 10 ELSE 15 END""".replace("SELECT * REPLACE", "SELECT r.* REPLACE"))
+    @query(f"publish_{level.name}", TASTE_VIEWS, publish_sql(level))
     def _(d):
         stamp = F.lit(STAMP).cast("timestamp_ntz")
-        return _rounded(rerank.publish(rerank.rerank_unseen(deterministic_recs(d, level), recent(d, level), level), stamp))
+        return rounded_score(rerank.publish(rerank.rerank_unseen(deterministic_recs(d, level), recent(d, level), level), stamp))
 
 
 for _level in LEVELS.values():
@@ -173,7 +181,7 @@ def _(d):
     return taste.browse_by_level(click_views(d), LEVELS["class"])
 
 
-@query("trans_by_level", ["sales"], "SELECT cust_id, designer||' '||division||' '||class AS category, designer_id, designer, division_id, division, class_id, class FROM sales WHERE status<>'V'")
+@query("trans_by_level", ["sales"], f"SELECT cust_id, designer||' '||division||' '||class AS category, designer_id, designer, division_id, division, class_id, class FROM sales WHERE status<>'V' AND {HISTORY_SQL}")
 def _(d):
     return taste.trans_by_level(history(d, FINEST), FINEST)
 
@@ -184,7 +192,7 @@ def _(d):
     return taste.with_category(d.sales("cust_id", *level.columns), level)
 
 
-@query("count_by_level", ["sales"], "SELECT cust_id, division||' '||class AS category, division_id, division, class_id, class, count(*) AS total_transactions FROM sales WHERE status<>'V' GROUP BY ALL")
+@query("count_by_level", ["sales"], f"SELECT cust_id, division||' '||class AS category, division_id, division, class_id, class, count(*) AS total_transactions FROM sales WHERE status<>'V' AND {HISTORY_SQL} GROUP BY ALL")
 def _(d):
     level = LEVELS["division_class"]
     return taste.count_by_level(taste.trans_by_level(history(d, level), level), level, "total_transactions")

@@ -12,13 +12,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.functions import text
+from tastemill.functions import fixed, text
 
 DIVISION_IDS = {"ECONOMY": 1, "LARGE": 2, "MEDIUM": 3, "PROMO": 4, "SMALL": 5}
 DIVISION_NAMES = (
     "Womens Apparel", "Contemporary", "Childrens", "Gifts and Home", "Ladies Shoes", "Designer Handbags",
-    "Fashion Accessories", "Mens", "Beauty", "Jewelry", "Fine Apparel", "Non Retail", "Intimate Apparel",
-    "NMG Miscellaneous", "Flash Sales Direct Purchase", "Precious",
+    "Fashion Accessories", "Mens", "Beauty", "Jewelry", "Fine Apparel", "Precious", *fixed.EXCLUDED_DIVISION_NAMES,
 )
 GENDERS = ("Womens", "Unisex", "Mens", "Girls", "Boys", "None")
 
@@ -88,6 +87,8 @@ class RetailData:
             F.when(cols["designer_id"] == 25, "UNKNOWN BRAND").otherwise(_c("p_brand")).alias("brand_name"),
             cols["class"].alias("class_name"),
             _text("Dept ", _c("p_size")).alias("department_name"),
+            _text("Sub ", _c("p_size") % 4).alias("subclass"),
+            (_c("p_size") % 3).alias("tax_category_id"),
             (_c("p_size") % 20 + 800).cast("string").alias("group_id"),
             _text("Group ", _c("p_size") % 20).alias("group_name"),
             _pick(DIVISION_NAMES, key).alias("division_name"),
@@ -100,15 +101,17 @@ class RetailData:
 
     def catalog(self) -> DataFrame:
         key, name = _c("p_partkey"), _c("p_name")
-        code = _text("NM_", key)
+        code = _text(fixed.ITEM_PREFIX, "_", key)
         return self.table("part").select(
             key.alias("catalog_key"),
             code.alias("item_code"),
             text.suffix_code(code).alias("item_suffix"),
             key.alias("item_id"),
             _text("W", key).alias("web_item_id"),
-            F.when(key % 23 == 0, _text(name, " Swim set")).when(key % 31 == 0, _text("MISC ", name)).otherwise(name).alias("description"),
+            _text("Web ", name).alias("web_item_name"),
+            F.when(key % 7 == 0, _text(name, " ", F.upper(_pick(fixed.EXCLUDED_DESCRIPTION_WORDS, F.floor(key / 7).cast("int"))), " set")).otherwise(name).alias("description"),
             _c("p_retailprice").alias("regular_price"),
+            F.when(key % 4 == 0, _c("p_retailprice") * 0.5).otherwise(_c("p_retailprice")).alias("sale_price"),
             _c("p_brand").alias("brand"),
             F.split_part(name, F.lit(" "), F.lit(2)).alias("class"),
         )
@@ -161,7 +164,7 @@ class RetailData:
             "chain": F.when(_c("l_suppkey") % 7 == 0, "SECOND").otherwise("MAIN"),
         }
         order_cols = {
-            "cust_id": _c("o_custkey"),
+            "cust_id": F.when(_c("o_orderkey") % 101 == 0, F.lit(0).cast("bigint")).otherwise(_c("o_custkey")),
             "trans_date": _c("o_orderdate").cast("date"),
             "channel": F.when(_c("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Store").when(_c("o_orderpriority") == "5-LOW", "Catalog").otherwise("Online"),
         }
@@ -188,12 +191,15 @@ class RetailData:
             _c("o_orderdate").alias("tran_time"),
             _c("o_orderdate").cast("date").alias("trans_date"),
             F.when(_c("l_tax") <= 0.06, "SALE").otherwise("VOID").alias("tran_type"),
-            F.when(_c("l_returnflag") == "R", "R").otherwise("S").alias("status"),
+            F.when(_c("l_tax") > 0.07, "V").when(_c("l_returnflag") == "R", "R").otherwise("S").alias("status"),
+            (_c("l_partkey") % 50 + 1).alias("department_id"),
+            (_c("l_suppkey") % 25).alias("location_id"),
+            _c("l_extendedprice").alias("unit_price"),
             F.when(_c("l_linenumber") == 7, 0).otherwise(_c("l_quantity").cast("int")).alias("qty"),
-            _c("l_partkey").alias("product_key"),
+            F.when(_c("l_suppkey") % 37 == 1, F.lit(-1)).otherwise(_c("l_partkey")).cast("bigint").alias("product_key"),
             F.when(_c("l_linenumber") == 5, F.lit(-1)).otherwise(_c("l_partkey")).cast("bigint").alias("catalog_key"),
             F.when(_c("l_suppkey") % 50 == 0, F.lit(-1)).otherwise(_c("o_custkey")).cast("bigint").alias("customer_key"),
-            F.when(_c("l_suppkey") % 9 == 0, _text("XX_", _c("l_partkey"))).otherwise(_text("NM_", _c("l_partkey"))).alias("item_code"),
+            F.when(_c("l_suppkey") % 9 == 0, _text("XX_", _c("l_partkey"))).otherwise(_text(fixed.ITEM_PREFIX, "_", _c("l_partkey"))).alias("item_code"),
         )
 
     def purchases(self) -> DataFrame:
@@ -223,7 +229,8 @@ class RetailData:
         day = _c("o_orderdate")
         return (
             self.table("orders")
-            .groupBy(_c("o_custkey").alias("cust_id"), (F.year(day) * 100 + F.month(day)).alias("fiscal_month_end"))
+            .groupBy(_c("o_custkey").alias("cust_id"), F.when(_c("o_custkey") % 6 == 0, "SECOND").otherwise("MAIN").alias("chain"),
+                     (F.year(day) * 100 + F.month(day)).alias("fiscal_month_end"))
             .agg(F.sum(_c("o_totalprice").cast("decimal(18,2)")).cast("double").alias("rolling_amt"),
                  F.when(F.count("*") > 1, 2).otherwise(1).alias("segment"))
         )
@@ -234,6 +241,10 @@ class RetailData:
         return F.when(_c("user_id") % 7 == 0, _text("u", _c("user_id"), "@staff.example.com")).otherwise(
             _text("u", _c("user_id"), "@example.com"))
 
+    def _clicked_by(self) -> Column:
+        """The customer behind a user: every thirteenth is unknown, every eleventh has none."""
+        return F.when(_c("user_id") % 13 == 12, F.lit(-1).cast("bigint")).when(_c("user_id") % 11 != 10, _c("user_id"))
+
     def clickstream(self) -> DataFrame:
         kind = _c("event_type")
         item = F.get_json_object("props", "$.k").cast("int")
@@ -242,18 +253,20 @@ class RetailData:
             _c("ts").alias("date_time"),
             _c("ts").cast("date").alias("event_date"),
             _text("v", _c("user_id")).alias("visitor_id"),
-            self._email().alias("email"),
+            F.when(_c("event_id") % 33 != 5, self._email()).alias("email"),
             F.when(kind == "view", "product detail").when(kind == "click", "Shopping Cart").when(kind == "purchase", "order confirmation").otherwise("home").alias("pagename"),
             F.when(kind == "purchase", _c("event_id")).alias("purchase_id"),
-            _text("c;NM_", _c("k"), ";1;", _c("k"), ",c;NM_", _c("k") + 1, ";2;", _c("k") + 1).alias("product_list"),
+            F.when(_c("event_id") % 40 != 7, _text(
+                "c;", F.when(_c("event_id") % 21 == 3, "XX_").otherwise(fixed.ITEM_PREFIX + "_"), _c("k"), ";1;", _c("k"),
+                ",c;", fixed.ITEM_PREFIX + "_", _c("k") + 1, ";2;", _c("k") + 1)).alias("product_list"),
             F.when(_c("event_id") % 50 == 0, 1).otherwise(0).alias("exclude_hit"),
-            F.lit(0).alias("duplicate_purchase"),
+            F.when(_c("event_id") % 30 == 11, 1).otherwise(0).alias("duplicate_purchase"),
             F.when(_c("event_id") % 6 == 0, "SECOND").otherwise("MAIN").alias("chain"),
         )
 
     def cookie_map(self) -> DataFrame:
         return self.table("events").where("user_id % 10 <> 9").select(
-            _text("v", _c("user_id")).alias("visitor_id"), _c("user_id").alias("cust_id")).distinct()
+            _text("v", _c("user_id")).alias("visitor_id"), self._clicked_by().alias("cust_id")).distinct()
 
     def email_map(self) -> DataFrame:
         return self.table("events").where("user_id % 10 <> 9").select(
@@ -265,9 +278,12 @@ class RetailData:
         return self.table("customer").select(_c("c_custkey").alias("cust_id"), _c("c_custkey").alias("customer_key"))
 
     def suppression(self) -> DataFrame:
-        first = F.when(_c("c_nationkey") == 3, "1").otherwise("0")
-        last = F.when(_c("c_mktsegment") == "MACHINERY", "1").otherwise("0")
-        return self.table("customer").select(_c("c_custkey").alias("cust_id"), F.concat(first, F.lit("0" * 40), last).alias("bits"))
+        """Bit strings of 42 characters; positions 2 and 10 are set too, and exclude nobody."""
+        key = _c("c_custkey")
+        rules = {1: _c("c_nationkey") == 3, 2: key % 5 == 1, 3: key % 61 == 0, 5: key % 67 == 0, 6: key % 71 == 0, 7: key % 29 == 0,
+                 10: key % 4 == 3, 42: _c("c_mktsegment") == "MACHINERY"}
+        bits = [F.when(rules[p], "1").otherwise("0") if p in rules else F.lit("0") for p in range(1, 43)]
+        return self.table("customer").select(key.alias("cust_id"), F.concat(*bits).alias("bits"))
 
     def customer_source(self) -> DataFrame:
         return self.table("customer").select(

@@ -8,7 +8,7 @@ from verify import compare, connect
 from tastemill.levels import LEVELS
 from tastemill.plans.catalog import all_oracles, all_queries
 
-FAMILIES = ("taste_profile_", "rerank_unseen_", "publish_")
+FAMILIES = ("taste_profile_", "rerank_unseen_", "publish_", "publish_and_load_")
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +30,7 @@ def test_every_level_is_registered():
 
 def test_only_learning_queries_lack_an_oracle():
     without = set(all_queries()) - set(all_oracles())
-    models = {f"recommend_{level}" for level in LEVELS}
+    models = {f"recommend_{level}" for level in LEVELS} | {"recommend_division_for_all"}
     assert without == models | {"category_recommendations", "tune_als", "kmeans_elbow", "cluster_feature"}
 
 

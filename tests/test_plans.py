@@ -35,6 +35,16 @@ def test_date_range_reaches_the_scan(spark, root):
     assert "GreaterThanOrEqual(o_orderdate" in text and "LessThan(o_orderdate" in text
 
 
+def test_history_range_reaches_the_scan(spark, root):
+    text = scans(all_queries()["trans_by_level"](spark, root))
+    assert "GreaterThanOrEqual(o_orderdate,1998-07-29" in text and "LessThan(o_orderdate,2001-07-29" in text
+
+
+@pytest.mark.parametrize("name", ["keep_active_associates", "matched_by_associate", "customer_channel_status"])
+def test_lines_are_read_once(spark, root, name):
+    assert plan(all_queries()[name](spark, root)).count("lineitem.parquet") == 1
+
+
 def test_only_used_columns_are_read(spark, root):
     text = plan(all_queries()["days_since_last_purchase"](spark, root))
     assert "ReadSchema: struct<l_orderkey:bigint>" in text

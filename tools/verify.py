@@ -44,8 +44,8 @@ def canonical(names, rows):
     return [names[i].lower() for i in order], sorted(out, key=repr)
 
 
-KINDS = {"bigint": "int", "int": "int", "double": "float", "string": "text", "date": "date", "timestamp_ntz": "time", "timestamp": "time",
-         "BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text", "DATE": "date", "TIMESTAMP": "time"}
+KINDS = {"bigint": "int", "int": "int", "double": "float", "string": "text", "date": "date", "timestamp_ntz": "time", "timestamp": "time", "boolean": "flag",
+         "BOOLEAN": "flag", "BIGINT": "int", "INTEGER": "int", "DOUBLE": "float", "VARCHAR": "text", "DATE": "date", "TIMESTAMP": "time"}
 
 
 def odd_types(spark_df, cur):
