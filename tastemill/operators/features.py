@@ -131,9 +131,12 @@ def days_since_last_purchase(sales: DataFrame, as_of: dt.date) -> DataFrame:
 
 
 def recent_product_lines(trips: DataFrame, sales: DataFrame, product: DataFrame) -> DataFrame:
-    """Lines of the customers in the gap table with day features and cleaned attributes."""
+    """Lines of the customers in the gap table with day features and cleaned attributes. The retail
+    price comes from the product where the lines have none."""
+    columns = ["cust_id", "trans_date", "item_id", "unit_price", "qty", "unit_discount", "unit_retail"]
+    held = [c for c in columns if c in sales.columns]
     attributes = product.select(
-        "item_id", "initial_cost", "initial_retail",
+        "item_id", "initial_cost", "initial_retail", *[c for c in columns if c not in held],
         text.division_short_name(F.col("division_name")).alias("division_name"),
         "department_name", "group_name", "class_name",
         text.brand_clean(F.col("brand_name")).alias("brand_name"),
@@ -143,8 +146,7 @@ def recent_product_lines(trips: DataFrame, sales: DataFrame, product: DataFrame)
     )
     day = trips.select("cust_id", "trans_date", "inter_shopping_days", "trip_number", "first_shopd_day",
                        "last_shopd_day", "days_since_last_shopd", "days_betn_first_shopd_and_last_shopd")
-    lines = sales.where("status <> 'V'").select(
-        "cust_id", "trans_date", "item_id", "unit_price", "qty", "unit_discount", "unit_retail")
+    lines = sales.where("status <> 'V'").select(*held)
     return lines.join(day, ["cust_id", "trans_date"]).join(attributes, "item_id").distinct()
 
 

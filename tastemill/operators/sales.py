@@ -23,6 +23,13 @@ def money_sum(amount: Column) -> Column:
     return F.sum(amount.cast(MONEY)).cast("double")
 
 
+def with_product(lines: DataFrame, product: DataFrame, columns: list[str]) -> DataFrame:
+    """Lines next to attributes of their product. Attributes that the lines carry already are
+    kept, and without others the product table is not joined."""
+    missing = [c for c in columns if c not in lines.columns]
+    return lines.join(product.select("item_id", *missing), "item_id") if missing else lines
+
+
 def known_customers(df: DataFrame, customers: DataFrame) -> DataFrame:
     """Rows of customers that exist; no customer column is needed, so a semi join."""
     return with_keys(df, customers, ["cust_id"])
@@ -50,9 +57,8 @@ def transaction_spend(sales: DataFrame, customers: DataFrame, suppression: DataF
     """
     keys = ["cust_id", "trans_date", "brand_name", "class_name", "item_id", "location_id", "department_id",
             "department_name", "division_id", "assoc1", "assoc2", "channel", "tran_no"]
-    names = product.select("item_id", "department_name", "class_name")
     lines = (
-        sales.join(names, "item_id")
+        with_product(sales, product, ["department_name", "class_name"])
         .join(location.select("location_id"), "location_id", "left_semi")
         .withColumn("brand_name", F.col("designer"))
         .select(*keys, line_amount().alias("amount"))
@@ -196,12 +202,15 @@ def brand_class_purchases(sales: DataFrame, customers: DataFrame, suppression: D
 
 
 def item_price_catalog(sales: DataFrame, recent_lines: DataFrame, product: DataFrame) -> DataFrame:
-    """Distinct price points and attributes of the items sold recently."""
-    points = sales.select("item_id", "unit_price", "unit_discount", "unit_retail").distinct()
+    """Distinct price points and attributes of the items sold recently. The retail price comes from
+    the product where the lines have none."""
+    prices = ["item_id", "unit_price", "unit_discount", "unit_retail"]
+    attributes = ["brand_name", "class_name", "initial_cost", "initial_retail", "tax_category_id", "gender",
+                  "color", "size", "department_name", "division_name", "group_name"]
+    points = sales.select(*[c for c in prices if c in sales.columns]).distinct()
     recent = recent_lines.select("item_id").distinct()
-    attributes = product.select("item_id", "brand_name", "class_name", "initial_cost", "initial_retail", "tax_category_id", "gender",
-                                "color", "size", "department_name", "division_name", "group_name")
-    return points.join(recent, "item_id", "left_semi").join(attributes, "item_id").distinct()
+    named = with_product(points.join(recent, "item_id", "left_semi"), product, [*prices, *attributes])
+    return named.select(*prices, *attributes).distinct()
 
 
 def latest_fiscal_month(summary: DataFrame, after: int, chain: str) -> DataFrame:

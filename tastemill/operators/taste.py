@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.functions import fixed, scoring
@@ -12,6 +12,8 @@ from tastemill.operators.filters import UNKNOWN_KEY, coalesce_counts
 from tastemill.operators.keys import attach_per_key, key_counts, without_keys
 from tastemill.session import cut
 
+BANDS_PER_DOUBLING = 1024
+
 
 def with_category(df: DataFrame, level: Level) -> DataFrame:
     """Put the level's name, its parts joined by a blank, next to the customer."""
@@ -62,12 +64,32 @@ def with_implicit_rank(counts: DataFrame) -> DataFrame:
 def taste_quantiles(ranked: DataFrame) -> DataFrame:
     """Exact interpolated quantiles of the implicit rank, as one row with one array.
 
-    The values are folded to one row per distinct value first, so the final step
-    sees the few different counts and not the customers.
+    Rows are folded to one per distinct value, and values to bands of the logarithm. The bands,
+    at most ``BANDS_PER_DOUBLING`` for each power of two, are all that one task sees; running
+    counts inside a band find the values at the wanted places. No values give a null.
     """
-    values = ranked.groupBy("rank_implicit").agg(F.count("*").alias("_n"))
-    wanted = F.array(*[F.lit(q) for q in fixed.TASTE_QUANTILES])
-    return values.agg(F.percentile("rank_implicit", wanted, F.col("_n")).alias("quantiles"))
+    value = F.col("rank_implicit")
+    band = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BANDS_PER_DOUBLING)
+    values = ranked.where(value.isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).withColumn("_band", band)
+    bands = values.groupBy("_band").agg(F.sum("_n").alias("_in_band"))
+    bands = bands.select(
+        "_band",
+        (F.sum("_in_band").over(Window.orderBy("_band")) - F.col("_in_band")).alias("_before"),
+        F.sum("_in_band").over(Window.partitionBy()).alias("_all"))
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_band").orderBy(value))
+    counted = values.join(F.broadcast(bands), "_band").withColumn("_upto", upto)
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > place, value))
+
+    places = [(F.col("_all") - 1) * q for q in fixed.TASTE_QUANTILES]
+    found = counted.agg(F.max("_all").alias("_all"), *[
+        at(edge(place)).alias(f"{name}{i}") for i, place in enumerate(places) for name, edge in (("_low", F.floor), ("_high", F.ceil))])
+    between = [
+        F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(
+            (F.ceil(place) - place) * F.col(f"_low{i}") + (place - F.floor(place)) * F.col(f"_high{i}"))
+        for i, place in enumerate(places)]
+    return found.select(F.when(F.col("_all").isNotNull(), F.array(*between)).alias("quantiles"))
 
 
 def score_taste(ranked: DataFrame) -> DataFrame:

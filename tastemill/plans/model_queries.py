@@ -134,6 +134,17 @@ def _(d):
     return recommend.tune_als(train, validation)[0]
 
 
+@query("tune_als_contract", [], """SELECT CAST(r AS INTEGER) AS rank, CAST(g AS DOUBLE) AS reg, true AS errors_ordered, true AS beats_zero
+ FROM (VALUES (3),(5)) a(r), (VALUES (0.05),(0.1)) b(g)""")
+def _(d):
+    """Each pair of the grid once; the errors are in order and smaller than those of a model that says 0."""
+    scores, _users, _products = recommend.indexed_scores(profile(d, DIVISION), DIVISION)
+    train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
+    nothing = validation.agg(F.sqrt(F.avg(F.col("score") * F.col("score")))).scalar()
+    grid = recommend.tune_als(train, validation)[0]
+    return grid.select("rank", "reg", ((F.col("mae") > 0) & (F.col("rmse") >= F.col("mae"))).alias("errors_ordered"), (F.col("rmse") < nothing).alias("beats_zero"))
+
+
 @query("open_recommendations", [], """SELECT user_id, CAST(product_id AS INTEGER) AS product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY product_id) AS INTEGER) AS propensity_rank, CAST(rating AS DOUBLE) AS propensity_score FROM (
  SELECT p_partkey AS user_id, p_size+unnest([0,1,2]) AS product_id, p_retailprice AS rating FROM part)""")
 def _(d):
@@ -167,6 +178,16 @@ def _(d):
     return clusters.kmeans_elbow(d.table("part"), "p_size")
 
 
+@query("kmeans_elbow_contract", [], """SELECT CAST(k AS INTEGER) AS k, CASE WHEN k=1 THEN (SELECT round(var_pop(p_size)*count(p_size),3) FROM part) END AS first_ss, true AS falls
+ FROM range(1,10) t(k)""")
+def _(d):
+    """Every k once, the exact spread of one cluster, and squares that fall with k."""
+    place = Window.orderBy("k")  # nine rows
+    ss = F.col("within_ss")
+    found = clusters.kmeans_elbow(d.table("part"), "p_size")
+    return found.select("k", F.when(F.col("k") == 1, F.round(ss, 3)).alias("first_ss"), F.coalesce((ss >= 0) & (ss < F.lag(ss).over(place)), F.lit(True)).alias("falls"))
+
+
 @query("cluster_feature_separated", [], "SELECT c_custkey, CAST((c_nationkey%3)*1000+c_custkey%7 AS DOUBLE) AS place, CAST(c_nationkey%3 AS INTEGER) AS place_cluster FROM customer")
 def _(d):
     """Groups so far apart that every sound clustering finds them: SQL knows the labels."""

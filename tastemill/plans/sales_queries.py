@@ -13,7 +13,7 @@ from tastemill.plans.scalar_queries import MERCH, SHORT_NAME, WORDS
 
 CHANNELS = ["Catalog", "Online", "Store"]
 ALL_SPEND_COLUMNS = ["cust_id", "trans_date", "designer", "item_id", "location_id", "department_id", "division_id",
-                     "assoc1", "assoc2", "channel", "tran_no", "unit_price", "qty"]
+                     "assoc1", "assoc2", "channel", "tran_no", "unit_price", "qty", "department_name", "class_name"]
 
 
 def spend(d):
@@ -120,7 +120,7 @@ LINES = f"""{GAP}, plines AS (SELECT DISTINCT s.cust_id, s.trans_date, s.item_id
  CASE WHEN left(gender,1) IN {fixed.GENDER_CODES} THEN left(gender,1) ELSE 'N' END AS gender,
  CASE WHEN color LIKE 'NO COLO%' THEN '?' ELSE color END AS color, CASE WHEN size LIKE 'NO SIZ%' THEN '?' ELSE size END AS size
  FROM sales s JOIN gap g ON s.cust_id=g.cust_id AND s.trans_date=g.trans_date JOIN product p ON s.item_id=p.item_id WHERE s.status<>'V')"""
-LINE_COLUMNS = ["cust_id", "trans_date", "item_id", "status", "unit_price", "qty", "unit_discount", "unit_retail"]
+LINE_COLUMNS = ["cust_id", "trans_date", "item_id", "status", "unit_price", "qty", "unit_discount"]
 
 
 def product_lines(d):
@@ -145,7 +145,7 @@ def _(d):
  WHERE b.item_id IN (SELECT item_id FROM sales WHERE {RECENT_SQL})""")
 def _(d):
     recent = d.sales("item_id", between=RECENT)
-    return sales.item_price_catalog(dated_sales(d, "item_id", "unit_price", "unit_discount", "unit_retail"), recent, d.product())
+    return sales.item_price_catalog(dated_sales(d, "item_id", "unit_price", "unit_discount"), recent, d.product())
 
 
 def _trips(d, by, channel=None):

@@ -75,6 +75,8 @@ class RetailData:
             "designer": _c("p_brand"),
             "designer_id": F.split_part(_c("p_brand"), F.lit("#"), F.lit(2)).cast("int"),
             "unit_retail": _c("p_retailprice"),
+            "class_name": klass,
+            "department_name": _text("Dept ", _c("p_size")),
         }
 
     def product(self) -> DataFrame:
@@ -83,10 +85,8 @@ class RetailData:
         return self.table("part").select(
             key.alias("item_id"),
             key.alias("product_key"),
-            *[cols[n].alias(n) for n in cols if n != "unit_retail"],
+            *[cols[n].alias(n) for n in cols],
             F.when(cols["designer_id"] == 25, "UNKNOWN BRAND").otherwise(_c("p_brand")).alias("brand_name"),
-            cols["class"].alias("class_name"),
-            _text("Dept ", _c("p_size")).alias("department_name"),
             _text("Sub ", _c("p_size") % 4).alias("subclass"),
             (_c("p_size") % 3).alias("tax_category_id"),
             (_c("p_size") % 20 + 800).cast("string").alias("group_id"),

@@ -7,9 +7,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from tastemill.functions import dates, scoring, text
+from tastemill.functions import dates, fixed, scoring, text
 from tastemill.levels import LEVELS, Level
-from tastemill.operators import clicks, customers, features, filters, inventory, keys, ratings, taste
+from tastemill.operators import clicks, customers, features, filters, inventory, keys, ratings, sales, taste
 
 
 def test_levels():
@@ -187,3 +187,24 @@ def test_combined_rating_equals_the_left_join(spark, rows):
     rated = spark.createDataFrame([("a", 10.0), ("a", 20.0), ("z", 1.0)], "cust_id string, rating double")
     got = rows(taste.combined_rating(profile, rated))
     assert got == [("a", "x", 3, 13.0), ("a", "x", 3, 23.0), ("a", "y", 2, 12.0), ("a", "y", 2, 22.0), ("b", "x", 5, 0.0)]
+
+
+@pytest.mark.parametrize("values", [[1.0], [2.0, 2.0, 2.0], [0.2, 0.4, 3.0, 3.0, 700.2, 1e9, 5e9], [-3.0, -0.5, 0.0, 0.5, 4.0, None], [0.2 * (i * i % 997) for i in range(3000)]])
+def test_quantiles_are_exact(spark, values):
+    """Running counts over bands give the interpolated quantiles of all values."""
+    df = spark.createDataFrame([(v,) for v in values], "rank_implicit double")
+    want = df.agg(F.percentile("rank_implicit", F.array(*[F.lit(q) for q in fixed.TASTE_QUANTILES]))).first()[0]
+    assert taste.taste_quantiles(df).first()["quantiles"] == want
+
+
+def test_quantiles_of_nothing(spark):
+    for rows in ([], [(None,)]):
+        assert taste.taste_quantiles(spark.createDataFrame(rows, "rank_implicit double")).first()["quantiles"] is None
+
+
+def test_price_of_the_line_goes_before_that_of_the_product(spark):
+    lines = spark.createDataFrame([(1, 5.0), (2, 6.0)], "item_id int, unit_retail double")
+    product = spark.createDataFrame([(1, 9.0, "a"), (2, 9.0, "b")], "item_id int, unit_retail double, class_name string")
+    both = sales.with_product(lines, product, ["unit_retail", "class_name"])
+    assert sorted(both.collect()) == [(1, 5.0, "a"), (2, 6.0, "b")]
+    assert sorted(sales.with_product(both, product, ["class_name"]).collect()) == sorted(both.collect())

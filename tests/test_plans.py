@@ -45,6 +45,16 @@ def test_lines_are_read_once(spark, root, name):
     assert plan(all_queries()[name](spark, root)).count("lineitem.parquet") == 1
 
 
+# The gap table behind the product lines has a filter on parts of its own.
+@pytest.mark.parametrize("name, scans_of_parts", [("transaction_spend", 1), ("item_price_catalog", 1), ("recent_product_lines", 2)])
+def test_attributes_come_from_one_join(spark, root, name, scans_of_parts):
+    assert plan(all_queries()[name](spark, root)).count("part.parquet") == scans_of_parts
+
+
+def test_no_percentile_over_all_values(spark, root):
+    assert "percentile" not in plan(all_queries()["taste_quantiles"](spark, root))
+
+
 def test_only_used_columns_are_read(spark, root):
     text = plan(all_queries()["days_since_last_purchase"](spark, root))
     assert "ReadSchema: struct<l_orderkey:bigint>" in text
