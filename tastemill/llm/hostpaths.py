@@ -23,12 +23,16 @@ BREAKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr summary figcapti
 LEFT_OUT = frozenset("nav header footer aside form button select menu dialog iframe object noscript template svg canvas video audio map label input".split())
 RAW = frozenset("script style textarea title".split())
 VOID = frozenset("br hr img input meta link area base col embed source track wbr".split())
-# Parts of class, id and role names that mark what is not the article.
+# Class, id and role names, and their first or last parts, that mark what is not the article.
 MARKS = frozenset(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer "
     "gdpr header hidden masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+# First parts of names that speak of a layout, and those before a header that is the article's own.
+LAYOUT = frozenset("has have is no non not show with without".split())
+OWN_HEADER = frozenset("article content entry item news page post section single story title".split())
+UNMARKED, COMPOUND, WHOLE = 0, 1, 2
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
@@ -37,8 +41,15 @@ HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
 
 
 def blocks_of(html: str) -> list[tuple[str, str, int]]:
-    """Blocks of a page in order: path of their container, text, characters of it in links."""
+    """Blocks of a page in order: path of their container, text, characters of it in links.
+
+    What lies in a marked element is left out unless the element turns out to hold the article.
+    """
     out: list[tuple[str, str, int]] = []
+    inside: list[tuple[int, ...]] = []  # the marked elements around each block
+    marked: list[int] = []  # how each marked element is named
+    mains: set[int] = set()  # marked elements around a main element
+    around: list[tuple[int, ...]] = [()]
     names: list[str] = []  # open containers and left-out elements
     paths: list[str] = [""]
     skipped = 0  # open elements that are left out
@@ -53,6 +64,7 @@ def blocks_of(html: str) -> list[tuple[str, str, int]]:
             block = " ".join(unescape("".join(text)).split())
             if block:
                 out.append((paths[-1], block, min(linked, len(block))))
+                inside.append(around[-1])
             text.clear()
         linked = 0
 
@@ -85,36 +97,65 @@ def blocks_of(html: str) -> list[tuple[str, str, int]]:
             flush()
         if tag in BREAKS and not closing:
             link = 0
-        if tag in VOID or (tag not in CONTAINERS and not left_out):
-            if not closing and tag in BREAKS and not skipped and tag not in VOID and _marked(m[3]):
-                left_out = True  # a paragraph or heading that names itself a notice and the like
-            else:
-                if closing and tag in names:
-                    _close(tag, names, paths, hides)
-                    skipped = sum(hides)
-                continue
+            # a new block ends an open paragraph that is marked
+            if names and names[-1] == "p":
+                _close("p", names, paths, hides, around)
+        mark = UNMARKED
+        if not closing and not skipped and not left_out and tag in BREAKS and tag not in VOID and tag not in ("html", "body", "article", "main"):
+            mark = _marked(m[3])
+        # a paragraph or heading is kept open only when it names itself a notice and the like
+        if tag in VOID or (tag not in CONTAINERS and not left_out and not mark):
+            if closing and tag in names:
+                _close(tag, names, paths, hides, around)
+                skipped = sum(hides)
+            continue
         if closing:
             if tag in names:
-                _close(tag, names, paths, hides)
+                _close(tag, names, paths, hides, around)
                 skipped = sum(hides)
             continue
-        # a new block ends an open paragraph that hides itself
-        if tag == "p" and names and names[-1] == "p":
-            _close("p", names, paths, hides)
-        hide = left_out or (tag not in ("html", "body", "article", "main") and _marked(m[3]))
+        if tag == "main":
+            mains.update(around[-1])
+        if mark:
+            marked.append(mark)
         names.append(tag)
-        hides.append(hide)
+        hides.append(left_out)
+        around.append((*around[-1], len(marked) - 1) if mark else around[-1])
         paths.append(f"{paths[-1]}>{tag}{_classes(m[3])}" if tag in CONTAINERS else paths[-1])
-        skipped += hide
+        skipped += left_out
     flush()
-    return out
-
-
-def _close(tag: str, names: list[str], paths: list[str], hides: list[bool]) -> None:
+    if not marked:
+        return out
+    hidden = _hidden(marked, mains, [(len(text) - 3 * linked, some) for (_, text, linked), some in zip(out, inside, strict=True)])
+    return [block for block, some in zip(out, inside, strict=True) if hidden.isdisjoint(some)]
+
+
+def _hidden(marked: list[int], mains: set[int], worths: list[tuple[int, tuple[int, ...]]]) -> set[int]:
+    """The marked elements that hold less running text of their own than the page shows beside them;
+    one whose whole name is a mark may hold up to ten times as much (long comments)."""
+    own, beside, above = [0] * len(marked), 0, {}
+    for worth, some in worths:
+        if some:
+            own[some[-1]] += max(worth, 0)
+            above.update((x, some[: n + 1]) for n, x in enumerate(some))
+        else:
+            beside += max(worth, 0)
+    shown: set[int] = set()
+    for i in sorted(above, key=lambda i: (i not in mains, -own[i], i)):
+        if i in mains or own[i] > beside * (10 if marked[i] == WHOLE else 1):
+            # what lies around a shown element is shown with it
+            fresh = set(above[i]) - shown
+            shown |= fresh
+            beside += sum(own[x] for x in fresh)
+    return set(above) - shown
+
+
+def _close(tag: str, names: list[str], paths: list[str], hides: list[bool], around: list[tuple[int, ...]]) -> None:
     while names:
         last = names.pop()
         paths.pop()
         hides.pop()
+        around.pop()
         if last == tag:
             return
 
@@ -123,8 +164,22 @@ def _named(attributes: str) -> list[tuple[str, str]]:
     return [(k.lower(), (a or b or c).lower()) for k, a, b, c in NAME.findall(attributes)] if "=" in attributes else []
 
 
-def _marked(attributes: str) -> bool:
-    return any(part in MARKS for _, value in _named(attributes) for part in PARTS.split(value))
+def _marked(attributes: str) -> int:
+    """Whether a name is a mark as a whole or begins or ends with one. Names of layouts (has-sidebar,
+    hidden-xs) and of the article's own header are none."""
+    kind = UNMARKED
+    for _, value in _named(attributes):
+        for name in value.split():
+            if name in MARKS:
+                return WHOLE
+            parts = [part for part in PARTS.split(name) if part]
+            if not parts or parts[0] in LAYOUT:
+                continue
+            first = parts[0] in MARKS and parts[0] != "hidden"
+            last = parts[-1] in MARKS and (parts[-1] != "hidden" or parts[0] == "visually") and not (parts[-1] == "header" and parts[0] in OWN_HEADER)
+            if first or last:
+                kind = COMPOUND
+    return kind
 
 
 def _classes(attributes: str) -> str:

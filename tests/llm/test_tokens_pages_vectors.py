@@ -132,6 +132,23 @@ def test_pages(spark):
     assert hostpaths.extract(frame.where("false")).collect() == []
 
 
+LONG = "Running text of the article that goes on for a while and then for a while longer."
+
+
+@pytest.mark.parametrize("wrapper", ['class="content has-sidebar"', 'id="page" class="no-sidebar"', 'class="row with-banner"', 'class="col hidden-xs"', 'class="sidebar-right"', 'class="hidden"'])
+def test_layout_names_do_not_hide_the_article(spark, wrapper):
+    html = f'<body><nav>n</nav><div {wrapper}><div class="post-header"><h1>Head</h1></div><p>{LONG}</p><div class="sidebar">Elsewhere</div><p class="notice">Note<p>{LONG}</p></div></body>'
+    frame = spark.createDataFrame([(n, f"http://h.example/{n}", html) for n in range(3)], "page_id long, url string, html string")
+    assert [r["text"] for r in hostpaths.extract(frame).collect()] == [f"Head\n{LONG}\n{LONG}"] * 3
+
+
+@pytest.mark.parametrize("part", ['class="comments"', 'id="comments" class="post-comments"', 'class="site-footer"', 'class="comment-list"'])
+def test_marked_parts_stay_hidden(part):
+    talk = f"<p>{LONG}</p>" * (3 if "comments" in part else 1)
+    blocks = hostpaths.blocks_of(f"<body><div><h1>Head</h1><p>{LONG}</p><div {part}>{talk}</div></div></body>")
+    assert [text for _, text, _ in blocks] == ["Head", LONG]
+
+
 def test_pages_of_the_tables(spark, root):
     got = hostpaths.extract(tables(spark, root, "pages"))
     assert got.where("n_chars = 0").count() == 0 and got.where("text like '%©%'").count() == 0
