@@ -1,9 +1,11 @@
 """Main text of web pages by consensus on host paths.
 
-Every page scores its containers by the running text they hold, links counting against them. A
-container is named by its path of tags and classes with digits generalised. Spark adds up the
-votes of all pages of a host; the winning path is then read from every page of that host, and
-what is plainly not running text inside it (forms, notices, comments ...) is left out.
+Every page names the container of its article: the lowest one that holds half of the running text
+(links counting against it), widened to those around it that hold more of the article. A container
+is named by its path of tags and classes with digits generalised. Spark adds up the votes of all
+pages of a host; the paths that a twentieth of them name are then tried on every page of that host,
+and where they hold little of a page's text its own container is read. What is plainly not running
+text inside it (forms, notices, comments ...) is left out.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ MARKS = frozenset(
 LAYOUT = frozenset("has have is no non not show with without".split())
 OWN_HEADER = frozenset("article content entry item news page post section single story title".split())
 UNMARKED, COMPOUND, WHOLE = 0, 1, 2
+MIN_VOTES = 0.05  # share of a host's pages that must name a path; so a host has 20 paths at most
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 NAME = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 DIGITS = re.compile(r"\d+")
@@ -186,30 +189,81 @@ def _classes(attributes: str) -> str:
     return "".join(f".{DIGITS.sub('#', c)}" for k, value in _named(attributes) if k == "class" for c in sorted(set(value.split())))
 
 
-def scores_of(blocks: list[tuple[str, str, int]]) -> dict[str, float]:
-    """Running text of every container, half of it credited to the one around it."""
-    scores: dict[str, float] = {}
-    for path, text, linked in blocks:
-        worth = len(text) - 3 * linked
-        scores[path] = scores.get(path, 0.0) + worth
-        around = path.rpartition(">")[0]
-        if around:
-            scores[around] = scores.get(around, 0.0) + worth / 2
-    return scores
+def _around(path: str) -> list[str]:
+    """The path and those around it, from the inside out; the empty path is the page."""
+    out = [path]
+    while path:
+        path = path.rpartition(">")[0]
+        out.append(path)
+    return out
 
 
-def read_page(html: str, path: str | None) -> str:
-    """Blocks under the path; without it, under the page's own best container."""
-    blocks = blocks_of(html)
+def _tag(path: str) -> str:
+    return path.rpartition(">")[2].partition(".")[0]
+
+
+def _within(at: str, path: str) -> bool:
+    return at == path or at.startswith(path + ">")
 
-    def under(p: str) -> list[str]:
-        return [text for at, text, _ in blocks if at == p or at.startswith(p + ">")]
 
-    got = under(path) if path is not None else []
-    if not got and blocks:
-        scores = scores_of(blocks)
-        got = under(max(scores, key=lambda p: (scores[p], p)))
-    return "\n".join(got)
+def _worth(text: str, linked: int) -> int:
+    return len(text) - 3 * linked
+
+
+def texts_of(blocks: list[tuple[str, str, int]]) -> dict[str, int]:
+    """Running text of every container, all of it credited to all containers around it."""
+    sums: dict[str, int] = {}
+    plain = all(_worth(text, linked) <= 0 for _, text, linked in blocks)  # nothing but links: they are the text
+    for path, text, linked in blocks:
+        worth = len(text) if plain else max(_worth(text, linked), 0)
+        for p in _around(path):
+            sums[p] = sums.get(p, 0) + worth
+    return sums
+
+
+def best_of(blocks: list[tuple[str, str, int]], sums: dict[str, int]) -> str | None:
+    """The container of the page's article: the lowest with at least half of the running text,
+    widened to the widest around it that still adds to the article."""
+    if not blocks:
+        return None
+    best = max((p for p in sums if 2 * sums[p] >= sums[""]), key=lambda p: (p.count(">"), sums[p], p))
+    for up in _around(best)[1:]:
+        if _adds(blocks, sums, best, up):
+            best = up
+    return best
+
+
+def _adds(blocks: list[tuple[str, str, int]], sums: dict[str, int], inner: str, up: str) -> bool:
+    """Whether what stands beside the inner container in the one around it is of the article: text
+    next to the container, a head or lead before it, or running text of some length."""
+    tag = _tag(up)
+    if tag == "article":
+        return True
+    extra, direct, ahead, begun = 0, False, False, False
+    for at, text, linked in blocks:
+        if _within(at, inner):
+            begun = True
+        elif _within(at, up):
+            worth = _worth(text, linked)
+            extra += worth
+            direct = direct or (at == up and worth > 0 and (not begun or tag not in ("", "html", "body")))
+            ahead = ahead or (not begun and worth > 0)
+    if extra <= 0:
+        return False
+    return tag == "main" or direct or 10 * extra >= sums[inner] or (ahead and tag not in ("", "html", "body"))
+
+
+def read_page(html: str, paths: list[str] | None) -> str:
+    """Blocks under the first of the paths that holds half of what the page's own container holds;
+    without one, and where the page's own is around it and not the whole body, under its own."""
+    blocks = blocks_of(html)
+    sums = texts_of(blocks)
+    path = own = best_of(blocks, sums)
+    for p in paths or ():
+        if own is not None and 2 * sums.get(p, 0) >= sums[own]:
+            path = own if _within(p, own) and _tag(own) not in ("", "html", "body") else p
+            break
+    return "\n".join(text for at, text, _ in blocks if path is not None and _within(at, path))
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -225,25 +279,26 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def vote(batches):
         for batch in batches:
-            rows: dict[str, list] = {"host": [], "path": [], "votes": [], "weight": []}
+            hosts, paths = [], []
             for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                scores = scores_of(blocks_of(html or ""))
-                total = sum(s for s in scores.values() if s > 0)
-                best = max(scores, key=lambda p: (scores[p], p), default=None)
-                for path, s in scores.items():
-                    if s > 0:
-                        for k, v in zip(rows, (host, path, int(path == best), s / total), strict=True):
-                            rows[k].append(v)
-            yield pa.RecordBatch.from_pydict(rows, pa.schema([("host", pa.string()), ("path", pa.string()), ("votes", pa.int64()), ("weight", pa.float64())]))
-
-    votes = narrow.select("host", "html").mapInArrow(vote, "host string, path string, votes long, weight double")
-    counted = votes.groupBy("host", "path").agg(F.sum("votes").alias("votes"), F.round(F.sum("weight"), 6).alias("weight"))
-    winners = cuts.save("winners", counted.groupBy("host").agg(F.max_by("path", F.struct("votes", "weight", "path")).alias("path")))
+                blocks = blocks_of(html or "")
+                best = best_of(blocks, texts_of(blocks))
+                if best is not None:
+                    hosts.append(host)
+                    paths.append(best)
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], ["host", "path"])
+
+    votes = narrow.select("host", "html").mapInArrow(vote, "host string, path string")
+    counted = cuts.save("counted", votes.groupBy("host", "path").agg(F.count("*").alias("votes")))
+    often = counted.join(counted.groupBy("host").agg(F.sum("votes").alias("of")), "host").where(F.col("votes") >= F.col("of") * MIN_VOTES)
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("less"), "path")))
+    winners = cuts.save("winners", often.groupBy("host").agg(ordered["path"].alias("paths")))
+    cuts.drop("counted")
 
     def read(batches):
         for batch in batches:
             texts = [read_page(h or "", p) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    led = narrow.join(winners, "host", "left").select("page_id", "url", "html", "path")
+    led = narrow.join(winners, "host", "left").select("page_id", "url", "html", "paths")
     return led.mapInArrow(read, "page_id long, url string, text string, n_chars long")

@@ -149,6 +149,33 @@ def test_marked_parts_stay_hidden(part):
     assert [text for _, text, _ in blocks] == ["Head", LONG]
 
 
+P, U = f"<p>{LONG}</p>", f"<li>{LONG}</li>"
+BODY = f'<div class="body">{P * 9}</div>'
+LAYOUTS = {
+    "lead": (f"<article><h1>Head</h1><p>Lead</p>{BODY}</article>", ["Head", "Lead"] + [LONG] * 9),
+    "list": (f"<article>{P * 3}<ul>{U * 7}</ul></article>", [LONG] * 10),
+    "sections": (f'<div class="post"><section class="a">{P * 6}</section><section class="b">{P * 2}</section></div>', [LONG] * 8),
+    "beside": (f'<section class="a">{P * 6}</section><section class="b">{P * 2}</section>', [LONG] * 8),
+    "head": (f'<div class="post"><div class="top"><h1>Head</h1></div>{BODY}</div><div class="legal">Some company</div>', ["Head"] + [LONG] * 9),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_text_beside_the_longest_container_stays(name):
+    html, want = LAYOUTS[name]
+    assert hostpaths.read_page(f"<html><body>{html}</body></html>", None).split("\n") == want
+
+
+def test_pages_of_another_template_keep_their_text(spark):
+    main = f'<body><div class="post">{P * 3}</div></body>'
+    other = f'<body><div class="post"><p>Small</p></div><div class="story">{P * 4}</div></body>'
+    third = f'<body><div class="essay"><h1>Own</h1>{P}</div></body>'
+    rows = [(n, f"http://h.example/{n}", main if n < 30 else other if n < 34 else third) for n in range(35)]
+    got = {r["page_id"]: r["text"].split("\n") for r in hostpaths.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for n in range(35):
+        assert [t for t in got[n] if t != "Small"] == ([LONG] * 3 if n < 30 else [LONG] * 4 if n < 34 else ["Own", LONG])
+
+
 def test_pages_of_the_tables(spark, root):
     got = hostpaths.extract(tables(spark, root, "pages"))
     assert got.where("n_chars = 0").count() == 0 and got.where("text like '%©%'").count() == 0
