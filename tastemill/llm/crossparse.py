@@ -14,7 +14,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm.shared import ready
@@ -22,6 +22,7 @@ from tastemill.llm.words import slices
 
 SAMPLED_DOCS = 48
 SAMPLED_CHARS = 400
+SAMPLED_WINDOW = 100
 SEGMENT = 384
 BREAK, UNSEEN, PAD = 0, 1, 2
 
@@ -132,23 +133,35 @@ class Parser:
         return out
 
 
+def passages(text: Column, seed: Column, chars: int, size: int = SAMPLED_WINDOW) -> Column:
+    """The whole text where it has at most ``chars`` code points; of a longer one windows that have so
+    many together, one at a hashed place in each of as many equal stretches of the whole text."""
+    size = min(size, chars)
+    n, stretches = F.char_length(text), chars // size
+    wide = F.floor(n / stretches)
+
+    def window(i: Column) -> Column:
+        return F.substr(text, (1 + i * wide + F.pmod(F.xxhash64(seed, i), wide - size + 1)).cast("int"), F.lit(size))
+
+    return F.when(n <= chars, F.array(text)).otherwise(F.transform(F.sequence(F.lit(0), F.lit(stretches - 1)), window))
+
+
 def learn(docs: DataFrame, wanted: Column, sampled_docs: int = SAMPLED_DOCS, sampled_chars: int = SAMPLED_CHARS) -> Parser:
-    """Automata from at most ``sampled_docs`` labelled documents a language, and of each a passage
-    of at most ``sampled_chars`` code points. The choice is by a hash of the id, so it is the same
-    whatever the partitions; one row a language and hash bucket is kept before any shuffle."""
-    ready(docs.sparkSession)
-    chosen = (
-        docs.where(wanted & F.col("lang").isNotNull())
-        .select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
-        .groupBy("lang", F.pmod("_h", F.lit(sampled_docs)).alias("_b"))
-        .agg(F.min_by("doc_id", "_h").alias("doc_id"))
-    )
-    ids = [r["doc_id"] for r in chosen.collect() if r["doc_id"] is not None]
-    passage = F.substring("text", 1, sampled_chars)
-    rows = docs.where(F.col("doc_id").isin(ids) & wanted & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang", "doc_id", passage.alias("t")).collect() if ids else []
+    """Automata from at most ``sampled_docs`` labelled documents with a letter a language, and of each
+    at most ``sampled_chars`` code points from all over its text. The documents are those with the
+    smallest hashes of their ids, so the choice is the same whatever the partitions."""
+    spark = ready(docs.sparkSession)
+    lettered = docs.where(wanted & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}")).select("lang", "doc_id", "text")
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    ranked = lettered.select("lang", "doc_id").distinct().withColumn("_n", F.row_number().over(order))
+    chosen = ranked.where(F.col("_n") <= sampled_docs).select("lang", "doc_id")
+    # bounded by the sample
+    chosen = spark.createDataFrame(chosen.collect(), chosen.schema)
+    texts = lettered.join(F.broadcast(chosen), ["lang", "doc_id"]).select("lang", "doc_id", passages(F.col("text"), F.col("doc_id"), sampled_chars).alias("t"))
+    rows = texts.groupBy("lang", "doc_id").agg(F.min("t").alias("t")).collect()
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["t"])):
-        samples.setdefault(r["lang"], []).append(r["t"])
+    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
+        samples.setdefault(r["lang"], []).extend(r["t"])
     return Parser(samples)
 
 

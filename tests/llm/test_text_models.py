@@ -179,6 +179,26 @@ def test_language_cases(docs, none):
     assert {r["lang_pred"] for r in crossparse.predict(docs, crossparse.learn(none, F.lit(True))).collect()} == {"und"}
 
 
+def test_languages_behind_one_preamble(spark):
+    """All documents open alike, and texts without a letter take no place in the sample."""
+    preamble, rng = "The same licence stands before every text. " * 12, np.random.default_rng(3)
+    words = {"en": "the and that with this from".split(), "de": "der und nicht auch sich eine".split()}
+    rows = [(2 * i + n, preamble + " ".join(rng.choice(words[k], 400)), k) for i in range(60) for n, k in enumerate(words)]
+    rows += [(1000 + i, "123 ...", k) for i in range(300) for k in words]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    parser = crossparse.learn(frame, F.lit(True), sampled_docs=8)
+    probe = spark.createDataFrame([(i, " ".join(rng.choice(words[k], 60)), k) for i, k in enumerate([*words] * 10)], "doc_id long, text string, lang string")
+    assert {(i % 2, r["lang_pred"]) for r in crossparse.predict(probe, parser).collect() for i in [r["doc_id"]]} == {(0, "en"), (1, "de")}
+
+
+def test_passages_lie_all_over_the_text(spark):
+    frame = spark.createDataFrame([(i, "".join(chr(0x4E00 + n) for n in range(1000 + i))) for i in range(50)] + [(50, "short")], "doc_id long, text string")
+    got = {r["doc_id"]: r["t"] for r in frame.select("doc_id", crossparse.passages(F.col("text"), F.col("doc_id"), 400).alias("t")).collect()}
+    assert got.pop(50) == ["short"]
+    assert all(len(t) == 4 and {len(w) for w in t} == {100} and len(set("".join(t))) == 400 for t in got.values())
+    assert min(ord(t[0][0]) for t in got.values()) - 0x4E00 < 20 and max(ord(t[3][-1]) for t in got.values()) - 0x4E00 > 970
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
