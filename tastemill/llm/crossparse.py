@@ -23,6 +23,9 @@ from tastemill.llm.words import slices
 SAMPLED_DOCS = 48
 SAMPLED_CHARS = 400
 SAMPLED_WINDOW = 100
+# Bytes of the samples of all languages together. Automata have at most two states a byte and tables at
+# most 157 symbols, so entries stay below 2 * 157 * 4 * MAX_BYTES < 2^31 and tables below 330 MB.
+MAX_BYTES = 1 << 18
 SEGMENT = 384
 BREAK, UNSEEN, PAD = 0, 1, 2
 
@@ -57,12 +60,29 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
     return step
 
 
+def bounded(samples: dict[str, list[bytes]], most: int = MAX_BYTES) -> dict[str, list[bytes]]:
+    """The samples with at most ``most`` bytes together. Where they have more, every language gets the
+    same allowance, and what small ones leave goes to the others; each passage gives an equal part."""
+    left, out = most, {}
+    for n, k in enumerate(sorted(samples, key=lambda k: (sum(map(len, samples[k])) + len(samples[k]), k))):
+        some = samples[k]
+        allowed = left // (len(samples) - n)
+        if sum(map(len, some)) + len(some) > allowed:
+            # a passage and the break after it; a few passages where there isn't room for all
+            some = some[:: max(1, -(-len(some) * 16 // max(allowed, 1)))]
+            each = max(0, allowed // len(some) - 1)
+            some = [t[:each].decode(errors="ignore").encode() for t in some]
+        out[k] = some
+        left -= min(allowed, sum(map(len, some)) + len(some))
+    return out
+
+
 class Parser:
     """Automata of all languages in one table; symbols are classes of lower-cased bytes."""
 
     def __init__(self, samples: dict[str, list[str]]):
         self.languages = sorted(samples)
-        raw = {k: b"\n".join(t.lower().encode() for t in samples[k]) for k in self.languages}
+        raw = {k: b"\n".join(some) for k, some in bounded({k: [t.lower().encode() for t in samples[k]] for k in self.languages}).items()}
         letters = np.zeros(256, bool)
         letters[97:123] = True
         letters[128:] = True
@@ -79,8 +99,10 @@ class Parser:
         for k in self.languages:
             text = self.symbols(np.frombuffer(raw[k], np.uint8))[0].tobytes()
             steps = suffix_automaton(text)
-            table = np.zeros((len(steps), self.width), np.int64)
+            table = np.zeros((len(steps), self.width), np.int32)
             root = np.zeros(self.width, np.int64)
+            if (base + len(steps)) * self.width * 4 > np.iinfo(np.int32).max:
+                raise ValueError("the samples of all languages pass the bound of the tables")
             for c, to in steps[0].items():
                 root[c] = to
             lone = root == 0
@@ -95,7 +117,7 @@ class Parser:
             roots.append(base * self.width)
             self.cost.append(math.log2(max(2, len(text))))
             base += len(steps)
-        self.table = np.concatenate(tables).ravel().astype(np.int32) if tables else np.zeros(0, np.int32)
+        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
         self.roots = np.array(roots, np.int64)
 
     def symbols(self, data: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:

@@ -199,6 +199,20 @@ def test_passages_lie_all_over_the_text(spark):
     assert min(ord(t[0][0]) for t in got.values()) - 0x4E00 < 20 and max(ord(t[3][-1]) for t in got.values()) - 0x4E00 > 970
 
 
+def test_many_languages_share_the_bound():
+    """Sixty languages of a script with many bytes: entries stay right and every language keeps a sample."""
+    rng = np.random.default_rng(6)
+    signs = [[chr(0x400 * (1 + n // 2) + 64 * (n % 2) + i) for i in range(40)] for n in range(60)]
+    samples = {f"l{n:02}": ["".join(rng.choice(signs[n], 400)) for _ in range(48)] for n in range(60)}
+    some = crossparse.bounded({k: [t.encode() for t in v] for k, v in samples.items()})
+    assert sum(len(t) + 1 for v in some.values() for t in v) <= crossparse.MAX_BYTES and all(sum(map(len, v)) > 1000 for v in some.values())
+    parser = crossparse.Parser(samples)
+    assert parser.table.min() >= 0 and len(parser.table) <= 2 * crossparse.MAX_BYTES * parser.width
+    probe = [v[0][:10].lower().encode() for v in samples.values()]
+    got = parser.phrases(np.frombuffer(b"".join(probe), np.uint8), np.cumsum([0, *map(len, probe)]))
+    assert (got.diagonal() == got.min(axis=1)).all()
+
+
 # --- quality ------------------------------------------------------------------------------
 
 
