@@ -124,8 +124,8 @@ def _vectors(docs: DataFrame, kind: Column) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVE_SAMPLE, unlabelled: int = UNLABELLED_SAMPLE) -> Scorer:
     """Fit on bounded samples of the rows that ``allowed`` lets in.
 
-    ``positives`` documents with quality 1 and ``unlabelled`` documents without a label are
-    chosen by a hash of their id. The class prior is the share of quality 1 among all labels
+    ``positives`` documents with quality 1 and ``unlabelled`` documents, whatever their
+    label, are chosen by a hash of their id, so the risk is defined at every coverage of the labels. The class prior is the share of quality 1 among all labels
     let in; without labels it is one half.
     """
     ready(docs.sparkSession)
@@ -136,7 +136,7 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int =
     order = F.xxhash64("doc_id")
     chosen = (
         ids.where("q = 1").orderBy(order, "doc_id").limit(positives).select("doc_id", F.lit(1).alias("kind"))
-        .unionByName(ids.where("q is null").orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("kind")))
+        .unionByName(ids.orderBy(order, "doc_id").limit(unlabelled).select("doc_id", F.lit(0).alias("kind")))
     )
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, kind int")
     # bounded by the two sample sizes

@@ -225,6 +225,14 @@ def test_quality_on_held_out(spark, root):
     assert found.score.between(0, 1).all()
 
 
+def test_quality_with_a_label_for_every_document(spark):
+    rows = [(i, "Plain words make up this sentence. " * 9 if i % 2 else "$$ !! 17 ## " * 30) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    scorer = positive_unlabelled.learn(docs, labels, F.lit(True))
+    assert all((r["score"] >= 0.3) == (r["doc_id"] % 2 == 1) for r in positive_unlabelled.score(docs, scorer).collect())
+
+
 def test_non_negative_risk_separates_without_negatives():
     rng = np.random.default_rng(1)
     good, bad = rng.normal(2, 1, (600, 3)), rng.normal(-2, 1, (150, 3))
