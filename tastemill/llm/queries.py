@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import anchors, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, vptree
+from tastemill.llm import anchors, binslack, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,9 @@ def op9_vantage_point_search(spark: SparkSession, root: str) -> DataFrame:
 def op10_cutting_stock_packing(spark: SparkSession, root: str) -> DataFrame:
     """All documents in sequences of at most 1024 ids."""
     return cutting.pack(tables(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op11_minimum_bin_slack(spark: SparkSession, root: str) -> DataFrame:
+    """All documents in as few sequences of at most 2048 ids as the method finds."""
+    return binslack.pack(tables(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
