@@ -24,7 +24,7 @@ BUCKET_BYTES = 4 << 20
 _U = np.uint64
 
 
-def blocks(rows: DataFrame, text_at: int = 1) -> DataFrame:
+def blocks(rows: DataFrame, text_at: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
     """(block, size, rows): consecutive rows of a partition, compressed; column ``text_at`` is binary."""
 
     def run(batches):
@@ -48,7 +48,7 @@ def blocks(rows: DataFrame, text_at: int = 1) -> DataFrame:
             at = 0
             while at < len(sizes):
                 total = np.cumsum(sizes[at:]) + size
-                n = max(int(np.searchsorted(total, SLICE_BYTES, side="right")), 0 if held else 1)
+                n = max(int(np.searchsorted(total, limit, side="right")), 0 if held else 1)
                 if n:
                     held.append(batch.slice(at, n))
                     size = int(total[n - 1])

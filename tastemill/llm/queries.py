@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import anchors, binslack, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, vptree
+from tastemill.llm import anchors, binslack, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, sonphrases, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,42 @@ def op10_cutting_stock_packing(spark: SparkSession, root: str) -> DataFrame:
 def op11_minimum_bin_slack(spark: SparkSession, root: str) -> DataFrame:
     """All documents in as few sequences of at most 2048 ids as the method finds."""
     return binslack.pack(tables(spark, root, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register
+def op12_son_phrases(spark: SparkSession, root: str) -> DataFrame:
+    """The 2000 best phrases of two and three words of every language."""
+    return sonphrases.phrases(tables(spark, root, "documents"))
+
+
+ORACLES["op12_son_phrases"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents WHERE text IS NOT NULL
+), lists AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+runs AS (
+    SELECT lang, 1 AS k, unnest(ws) AS phrase FROM lists
+    UNION ALL SELECT lang, 2, unnest([ws[i] || ' ' || ws[i + 1] for i in range(1, len(ws))]) FROM lists
+    UNION ALL SELECT lang, 3, unnest([ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] for i in range(1, len(ws) - 1)]) FROM lists
+), totals AS (SELECT lang, count(*) AS n FROM runs WHERE k = 1 GROUP BY lang),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM runs GROUP BY lang, k, phrase HAVING count(*) >= 10),
+cuts AS (
+    SELECT lang, phrase, f AS a, k, 1 AS c, split_part(phrase, ' ', 1) AS x, substr(phrase, strpos(phrase, ' ') + 1) AS y FROM f WHERE k > 1
+    UNION ALL
+    SELECT lang, phrase, f, k, 2, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2), split_part(phrase, ' ', 3) FROM f WHERE k = 3
+), scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.k, a, fx.f AS l, fy.f AS r, c,
+           (1000000::hugeint * a * a) // (fx.f::hugeint * fy.f) AS score
+    FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f fy ON fy.lang = cuts.lang AND fy.phrase = y
+), weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+around AS (
+    SELECT lang, phrase, max(f) AS around FROM (
+        SELECT lang, f, split_part(phrase, ' ', 1) || ' ' || split_part(phrase, ' ', 2) AS phrase FROM f WHERE k = 3
+        UNION ALL SELECT lang, f, split_part(phrase, ' ', 2) || ' ' || split_part(phrase, ' ', 3) FROM f WHERE k = 3) GROUP BY lang, phrase
+), kept AS (
+    SELECT w.* FROM weakest w LEFT JOIN around o ON o.lang = w.lang AND o.phrase = w.phrase AND w.k = 2
+    WHERE around IS NULL OR 100 * around < 50 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
+POWER_BLOCK = 1 << 14
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -37,10 +38,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-@lru_cache(maxsize=4)
-def _powers(which: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=2)
+def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to POWER_BLOCK of a hash's base, and of its inverse; small, whatever the text."""
     base = _BASES[which]
-    steps = [np.full(size, _U(b)) for b in (base, pow(base, -1, 1 << 64))]
+    steps = [np.full(POWER_BLOCK + 1, _U(b)) for b in (base, pow(base, -1, 1 << 64))]
     for s in steps:
         s[0] = 1
     return tuple(np.cumprod(s) for s in steps)
@@ -73,17 +75,32 @@ class Texts:
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(self.count), np.diff(self.words))
 
-    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
-        """64-bit hashes of byte ranges, from one running polynomial sum over all bytes."""
+    def _running(self, which: int) -> np.ndarray:
+        """Running sums of byte values times powers that start anew with every POWER_BLOCK bytes."""
         if which not in self._sums:
-            size = 1 << max(16, (len(self.data) + 1).bit_length())
-            power, _ = _powers(which, size)
-            sums = np.zeros(len(self.data) + 1, _U)
-            np.cumsum(_BYTE_VALUES[which][self.data] * power[: len(self.data)], out=sums[1:])
-            self._sums[which] = sums
-        sums = self._sums[which]
-        inverse = _powers(which, 1 << max(16, (len(self.data) + 1).bit_length()))[1]
-        return mix((sums[ends] - sums[starts]) * inverse[starts])
+            power, n = _powers(which)[0], len(self.data)
+            values, whole = _BYTE_VALUES[which][self.data], n // POWER_BLOCK * POWER_BLOCK
+            values[:whole].reshape(-1, POWER_BLOCK)[:] *= power[:POWER_BLOCK]
+            values[whole:] *= power[: n - whole]
+            sums = self._sums[which] = np.zeros(n + 1, _U)
+            np.cumsum(values, out=sums[1:])
+        return self._sums[which]
+
+    def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+        """64-bit polynomial hashes of byte ranges; the few that cross a block are put together."""
+        sums, (power, inverse) = self._running(which), _powers(which)
+        out = (sums[ends] - sums[starts]) * inverse[starts % POWER_BLOCK]
+        across = np.flatnonzero((ends - 1) // POWER_BLOCK > starts // POWER_BLOCK)
+        if len(across):
+            at, stop = starts[across], ends[across]
+            edge = (at // POWER_BLOCK + 1) * POWER_BLOCK
+            total, scale = (sums[edge] - sums[at]) * inverse[at % POWER_BLOCK], power[edge - at]
+            while (edge < stop).any():
+                upto = np.minimum(edge + POWER_BLOCK, stop)
+                total += (sums[upto] - sums[edge]) * scale
+                scale, edge = scale * power[POWER_BLOCK], upto
+            out[across] = total
+        return mix(out)
 
     def word_hashes(self, which: int = 0) -> np.ndarray:
         return self.hashes(self.starts, self.ends, which)
