@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tastemill.llm import anchors, binslack, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, sonphrases, vptree
+from tastemill.llm import anchors, binslack, bitslices, crossparse, cutting, hostpaths, interpolation, minhash, positive_unlabelled, rankqueue, repetition, sonphrases, vptree
 from tastemill.llm.shared import crc_remainder, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,3 +135,29 @@ around AS (
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@register
+def op13_bit_sliced_search(spark: SparkSession, root: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    return bitslices.search(bitslices.build(tables(spark, root, "documents")), tables(spark, root, "benchmark"))
+
+
+ORACLES["op13_bit_sliced_search"] = r"""
+WITH words AS (
+    SELECT rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents)
+), tf AS (SELECT rid, doc_id, term, count(*) AS tf FROM words GROUP BY rid, doc_id, term),
+lengths AS (SELECT rid, count(*) AS n FROM words GROUP BY rid),
+size AS (SELECT count(*) AS total_docs, sum(n)::BIGINT AS total_terms FROM lengths),
+weights AS (
+    SELECT term, floor(1000 * ln((2.0::DOUBLE * total_docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM tf, size GROUP BY term, total_docs
+), asked AS (
+    SELECT DISTINCT iid, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS iid, item_id, text FROM benchmark)
+), scored AS (
+    SELECT iid, item_id, tf.rid, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * total_docs) // total_terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (rid), size GROUP BY iid, item_id, tf.rid, doc_id
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
