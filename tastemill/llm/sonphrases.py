@@ -29,8 +29,8 @@ from tastemill.llm.shared import Cuts, ready, shuffles_once
 from tastemill.llm.words import Texts, column_bytes, mix, windows
 
 _U = np.uint64
-SHARD_BYTES = 4 << 20
-ROWS_AT_ONCE = 1 << 17
+SHARD_BYTES = 2 << 20
+ROWS_AT_ONCE = 1 << 16
 FILTER_BITS = 27  # at most 16 MB, whatever the number of frequent phrases
 HARD = np.zeros(256, bool)
 HARD[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
@@ -58,11 +58,15 @@ class Shard:
         self.lang = np.repeat(of_text, np.diff(np.searchsorted(self.starts, part.bounds)))
         self.size = np.bincount(self.lang, minlength=len(self.langs))
         self.names = hashes_of(self.langs)
+        self.hashes = []
+        for which in (0, 1):
+            self.hashes.append(part.hashes(self.starts, self.ends, which))
+            part.forget()
         self.plain = None
 
     def keys(self, length: int, which: int = 0) -> np.ndarray:
         """A hash of the language and the ``length`` words from each word on."""
-        keys = windows(self.part.hashes(self.starts, self.ends, which), length, which)
+        keys = windows(self.hashes[which], length, which)
         return mix(keys ^ self.names[self.lang[: len(keys)]])
 
     def count(self, length: int, known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -178,9 +182,10 @@ def frequent(cuts: Cuts, shards: DataFrame, loose: DataFrame | None, totals: Dat
     """(lang, phrase, f): all phrases of ``length`` words found ``min_count`` times in their language.
 
     ``totals`` has every language's words and ``slack``, how many occurrences of a phrase the shards
-    can leave out together; ``loose`` are the shards of languages with a slack.
+    can leave out together; ``loose`` are the shards of languages with a slack. The local support is
+    compared in doubles and a billionth too low, which only adds candidates.
     """
-    local = mine(shards, length, known).join(totals, "lang").where(whole("n") * whole("total") >= whole("size") * min_count)
+    local = mine(shards, length, known).join(totals, "lang").where(F.col("n") * F.col("total").cast("double") * (1 + 1e-9) >= F.col("size") * F.lit(float(min_count)))
     union = local.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).join(totals, "lang").where(F.col("f") + F.col("slack") >= min_count)
     found = cuts.save(f"found{length}", union.select("lang", "phrase", "f", "slack"))
     counted = found.where(f"slack = 0 and f >= {min_count}").select("lang", "phrase", "f")

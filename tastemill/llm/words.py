@@ -86,6 +86,10 @@ class Texts:
             np.cumsum(values, out=sums[1:])
         return self._sums[which]
 
+    def forget(self) -> None:
+        """Let the running sums go, where no more hashes are wanted."""
+        self._sums.clear()
+
     def hashes(self, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
         """64-bit polynomial hashes of byte ranges; the few that cross a block are put together."""
         sums, (power, inverse) = self._running(which), _powers(which)
