@@ -12,6 +12,7 @@ from tastemill.functions import scoring
 from tastemill.functions.text import concat_key
 from tastemill.levels import Level
 from tastemill.operators.keys import ordered_index
+from tastemill.operators.topn import best_products
 from tastemill.session import cut
 
 
@@ -26,7 +27,7 @@ class ALSSettings:
     refit_on_all: bool = False
     seed: int = 7
     # User blocks grow with the data and follow the session's shuffle partitions; a
-    # level has few categories, and the top-n step makes one task per pair of blocks.
+    # level has few categories.
     user_blocks: int | None = None
     item_blocks: int = 4
 
@@ -154,7 +155,8 @@ def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSetti
     train = scores
     if not settings.refit_on_all:
         train, _ = split_train_validation(scores, ["user_id", "product_id"], settings.train_share, settings.seed)
-    packed = fit_als(train, settings).recommendForAllUsers(n)
+    model = fit_als(train, settings)
+    packed = best_products(model.userFactors, model.itemFactors, n)
     recs = cut(open_recommendations(packed))
     named = scale_scores(recs).join(products, "product_id").join(users, "user_id")
     return named.select(*level.keys, "propensity_score", "propensity_rank")
