@@ -18,6 +18,9 @@ RELATION = ["cust_id", "assoc_id", "l24m_trips", "relationship_l24m", "net_spent
 ASSOCIATE = ["associate_pin", "assoc_id", "first_name", "last_name", "location_id", "age_days",
              "revenue_l12m", "transactions_l12m", "customers_l12m"]
 
+# Shares into which lines without an associate are dealt.
+UNSERVED_SHARES = 4096
+
 
 # --- exclusions -----------------------------------------------------------------
 
@@ -40,17 +43,21 @@ def matched_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
 
     The lines run once: each meets the distinct associates by its first and by its second key,
     in joins on equal keys rather than one on an OR, which would compare every line with every
-    associate. The line is the preserved side of both joins, so AQE may split lines with no
-    associate, marked -1 or null.
+    associate. Lines without an associate, marked -1 or null, match nothing and are spread over
+    all tasks of a join; those of a busy associate come from an exchange on both sides, so AQE
+    may split them.
     """
     return _marked_by_associate(lines, active).select(*lines.columns).distinct()
 
 
 def _marked_by_associate(lines: DataFrame, active: DataFrame) -> DataFrame:
     known = active.where("assoc_id <> -1").select("assoc_id").distinct()
-    first = known.select(F.col("assoc_id").alias("assoc1"), F.lit(True).alias("_first"))
-    second = known.select(F.col("assoc_id").alias("assoc2"), F.lit(True).alias("_second"))
-    return lines.join(first, "assoc1", "left").join(second, "assoc2", "left").where("_first OR _second")
+    marked = lines
+    for key, mark in (("assoc1", "_first"), ("assoc2", "_second")):
+        spread = F.pmod(F.xxhash64(*lines.columns), F.lit(UNSERVED_SHARES)) + 1
+        listed = detached(known.select(F.col("assoc_id").alias(key), F.lit(0).cast("bigint").alias("_share"), F.lit(True).alias(mark)))
+        marked = marked.withColumn("_share", F.when(F.col(key) != -1, 0).otherwise(spread)).join(listed, [key, "_share"], "left").drop("_share")
+    return marked.where("_first OR _second")
 
 
 def keep_active_associates(lines: DataFrame, active: DataFrame) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +48,9 @@ def index_ids(df: DataFrame, columns: list[str], name: str) -> DataFrame:
     The numbers a string indexer would give, without its label list on the driver.
     """
     counts = df.groupBy(*columns).agg(F.count("*").alias("_freq"))
-    return ordered_index(counts, [F.col("_freq").desc(), *[F.col(c) for c in columns]], name).drop("_freq")
+    ids = ordered_index(counts, [F.col("_freq").desc(), *[F.col(c) for c in columns]], name).drop("_freq")
+    # the factor model's ids are whole numbers of 32 bits
+    return ids.withColumn(name, F.col(name).cast("int"))
 
 
 def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
@@ -91,21 +95,53 @@ def evaluate(predictions: DataFrame, label: str = "score", prediction: str = "pr
         F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"), F.count("*").alias("n"))
 
 
+def als_residuals(model: ALSModel, ratings: DataFrame, settings: ALSSettings = ALSSettings()) -> DataFrame:
+    """(user_id, n_ratings, residual): how far each user's factors are from solving the ridge
+    equations of the user's ratings.
+
+    A fit solves the products' side and then the users' side. With the product factors v fixed, the
+    user factors u must then make the gradient zero: the sum of v (v.u - rating) plus n times reg times
+    u. The residual is the largest component, divided by the number n of ratings, so it is the same
+    for short and long histories. Sums combine before the shuffle; users without ratings have no row.
+    """
+    users = model.userFactors.select(F.col("id").alias("user_id"), F.col("features").alias("_u"))
+    products = model.itemFactors.select(F.col("id").alias("product_id"), F.col("features").alias("_v"))
+    dot = F.aggregate(F.zip_with("_u", "_v", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda total, x: total + x)
+    rows = ratings.join(products, "product_id").join(users, "user_id").withColumn("_error", dot - F.col("score"))
+    each = range(model.rank)
+    sums = rows.groupBy("user_id").agg(
+        F.count("*").alias("n_ratings"), F.first("_u").alias("_u"), *[F.sum(F.get("_v", F.lit(k)) * F.col("_error")).alias(f"_g{k}") for k in each])
+    gradient = [F.abs(F.col(f"_g{k}") / F.col("n_ratings") + settings.reg * F.get("_u", F.lit(k))) for k in each]
+    return sums.select("user_id", "n_ratings", F.array_max(F.array(*gradient)).alias("residual"))
+
+
 def tune_als(train: DataFrame, validation: DataFrame, ranks: tuple = (3, 5), regs: tuple = (0.05, 0.1),
              settings: ALSSettings = ALSSettings()) -> tuple[DataFrame, ALSSettings]:
     """Validation error of every pair of the grid, and the settings with the least RMSE.
 
-    Four fits and one row of error each; the error row is all that reaches the driver.
+    The fits run side by side in one scheduler pool, each from a driver thread of its own, over one
+    layout of the ratings that is held for all of them; tasks of one fill the gaps that the short
+    stages of another leave. A row of error for each fit is all that reaches the driver.
     """
-    found = []
-    for rank in ranks:
-        for reg in regs:
-            tried = replace(settings, rank=rank, reg=reg)
-            row = evaluate(fit_als(train, tried).transform(validation)).first()
-            found.append((rank, reg, row["rmse"], row["mae"], tried))
-    best = min(found, key=lambda f: f[2])
-    grid = train.sparkSession.createDataFrame([f[:4] for f in found], "rank int, reg double, rmse double, mae double")
-    return grid, best[4]
+    spark = train.sparkSession
+    layout = steady_layout(train, settings.users_in(train)).persist()
+    tries = [replace(settings, rank=rank, reg=reg) for rank in ranks for reg in regs]
+
+    @inheritable_thread_target(spark)
+    def error_of(tried: ALSSettings) -> tuple[float, float]:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "tuning")
+        model = als(tried, tried.users_in(train)).fit(layout)
+        row = evaluate(model.transform(validation)).first()
+        return row["rmse"], row["mae"]
+
+    try:
+        with ThreadPoolExecutor(len(tries)) as threads:
+            errors = list(threads.map(error_of, tries))
+    finally:
+        layout.unpersist()
+    rows = [(tried.rank, tried.reg, *error) for tried, error in zip(tries, errors, strict=True)]
+    grid = spark.createDataFrame(rows, "rank int, reg double, rmse double, mae double")
+    return grid, min(zip(rows, tries, strict=True), key=lambda pair: pair[0][2])[1]
 
 
 def indexed_scores(profile: DataFrame, level: Level) -> tuple[DataFrame, DataFrame, DataFrame]:

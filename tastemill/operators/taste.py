@@ -10,7 +10,6 @@ from tastemill.functions.text import concat_key
 from tastemill.levels import Level
 from tastemill.operators.filters import UNKNOWN_KEY, coalesce_counts
 from tastemill.operators.keys import attach_per_key, key_counts, without_keys
-from tastemill.session import cut
 
 BANDS_PER_DOUBLING = 1024
 
@@ -120,12 +119,13 @@ def combined_rating(profile: DataFrame, ratings: DataFrame, score: str = "score"
     """Profile rows next to every rating of the customer; 0 without any.
 
     The rating side is the large and skewed one, so it is the sliced side of the
-    join, and each customer's few profile rows travel as one array.
+    join, and each customer's few profile rows travel as one array. The ratings are read
+    three times: where they are dear to make, hand them over cut.
     """
     held = profile.select("cust_id", F.struct(*[c for c in profile.columns if c != "cust_id"]).alias("_row"))
     # At most the n rows of top_n_per_customer, so the array is small.
     packed = held.groupBy("cust_id").agg(F.collect_list("_row").alias("_rows"))
-    rated = cut(ratings.select("cust_id", "rating"), "ratings")
+    rated = ratings.select("cust_id", "rating")
     matched = (
         attach_per_key(rated, packed, ["cust_id"])
         .select("cust_id", "rating", F.explode("_rows").alias("_row"))

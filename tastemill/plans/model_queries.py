@@ -10,7 +10,7 @@ from tastemill.levels import DIVISION, LEVELS, Level
 from tastemill.operators import clusters, recommend, rerank, taste
 from tastemill.plans.registry import query
 from tastemill.plans.taste_queries import (
-    STAMP, TASTE_VIEWS, deterministic_recs, history, profile, publish_sql, recent, rounded_score, taste_sql,
+    STAMP, TASTE_VIEWS, click_views, deterministic_recs, history, profile, publish_sql, recent, rounded_score, taste_sql,
 )
 from tastemill.session import cut, fresh_folder
 from tastemill.sources import tables
@@ -55,18 +55,33 @@ def _recommended(d, level: Level):
     return recommend.recommend(profile(d, level), level)
 
 
-def contract_sql(level: Level) -> str:
-    """What any model must give: a full list for each customer in the training share."""
+def split_sql(level: Level) -> str:
+    """Profile rows with whether the training share has them, as the hash of the ids says."""
     columns = ", ".join(level.product_columns[1:])
-    return f"""WITH {taste_sql(level)}, users AS (SELECT cust_id, row_number() OVER (ORDER BY n DESC, cust_id)-1 AS user_id FROM (SELECT cust_id, count(*) AS n FROM profile GROUP BY 1)),
+    return f"""{taste_sql(level)}, users AS (SELECT cust_id, row_number() OVER (ORDER BY n DESC, cust_id)-1 AS user_id FROM (SELECT cust_id, count(*) AS n FROM profile GROUP BY 1)),
  goods AS (SELECT category, {columns}, row_number() OVER (ORDER BY n DESC, category, {columns})-1 AS product_id FROM (SELECT category, {columns}, count(*) AS n FROM profile GROUP BY ALL)),
  split AS (SELECT cust_id, product_id, CAST('0x'||substr(md5('7|'||user_id||'|'||product_id),1,8) AS BIGINT)<3435973836 AS in_train
- FROM profile JOIN users USING (cust_id) JOIN goods USING (category, {columns})),
- known AS (SELECT count(DISTINCT product_id) AS n FROM split WHERE in_train)
+ FROM profile JOIN users USING (cust_id) JOIN goods USING (category, {columns}))"""
+
+
+def contract_sql(level: Level) -> str:
+    """What any model must give: a full list for each customer in the training share."""
+    return f"""WITH {split_sql(level)}, known AS (SELECT count(DISTINCT product_id) AS n FROM split WHERE in_train)
  SELECT cust_id, CASE WHEN trained THEN least(15, n) ELSE 0 END AS n_recs, true AS ranks_whole, true AS scores_fall, true AS scores_in_range
  FROM (SELECT cust_id, bool_or(in_train) AS trained FROM split GROUP BY 1), known"""
 
 
+def complete_sql(level: Level) -> str:
+    """The complete form: every customer has a full list."""
+    return f"""WITH {taste_sql(level)}, known AS (SELECT count(DISTINCT (category, {", ".join(level.product_columns[1:])})) AS n FROM profile)
+ SELECT cust_id, least(15, n) AS n_recs, true AS ranks_whole, true AS scores_fall, true AS scores_in_range FROM (SELECT DISTINCT cust_id FROM profile), known"""
+
+
+GRID_SQL = """SELECT CAST(r AS INTEGER) AS rank, CAST(g AS DOUBLE) AS reg, true AS errors_ordered, true AS beats_zero
+ FROM (VALUES (3),(5)) a(r), (VALUES (0.05),(0.1)) b(g)"""
+MOST_RESIDUAL = 1e-3
+
+
 def recommendation_contract(recs, profile, level: Level):
     """Per customer of a profile: length of the list, whether ranks run 1, 2, 3 ..., whether scores fall
     with them and stay in 1 to 100. A customer without a list is reported with length 0."""
@@ -82,11 +97,29 @@ def recommendation_contract(recs, profile, level: Level):
     return joined.withColumns({"n_recs": F.coalesce("n_recs", F.lit(0)), **flags})
 
 
+def tuned(tastes, level: Level):
+    """Errors of the grid on a level's validation share, and the settings it chooses."""
+    scores, _users, _products = recommend.indexed_scores(tastes, level)
+    train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
+    return recommend.tune_als(train, validation)
+
+
+def grid_contract(d, level: Level):
+    """Each pair of the grid once; the errors are in order and smaller than those of a model that says 0."""
+    tastes = cut(profile(d, level), "profile")
+    nothing = tastes.agg(F.sqrt(F.avg(F.col("score") * F.col("score")))).scalar()
+    grid = tuned(tastes, level)[0]
+    return grid.select("rank", "reg", ((F.col("mae") > 0) & (F.col("rmse") >= F.col("mae"))).alias("errors_ordered"), (F.col("rmse") < nothing).alias("beats_zero"))
+
+
 def published(d, level: Level):
     stamp = F.lit(STAMP).cast("timestamp_ntz")
     return rerank.publish(rerank.rerank_unseen(deterministic_recs(d, level), recent(d, level), level), stamp)
 
 
+COMPLETE = recommend.ALSSettings(refit_on_all=True)
+
+
 def _register_level(level: Level) -> None:
     @query(f"recommend_{level.name}")
     def _(d):
@@ -97,6 +130,23 @@ def _register_level(level: Level) -> None:
         tastes = cut(profile(d, level), "profile")
         return recommendation_contract(recommend.recommend(tastes, level), tastes, level)
 
+    @query(f"recommend_{level.name}_for_all_contract", TASTE_VIEWS, complete_sql(level))
+    def _(d):
+        tastes = cut(profile(d, level), "profile")
+        return recommendation_contract(recommend.recommend(tastes, level, COMPLETE), tastes, level)
+
+    @query(f"fit_als_residual_{level.name}", TASTE_VIEWS, f"WITH {split_sql(level)} SELECT cust_id, count(*) AS n_ratings, true AS solved FROM split WHERE in_train GROUP BY 1")
+    def _(d):
+        """Every trained customer's factors solve the ridge equations of the customer's scores."""
+        scores, users, _products = recommend.indexed_scores(profile(d, level), level)
+        train, _ = recommend.split_train_validation(scores, ["user_id", "product_id"])
+        left = recommend.als_residuals(recommend.fit_als(train), train)
+        return left.join(users, "user_id").select("cust_id", "n_ratings", (F.col("residual") < MOST_RESIDUAL).alias("solved"))
+
+    @query(f"tune_als_{level.name}", [], GRID_SQL)
+    def _(d):
+        return grid_contract(d, level)
+
     @query(f"publish_and_load_{level.name}", TASTE_VIEWS, publish_sql(level).replace("SELECT r.* REPLACE", "SELECT 0 AS n_rejected, r.* REPLACE"))
     def _(d):
         """Rule, gzip file, then a refresh of the table that is there, with the rejects counted."""
@@ -116,7 +166,15 @@ for _level in LEVELS.values():
 @query("recommend_division_for_all")
 def _(d):
     """The complete form: the model is fitted on every score, so each customer gets a list."""
-    return recommend.recommend(profile(d, DIVISION), DIVISION, recommend.ALSSettings(refit_on_all=True))
+    return recommend.recommend(profile(d, DIVISION), DIVISION, COMPLETE)
+
+
+@query("recommend_tuned_class_contract", TASTE_VIEWS, contract_sql(LEVELS["class"]))
+def _(d):
+    """The lists of the model whose settings the grid has chosen."""
+    level = LEVELS["class"]
+    tastes = cut(profile(d, level), "profile")
+    return recommendation_contract(recommend.recommend(tastes, level, tuned(tastes, level)[1]), tastes, level)
 
 
 @query("category_recommendations")
@@ -129,29 +187,22 @@ def _(d):
 
 @query("tune_als")
 def _(d):
-    scores, _users, _products = recommend.indexed_scores(profile(d, DIVISION), DIVISION)
-    train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
-    return recommend.tune_als(train, validation)[0]
+    return tuned(profile(d, DIVISION), DIVISION)[0]
 
 
-@query("tune_als_contract", [], """SELECT CAST(r AS INTEGER) AS rank, CAST(g AS DOUBLE) AS reg, true AS errors_ordered, true AS beats_zero
- FROM (VALUES (3),(5)) a(r), (VALUES (0.05),(0.1)) b(g)""")
+@query("tune_als_contract", [], GRID_SQL)
 def _(d):
-    """Each pair of the grid once; the errors are in order and smaller than those of a model that says 0."""
-    scores, _users, _products = recommend.indexed_scores(profile(d, DIVISION), DIVISION)
-    train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
-    nothing = validation.agg(F.sqrt(F.avg(F.col("score") * F.col("score")))).scalar()
-    grid = recommend.tune_als(train, validation)[0]
-    return grid.select("rank", "reg", ((F.col("mae") > 0) & (F.col("rmse") >= F.col("mae"))).alias("errors_ordered"), (F.col("rmse") < nothing).alias("beats_zero"))
+    return grid_contract(d, DIVISION)
 
 
-@query("open_recommendations", [], """SELECT user_id, CAST(product_id AS INTEGER) AS product_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY product_id) AS INTEGER) AS propensity_rank, CAST(rating AS DOUBLE) AS propensity_score FROM (
- SELECT p_partkey AS user_id, p_size+unnest([0,1,2]) AS product_id, p_retailprice AS rating FROM part)""")
+@query("open_recommendations", TASTE_VIEWS, f"WITH {taste_sql(DIVISION)} SELECT cust_id AS user_id, division_id AS product_id, propensity_rank, rank_implicit AS propensity_score FROM best WHERE propensity_rank<=15")
 def _(d):
-    # A packed list of the model's shape: array of (product_id, rating).
-    pack = F.transform(F.array(*[F.lit(i) for i in range(3)]), lambda i: F.struct(
-        (F.col("p_size") + i).alias("product_id"), F.col("p_retailprice").alias("rating")))
-    return recommend.open_recommendations(d.table("part").select(F.col("p_partkey").alias("user_id"), pack.alias("recommendations")))
+    """Every customer's 15 highest implicit ranks, packed into a list as the model packs its own, and opened."""
+    counts = taste.taste_counts(click_views(d), history(d, DIVISION), DIVISION)
+    best = taste.top_n_per_customer(taste.with_implicit_rank(counts), 15, "rank_implicit", place="place")
+    entry = F.struct("place", F.col("division_id").alias("product_id"), F.col("rank_implicit").alias("rating"))
+    packed = best.groupBy(F.col("cust_id").alias("user_id")).agg(F.sort_array(F.collect_list(entry)).alias("recommendations"))
+    return recommend.open_recommendations(packed)
 
 
 # --- clusters --------------------------------------------------------------------------

@@ -263,10 +263,10 @@ def _(d):
     return rerank.null_rank_count(_reranked(d, DIVISION))
 
 
-@query("publish_window", TASTE_VIEWS, f"""WITH {taste_sql(DIVISION)} SELECT cust_id, category, propensity_rank, next_best_rank FROM reranked r
- JOIN (SELECT cust_id AS cid, count(*) FILTER (next_best_rank IS NULL) AS bought FROM reranked GROUP BY 1) b ON r.cust_id=b.cid WHERE propensity_rank<=CASE WHEN bought<2 THEN 2 ELSE 4 END""")
+@query("publish_window", TASTE_VIEWS, f"""WITH {taste_sql(FINEST)} SELECT cust_id, category, propensity_rank, next_best_rank FROM reranked r
+ JOIN (SELECT cust_id AS cid, count(*) FILTER (next_best_rank IS NULL) AS bought FROM reranked GROUP BY 1) b ON r.cust_id=b.cid WHERE propensity_rank<=CASE WHEN bought<10 THEN 10 ELSE 15 END""")
 def _(d):
-    return rerank.publish_window(_reranked(d, DIVISION), 2, 2).select("cust_id", "category", "propensity_rank", "next_best_rank")
+    return rerank.publish_window(_reranked(d, FINEST)).select("cust_id", "category", "propensity_rank", "next_best_rank")
 
 
 @query("order_recs", TASTE_VIEWS, f"WITH {taste_sql(DIVISION)} SELECT cust_id, category, propensity_rank, next_best_rank FROM reranked ORDER BY cust_id, propensity_rank")
@@ -385,7 +385,7 @@ def _(d):
  FROM (WITH {taste_sql(DIVISION)} SELECT * FROM profile)), marks AS (SELECT cust_id, rating FROM (WITH {RATED} SELECT * FROM rated))
  SELECT b.cust_id, category, division_id, division, score, round(coalesce(score+rating,0),6) AS combined_rating FROM best b LEFT JOIN marks t ON b.cust_id=t.cust_id WHERE r<=15""")
 def _(d):
-    joined = taste.combined_rating(taste.top_n_per_customer(profile(d, DIVISION)), rated(d))
+    joined = taste.combined_rating(taste.top_n_per_customer(profile(d, DIVISION)), cut(rated(d), "rated"))
     return joined.withColumn("combined_rating", F.round("combined_rating", 6))
 
 

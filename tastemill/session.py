@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,14 +30,11 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only a local session without that setting falls back to a folder of its own, as in tests.
+    A session without that setting gets a folder in its warehouse, which all executors reach too.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
     if not named:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        named = os.path.join(tempfile.gettempdir(), "checkpoints", "tastemill")
+        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(named)
     return named

@@ -132,6 +132,28 @@ def _skewed(spark, n=6000):
         F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 500 + 1).alias("cust_id"), F.col("id").alias("v"))
 
 
+def test_hot_keys_come_from_a_sketch(spark):
+    df = _skewed(spark, 60_000)
+    found = {r["_hash"]: r["_hot"] for r in keys.heavy_hitters(df, ["cust_id"]).collect()}
+    share = {r[0]: r[1] for r in df.groupBy(F.xxhash64("cust_id")).count().collect()}
+    assert all(found[k] == (n * keys.HOT_SHARE > 60_000) for k, n in share.items() if n * keys.HOT_SHARE > 45_000)
+    assert len(found) < 2 * keys.HOT_SHARE and keys.heavy_hitters(df.where("false"), ["cust_id"]).count() == 0
+
+
+def test_attaching_starts_no_job(spark):
+    """Plans of sliced joins and of the combined rating are built without running anything."""
+    df = _skewed(spark)
+    profile = spark.createDataFrame([(0, "x", 3), (5, "y", 2)], "cust_id long, category string, score int")
+    context = spark.sparkContext
+    context.setJobGroup("building", "no job wanted")
+    try:
+        taste.combined_rating(profile, df.withColumnRenamed("v", "rating"))
+        keys.attach_per_key(df, keys.key_counts(df, ["cust_id"]), ["cust_id"])
+        assert list(context.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_hot_keys_are_few(spark):
     counts = keys.key_counts(_skewed(spark), ["cust_id"])
     hot = keys.hot_keys(counts, ["cust_id"])

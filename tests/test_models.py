@@ -64,3 +64,36 @@ def test_cluster_numbers_follow_the_mean(data, ascending):
     means = [r[1] for r in rows.groupBy("c_acctbal_cluster").agg(F.avg("c_acctbal")).orderBy("c_acctbal_cluster").collect()]
     assert means == sorted(means, reverse=not ascending) and len(means) == 4
     assert rows.count() == data.table("customer").count()
+
+
+def test_residual_is_the_gradient(spark):
+    """Against the ridge equations written out for every user."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(u, p, float(rng.integers(1, 6))) for u in range(40) for p in range(12) if rng.random() < 0.5]
+    ratings = spark.createDataFrame(rows, "user_id int, product_id int, score double")
+    settings = recommend.ALSSettings(iterations=2, user_blocks=2, reg=0.1)
+    model = recommend.fit_als(ratings, settings)
+    u, v = ({r["id"]: np.array(r["features"], float) for r in side.collect()} for side in (model.userFactors, model.itemFactors))
+    got = {r["user_id"]: r for r in recommend.als_residuals(model, ratings, settings).collect()}
+    for user in u:
+        mine = [(p, s) for w, p, s in rows if w == user]
+        gradient = sum(v[p] * (v[p] @ u[user] - s) for p, s in mine) / len(mine) + 0.1 * u[user]
+        assert got[user]["n_ratings"] == len(mine) and got[user]["residual"] == pytest.approx(abs(gradient).max(), abs=1e-9)
+        assert got[user]["residual"] < 1e-4
+    off = recommend.als_residuals(model, ratings.withColumn("score", F.col("score") + 1), settings)
+    assert off.where("residual > 0.1").count() > 30
+
+
+def test_grid_side_by_side_finds_what_fits_in_a_row_find(data):
+    scores, _, _ = recommend.indexed_scores(profile(data, LEVEL), LEVEL)
+    train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
+    grid, best = recommend.tune_als(train, validation, settings=SETTINGS)
+    got = {(r["rank"], r["reg"]): r["rmse"] for r in grid.collect()}
+    from dataclasses import replace
+
+    for rank, reg in got:
+        tried = replace(SETTINGS, rank=rank, reg=reg)
+        assert recommend.evaluate(recommend.fit_als(train, tried).transform(validation)).first()["rmse"] == pytest.approx(got[rank, reg], rel=1e-5)
+    assert got[best.rank, best.reg] == min(got.values()) and best.iterations == SETTINGS.iterations

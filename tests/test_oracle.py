@@ -32,6 +32,8 @@ def test_only_learning_queries_lack_an_oracle():
     without = set(all_queries()) - set(all_oracles())
     models = {f"recommend_{level}" for level in LEVELS} | {"recommend_division_for_all"}
     assert without == models | {"category_recommendations", "tune_als", "kmeans_elbow", "cluster_feature"}
+    for family in ("fit_als_residual_", "tune_als_", "recommend_"):
+        assert {f"{family}{level}" for level in LEVELS} <= set(all_queries())
 
 
 def test_entry(spark):

@@ -92,6 +92,24 @@ def eager_skew(spark):
         spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def test_busy_associate_is_split_and_unserved_lines_are_spread(eager_skew):
+    """A third of the lines names one associate, a third none."""
+    from pyspark.sql import functions as F
+
+    from tastemill.operators import customers
+
+    spark = eager_skew
+    key = F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.when(F.col("id") % 2 == 0, -1)).otherwise(F.col("id") % 50)
+    lines = spark.range(30000, numPartitions=8).select("id", key.alias("assoc1"), F.lit(-1).cast("long").alias("assoc2"), F.md5(F.col("id").cast("string")).alias("w"))
+    active = spark.range(0, 50, 2).select(F.explode(F.array(F.col("id"), F.col("id") + 7)).alias("assoc_id")).unionByName(spark.range(1).select(F.lit(-1).cast("long").alias("assoc_id")))
+    known = {r[0] for r in active.collect()} - {-1}
+    found = customers.matched_by_associate(lines, active)
+    assert found.count() == sum(r["assoc1"] in known for r in lines.collect())
+    found.collect()
+    text = plan(found)
+    assert "skew=true" in text and "hashpartitioning(assoc1" in text and "_share" in text
+
+
 def test_hot_customer_is_split(eager_skew):
     """A third of the lines belongs to one customer; the join with the allowed customers splits it."""
     from pyspark.sql import functions as F
