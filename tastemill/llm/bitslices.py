@@ -22,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.llm.exchange import blocks, open_block
+from tastemill.llm.exchange import block_batches, open_block
 from tastemill.llm.shared import Cuts, ready
-from tastemill.llm.words import Texts, column_bytes, mix
+from tastemill.llm.words import Texts, column_bytes, mix, tidy
 
 _U = np.uint64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 ITEM_BYTES = 1 << 18  # of item texts in one block of queries
 STEPS = (1, 2, 3, 5, 9)  # frequencies that a term's entries stand for: at least so often
 PROBES, PROBE_BITS = 3, 21
 BITS_AN_ENTRY = 10
 LEAST_ROWS = 6  # as a power of two
-CELLS = 1 << 24  # terms times documents whose bitmaps are open at once
+CELLS = 1 << 23  # terms times documents whose bitmaps are open at once
 PAIRS = 1 << 20  # terms of documents scored at once
 BLOCKS_AT_ONCE = 16  # blocks of queries sent to all tasks together
 HELD = 1 << 22  # best bounds that a task holds before it hands them on
@@ -55,7 +55,9 @@ def terms_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     first[edge], last[edge - 1] = inside[edge], inside[edge - 1]
     starts = np.flatnonzero(first)
     counts = np.diff(np.searchsorted(starts, part.bounds))
-    return part.hashes(starts, np.flatnonzero(last) + 1), np.repeat(np.arange(len(counts)), counts)
+    h = part.hashes(starts, np.flatnonzero(last) + 1)
+    part.forget()
+    return h, np.repeat(np.arange(len(counts)), counts)
 
 
 def grouped(h: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,12 +102,13 @@ def sliced(of: np.ndarray, terms: np.ndarray, tf: np.ndarray, n: int) -> tuple[n
 INDEX = "block long, docs int, filled int, total long, lengths binary, most binary, columns binary, powers binary, slices binary, terms array<long>, df array<int>, rows binary"
 
 
-def signatures(table: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame) -> DataFrame:
     """A row for each block: signatures, lengths, the block's dictionary and its documents."""
+    limit = BLOCK_BYTES
 
     def run(batches):
-        for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in block_batches(batches, 1, limit):
+            for block, _, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts = open_block(rows)
                 h, of = terms_of(texts.column(1))
                 n = texts.num_rows
@@ -121,7 +124,7 @@ def signatures(table: DataFrame) -> DataFrame:
                 names = ["block", "docs", "filled", "total", "lengths", "most", "columns", "powers", "slices", "terms", "df", "rows"]
                 yield pa.RecordBatch.from_arrays([*[pa.array([v], k) for v, k in zip(values, kinds)], *lists, pa.array([rows], pa.binary())], names)
 
-    return table.select("block", "rows").mapInArrow(run, INDEX)
+    return docs.mapInArrow(tidy(run), INDEX)
 
 
 @dataclass
@@ -137,7 +140,7 @@ class Index:
 def build(docs: DataFrame) -> Index:
     cuts = Cuts(ready(docs.sparkSession), "slices")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    table = cuts.save("index", signatures(blocks(narrow, limit=BLOCK_BYTES)))
+    table = cuts.save("index", signatures(narrow))
     sums = table.agg(F.sum("filled"), F.sum("total")).first()
     return Index(cuts, table, sums[0] or 0, sums[1] or 0)
 
@@ -230,16 +233,18 @@ def exact_scores(rows: bytes, docs: np.ndarray, number: np.ndarray, queries: Que
 def parsed(items: DataFrame) -> DataFrame:
     """(q, number, item_id, term): the distinct terms of every item, items numbered within a block of queries."""
 
+    limit = ITEM_BYTES
+
     def run(batches):
-        for batch in batches:
-            for block, rows in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for batch in block_batches(batches, 1, limit):
+            for block, _, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 texts = open_block(rows)
                 number, term, _ = grouped(*terms_of(texts.column(1)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(term), block)), pa.array(number.astype(np.int32)), texts.column(0).take(pa.array(number)), pa.array(term.view(np.int64))], ["q", "number", "item_id", "term"])
 
     narrow = items.select("item_id", F.col("text").cast("string").cast("binary").alias("text"))
     kind = items.schema["item_id"].dataType.simpleString()
-    return blocks(narrow, limit=ITEM_BYTES).select("block", "rows").mapInArrow(run, f"q long, number int, item_id {kind}, term long")
+    return narrow.mapInArrow(tidy(run), f"q long, number int, item_id {kind}, term long")
 
 
 def weighted(index: Index, wanted: DataFrame) -> DataFrame:
@@ -318,7 +323,7 @@ def found_for(index: Index, queries: DataFrame, blocks_asked: list[int], top: in
                     held = {}
         yield from handed()
 
-    found = asked(index.table.select(*signed), queries, blocks_asked).mapInArrow(pilots, "q long, number int, block long, doc int, bound long")
+    found = asked(index.table.select(*signed), queries, blocks_asked).mapInArrow(tidy(pilots), "q long, number int, block long, doc int, bound long")
     order = Window.partitionBy("q", "number").orderBy(F.desc("bound"), "block", "doc")
     chosen = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     packed = index.cuts.save("pilots", chosen.groupBy("block", "q").agg(F.collect_list(F.struct("number", "doc")).alias("pairs")).select("block", "q", F.col("pairs.number").alias("numbers"), F.col("pairs.doc").alias("at")))
@@ -331,7 +336,7 @@ def found_for(index: Index, queries: DataFrame, blocks_asked: list[int], top: in
                 _, score = exact_scores(row["rows"], docs, numbers, mine, n, total)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(score), row["q"], np.int64)), pa.array(numbers.astype(np.int32)), pa.array(score)], ["q", "number", "score"])
 
-    scored = index.table.select("block", "rows").join(packed, "block").join(F.broadcast(queries), "q").mapInArrow(rescored, "q long, number int, score long")
+    scored = index.table.select("block", "rows").join(packed, "block").join(F.broadcast(queries), "q").mapInArrow(tidy(rescored), "q long, number int, score long")
     ranked = Window.partitionBy("q", "number").orderBy(F.desc("score"))
     reached = scored.withColumn("place", F.row_number().over(ranked)).where((F.col("place") == top) & (F.col("score") > 0))
     floors = reached.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("number", "score"))).alias("f")).select("q", F.col("f.number").alias("floor_of"), F.col("f.score").alias("floor"))
@@ -355,4 +360,4 @@ def found_for(index: Index, queries: DataFrame, blocks_asked: list[int], top: in
                 good = pa.array(np.flatnonzero(score >= floor[number]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(good), row["q"], np.int64)), pa.array(number.astype(np.int32)).take(good), ids.take(good), pa.array(score).take(good)], ["q", "number", "doc_id", "score"])
 
-    return asked(index.table.select(*signed, "rows"), floored, blocks_asked).mapInArrow(final, "q long, number int, doc_id long, score long")
+    return asked(index.table.select(*signed, "rows"), floored, blocks_asked).mapInArrow(tidy(final), "q long, number int, doc_id long, score long")

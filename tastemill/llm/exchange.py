@@ -12,53 +12,59 @@ only once, so a hot key costs a bucket at most one entry a block.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tastemill.llm.words import SLICE_BYTES, Texts, column_bytes
+from tastemill.llm.words import SLICE_BYTES, Texts, column_bytes, tidy
 
 BUCKET_BYTES = 4 << 20
 _U = np.uint64
 
 
+def block_batches(batches: Iterator[pa.RecordBatch], text_at: int, limit: int) -> Iterator[pa.RecordBatch]:
+    """(block, size, rows) of a task: its consecutive rows, compressed, ``limit`` bytes of text at a time."""
+    from pyspark import TaskContext
+
+    number = TaskContext.get().partitionId() << 40
+    held, size = [], 0
+
+    def close():
+        nonlocal number, held, size
+        sink = pa.BufferOutputStream()
+        table = pa.Table.from_batches(held).combine_chunks()
+        with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+            writer.write_table(table)
+        out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "rows"])
+        number, held, size = number + 1, [], 0
+        return out
+
+    for batch in batches:
+        sizes = np.diff(column_bytes(batch.column(text_at))[1])
+        at = 0
+        while at < len(sizes):
+            total = np.cumsum(sizes[at:]) + size
+            n = max(int(np.searchsorted(total, limit, side="right")), 0 if held else 1)
+            if n:
+                held.append(batch.slice(at, n))
+                size = int(total[n - 1])
+                at += n
+            if at < len(sizes):
+                yield close()
+    if held:
+        yield close()
+
+
 def blocks(rows: DataFrame, text_at: int = 1, limit: int = SLICE_BYTES) -> DataFrame:
     """(block, size, rows): consecutive rows of a partition, compressed; column ``text_at`` is binary."""
 
     def run(batches):
-        from pyspark import TaskContext
-
-        number = TaskContext.get().partitionId() << 40
-        held, size = [], 0
-
-        def close():
-            nonlocal number, held, size
-            sink = pa.BufferOutputStream()
-            table = pa.Table.from_batches(held).combine_chunks()
-            with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-                writer.write_table(table)
-            out = pa.RecordBatch.from_arrays([pa.array([number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block", "size", "rows"])
-            number, held, size = number + 1, [], 0
-            return out
-
-        for batch in batches:
-            sizes = np.diff(column_bytes(batch.column(text_at))[1])
-            at = 0
-            while at < len(sizes):
-                total = np.cumsum(sizes[at:]) + size
-                n = max(int(np.searchsorted(total, limit, side="right")), 0 if held else 1)
-                if n:
-                    held.append(batch.slice(at, n))
-                    size = int(total[n - 1])
-                    at += n
-                if at < len(sizes):
-                    yield close()
-        if held:
-            yield close()
-
-    return rows.mapInArrow(run, "block long, size long, rows binary")
+        yield from block_batches(batches, text_at, limit)
+
+    return rows.mapInArrow(tidy(run), "block long, size long, rows binary")
 
 
 def open_block(rows: bytes) -> pa.RecordBatch:

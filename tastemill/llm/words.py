@@ -7,7 +7,8 @@ arrays over some megabytes of text, never word by word.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -48,6 +49,23 @@ def _powers(which: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(s) for s in steps)
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task, which hands its free memory back to the system at its end: Python workers
+    wait for later tasks, and beside them others run."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another system's allocator
+                pass
+
+    return tidied
+
+
 class Texts:
     """Consecutive texts of one column: bytes, bounds of the texts, words."""
 
