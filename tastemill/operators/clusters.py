@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tastemill.session import side_by_side
+
 
 def cluster_means(df: DataFrame, cluster: str, feature: str) -> DataFrame:
     return df.groupBy(cluster).agg(F.avg(feature).alias("mean_value"))
@@ -39,14 +41,47 @@ def single_cluster_spread(df: DataFrame, feature: str) -> DataFrame:
 
 
 def kmeans_elbow(df: DataFrame, feature: str, ks: range = range(1, 10), seed: int = 7, iterations: int = 1000) -> DataFrame:
-    """Within-cluster squares per number of clusters. Spark fits k from 2 on; 1 is the variance."""
-    points = _weighted_values(df, feature).cache()
-    found = [(k, _kmeans(k, seed, iterations).fit(points).summary.trainingCost) for k in ks if k > 1]
-    points.unpersist()
+    """Within-cluster squares per number of clusters. Spark fits k from 2 on, all at once; 1 is the variance."""
+    models = fit_all(df, feature, [k for k in ks if k > 1], seed, iterations)
+    found = [(k, model.summary.trainingCost) for k, model in models.items()]
     fitted = df.sparkSession.createDataFrame(found, "k int, within_ss double")
     return single_cluster_spread(df, feature).unionByName(fitted) if 1 in ks else fitted
 
 
+def fit_all(df: DataFrame, feature: str, ks: list[int], seed: int = 7, iterations: int = 1000) -> dict[int, KMeansModel]:
+    """A model for every number of clusters, fitted side by side over one fold of the values."""
+    points = _weighted_values(df, feature).cache()
+    try:
+        return dict(zip(ks, side_by_side(df.sparkSession, lambda k: _kmeans(k, seed, iterations).fit(points), ks, "clusters"), strict=True))
+    finally:
+        points.unpersist()
+
+
+def fixed_points(df: DataFrame, feature: str, ks: list[int], seed: int = 7, iterations: int = 1000) -> DataFrame:
+    """(k, n_clusters, n_astray, off): whether each clustering is one that k-means leaves alone.
+
+    Counted are the clusters with members and the distinct values that lie nearer to another
+    cluster's mean than to their own; ``off`` is the largest distance of a centre from the mean of
+    its members. The list of means has k entries, all values meet it row by row.
+    """
+    points = _weighted_values(df, feature)
+    found = []
+    for k, model in fit_all(df, feature, ks, seed, iterations).items():
+        centres = F.array(*[F.lit(float(c[0])) for c in model.clusterCenters()])
+        labelled = model.setPredictionCol("_own").transform(points)
+        means = labelled.groupBy("_own").agg((F.sum(F.col(feature) * F.col("weight")) / F.sum("weight")).alias("_mean"))
+        listed = means.agg(F.map_from_entries(F.collect_list(F.struct("_own", "_mean")))).scalar()
+        apart = F.transform(F.map_values("m"), lambda mean: F.abs(F.col(feature) - mean))
+        own = F.abs(F.col(feature) - F.element_at("m", F.col("_own")))
+        moved = F.array_max(F.transform(F.map_entries("m"), lambda e: F.abs(e["value"] - F.get(centres, e["key"]))))
+        found.append(labelled.withColumn("m", listed).agg(
+            F.lit(k).alias("k"), F.first(F.size("m")).alias("n_clusters"), F.count_if(own > F.array_min(apart) * (1 + 1e-9) + 1e-9).alias("n_astray"), F.first(moved).alias("off")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def cluster_feature(df: DataFrame, feature: str, k: int, ascending: bool = True, seed: int = 7) -> DataFrame:
     """Add ``<feature>_cluster``, numbered by the mean of the feature; null where that is null."""
     name = f"{feature}_cluster"

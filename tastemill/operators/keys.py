@@ -136,3 +136,22 @@ def ordered_index(labels: DataFrame, order: list[Column], name: str) -> DataFram
         .withColumn(name, F.col("_offset") + within)
         .drop("_at", "_part", "_offset")
     )
+
+
+def number_within(rows: DataFrame, keys: list[str], order: list[Column], name: str, size: str) -> DataFrame:
+    """Rows with their place within their key, from 0 in a declared order, and the key's size.
+
+    A global range sort by key and order spreads a key that no task could hold over neighbouring
+    partitions. A row's place is its place among the key's rows in its partition plus the key's
+    rows in the partitions before: a running sum over one row per key and partition. The ranges
+    are fixed by a cut, as in ``ordered_index``. Null keys have no place and drop out.
+    """
+    at = F.monotonically_increasing_id()
+    ranged = cut(rows.dropna("any", subset=keys).orderBy(*keys, *order).withColumn("_at", at), "runs")
+    ranged = ranged.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    runs = ranged.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    key = Window.partitionBy(*keys)
+    earlier = F.coalesce(F.sum("_rows").over(key.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*keys, "_part", "_first", earlier.alias("_before"), F.sum("_rows").over(key).alias(size))
+    placed = ranged.join(detached(runs), [*keys, "_part"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first"))
+    return placed.drop("_at", "_part", "_first", "_before")

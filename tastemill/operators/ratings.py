@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tastemill.functions import fixed, scoring
 from tastemill.operators import filters
-from tastemill.operators.keys import hot_keys, key_counts
+from tastemill.operators.keys import hot_keys, key_counts, number_within
 from tastemill.session import cut
 
 GROUP = ["cust_id", "action_type"]
@@ -82,8 +82,8 @@ def recency_position(events: DataFrame, bounded: bool = False) -> DataFrame:
     """Position by day, newest first, within customer and action, and the group's size.
 
     ``bounded=True`` says that groups are known to be small (the support filter bounds
-    them), and one window does. Otherwise the windows over a group run on one row per
-    day, and only one day's items of a group are numbered together.
+    them), and one window does. Otherwise a global sort numbers them, so a group, even one
+    day of it, may be larger than any task.
     """
     if bounded:
         newest = Window.partitionBy(*GROUP).orderBy(F.col("day").desc(), "web_item_id")
@@ -92,16 +92,9 @@ def recency_position(events: DataFrame, bounded: bool = False) -> DataFrame:
             "sum_of_events": F.count("*").over(Window.partitionBy(*GROUP)).cast("int"),
         })
     else:
-        group = Window.partitionBy(*GROUP)
-        earlier = group.orderBy(F.col("day").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        days = events.groupBy(*GROUP, "day").agg(F.count("*").alias("_n")).select(
-            *GROUP, "day",
-            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"),
-            F.sum("_n").over(group).cast("int").alias("sum_of_events"),
-        )
-        in_day = F.row_number().over(Window.partitionBy(*GROUP, "day").orderBy("web_item_id"))
-        placed = events.withColumn("_in_day", in_day).join(days, [*GROUP, "day"]).withColumn(
-            "number_of_events", (F.col("_before") + F.col("_in_day") - 1).cast("int"))
+        newest_first = [F.col("day").desc(), F.col("web_item_id")]
+        placed = number_within(events, GROUP, newest_first, "number_of_events", "sum_of_events")
+        placed = placed.withColumns({c: F.col(c).cast("int") for c in ("number_of_events", "sum_of_events")})
     share = scoring.recency_share(F.col("number_of_events"), F.col("sum_of_events"))
     return placed.select(*GROUP, "web_item_id", "day", "number_of_events", "sum_of_events", share.alias("pu"))
 

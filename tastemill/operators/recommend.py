@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from tastemill.functions.text import concat_key
 from tastemill.levels import Level
 from tastemill.operators.keys import ordered_index
 from tastemill.operators.topn import best_products
-from tastemill.session import cut
+from tastemill.session import cut, side_by_side
 
 
 @dataclass(frozen=True)
@@ -119,24 +117,20 @@ def tune_als(train: DataFrame, validation: DataFrame, ranks: tuple = (3, 5), reg
              settings: ALSSettings = ALSSettings()) -> tuple[DataFrame, ALSSettings]:
     """Validation error of every pair of the grid, and the settings with the least RMSE.
 
-    The fits run side by side in one scheduler pool, each from a driver thread of its own, over one
-    layout of the ratings that is held for all of them; tasks of one fill the gaps that the short
-    stages of another leave. A row of error for each fit is all that reaches the driver.
+    The fits run side by side over one layout of the ratings that is held for all of them. A row
+    of error for each fit is all that reaches the driver.
     """
     spark = train.sparkSession
     layout = steady_layout(train, settings.users_in(train)).persist()
     tries = [replace(settings, rank=rank, reg=reg) for rank in ranks for reg in regs]
 
-    @inheritable_thread_target(spark)
     def error_of(tried: ALSSettings) -> tuple[float, float]:
-        spark.sparkContext.setLocalProperty("spark.scheduler.pool", "tuning")
         model = als(tried, tried.users_in(train)).fit(layout)
         row = evaluate(model.transform(validation)).first()
         return row["rmse"], row["mae"]
 
     try:
-        with ThreadPoolExecutor(len(tries)) as threads:
-            errors = list(threads.map(error_of, tries))
+        errors = side_by_side(spark, error_of, tries, "tuning")
     finally:
         layout.unpersist()
     rows = [(tried.rank, tried.reg, *error) for tried, error in zip(tries, errors, strict=True)]

@@ -60,35 +60,45 @@ def with_implicit_rank(counts: DataFrame) -> DataFrame:
     return counts.withColumn("rank_implicit", value)
 
 
+def _cells(bands: DataFrame, places: Column) -> DataFrame:
+    """The bands that hold wanted places, as one row with one list: least and greatest value,
+    place, number of values before, and of all."""
+    upto, everything = F.sum("n").over(Window.orderBy("band")), F.sum("n").over(Window.partitionBy())
+    counted = bands.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n")).withColumn("all", everything)
+    placed = counted.withColumn("place", F.explode(places))
+    held = placed.where((F.col("before") <= F.col("place")) & (F.col("place") < F.col("upto")))
+    return held.agg(F.collect_list(F.struct("low", "high", "before", "place", "all")).alias("cells"))
+
+
+def _opened(values: DataFrame, cells: DataFrame) -> DataFrame:
+    """Values inside the cells, with the cell's columns."""
+    inside = values.withColumn("_cells", cells.scalar())
+    return inside.select("v", "n", F.inline(F.filter("_cells", lambda c: F.col("v").between(c["low"], c["high"]))))
+
+
 def taste_quantiles(ranked: DataFrame) -> DataFrame:
     """Exact interpolated quantiles of the implicit rank, as one row with one array.
 
-    Rows are folded to one per distinct value, and values to bands of the logarithm. The bands,
-    at most ``BANDS_PER_DOUBLING`` for each power of two, are all that one task sees; running
-    counts inside a band find the values at the wanted places. No values give a null.
+    Rows are folded once to one per distinct value. Bands of the logarithm, at most
+    ``BANDS_PER_DOUBLING`` for each power of two, make a bounded histogram, all that one task sees;
+    only the values of the few bands that hold a wanted place are then counted one by one, each
+    band in a task of its own. No values give a null.
     """
     value = F.col("rank_implicit")
-    band = F.floor(F.signum(value) * F.log2(1 + F.abs(value)) * BANDS_PER_DOUBLING)
-    values = ranked.where(value.isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).withColumn("_band", band)
-    bands = values.groupBy("_band").agg(F.sum("_n").alias("_in_band"))
-    bands = bands.select(
-        "_band",
-        (F.sum("_in_band").over(Window.orderBy("_band")) - F.col("_in_band")).alias("_before"),
-        F.sum("_in_band").over(Window.partitionBy()).alias("_all"))
-    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_band").orderBy(value))
-    counted = values.join(F.broadcast(bands), "_band").withColumn("_upto", upto)
-
-    def at(place: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > place, value))
-
-    places = [(F.col("_all") - 1) * q for q in fixed.TASTE_QUANTILES]
-    found = counted.agg(F.max("_all").alias("_all"), *[
-        at(edge(place)).alias(f"{name}{i}") for i, place in enumerate(places) for name, edge in (("_low", F.floor), ("_high", F.ceil))])
-    between = [
-        F.when(F.col(f"_low{i}") == F.col(f"_high{i}"), F.col(f"_low{i}")).otherwise(
-            (F.ceil(place) - place) * F.col(f"_low{i}") + (place - F.floor(place)) * F.col(f"_high{i}"))
-        for i, place in enumerate(places)]
-    return found.select(F.when(F.col("_all").isNotNull(), F.array(*between)).alias("quantiles"))
+    values = ranked.where(value.isNotNull()).groupBy(value.alias("v")).agg(F.count("*").alias("n"))
+    band = F.floor(F.signum("v") * F.log2(1 + F.abs("v")) * BANDS_PER_DOUBLING)
+    exact = [(F.col("all") - 1) * q for q in fixed.TASTE_QUANTILES]
+    places = F.array_distinct(F.array(*[edge(place) for place in exact for edge in (F.floor, F.ceil)]))
+    bands = values.groupBy(band.alias("band")).agg(F.sum("n").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    last = _opened(values, _cells(bands, places))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("place").orderBy("v"))
+    ends = last.withColumn("_upto", upto).where(F.col("_upto") > F.col("place")).groupBy("place", "all").agg(F.min("v").alias("v"))
+    found = ends.agg(F.max("all").alias("all"), F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at"))
+    between = []
+    for place in exact:
+        low, high = F.element_at("at", F.floor(place)), F.element_at("at", F.ceil(place))
+        between.append(F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high))
+    return found.select(F.when(F.col("all").isNotNull(), F.array(*between)).alias("quantiles"))
 
 
 def score_taste(ranked: DataFrame) -> DataFrame:

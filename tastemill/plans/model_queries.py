@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
@@ -155,8 +155,9 @@ def _register_level(level: Level) -> None:
         tables.write_csv_gz(rows, path, header=False)
         d.spark.sql(f"DROP TABLE IF EXISTS {table}")
         tables.create_table_as(rows.limit(0), table, path=fresh_folder(d.spark, "publish-table"))
-        loaded, bad = tables.full_refresh_load(d.spark, path, table, rows.schema)
-        return rounded_score(loaded.withColumn("n_rejected", cut(bad, "rejects").agg(F.count("*")).scalar()))
+        seen = Observation("load")
+        loaded, _bad = tables.full_refresh_load(d.spark, path, table, rows.schema, seen=seen)
+        return rounded_score(loaded.withColumn("n_rejected", F.lit(seen.get["n_rejected"])))
 
 
 for _level in LEVELS.values():
@@ -246,6 +247,21 @@ def _(d):
     return clusters.cluster_feature(d.table("customer").select("c_custkey", place.alias("place")), "place", 3)
 
 
+@query("kmeans_fixed_point", [], "SELECT CAST(k AS INTEGER) AS k, CAST(k AS INTEGER) AS n_clusters, true AS nearest, true AS centred FROM range(2,10) t(k)")
+def _(d):
+    """Two to nine clusters of the sizes: each value lies nearest to its own cluster's mean, each centre at it."""
+    found = clusters.fixed_points(d.table("part"), "p_size", list(range(2, 10)))
+    return found.select("k", "n_clusters", (F.col("n_astray") == 0).alias("nearest"), (F.col("off") < 1e-2).alias("centred"))
+
+
+@query("cluster_feature_fixed_point", [], "SELECT CAST(k AS INTEGER) AS k, CAST(k AS INTEGER) AS n_clusters, true AS nearest, true AS centred FROM range(2,10) t(k)")
+def _(d):
+    """The same on balances, which hardly repeat: none of a thousand lies nearer to another mean."""
+    found = clusters.fixed_points(d.table("customer"), "c_acctbal", list(range(2, 10)))
+    values = d.table("customer").agg(F.count_distinct("c_acctbal")).scalar()
+    return found.select("k", "n_clusters", (F.col("n_astray") * 1000 <= values).alias("nearest"), (F.col("off") < 1).alias("centred"))
+
+
 @query("cluster_feature")
 def _(d):
     return clusters.cluster_feature(d.table("customer").select("c_custkey", "c_acctbal"), "c_acctbal", 4)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType
 
-BAD = "_corrupt_record"
+BAD, REJECTED = "_corrupt_record", "rejected_line"
 
 
 def lower_names(df: DataFrame) -> DataFrame:
@@ -69,9 +71,35 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_single_csv(df: DataFrame, path: str, gzip: bool = False, header: bool = False) -> None:
-    """One part file, for small reports only: one task writes it, the plan before keeps its tasks."""
-    writer = df.repartition(1).write.mode("overwrite").option("header", header)
-    (writer.option("compression", "gzip") if gzip else writer).csv(path)
+    """A folder with one file that has all rows, in the order of the frame.
+
+    Tasks write their parts side by side; the parts are then put together byte by byte in their
+    order, the header first. Gzip allows that: a file of several members reads as one. No task and
+    no driver sees all rows as rows.
+    """
+    spark, ending = df.sparkSession, ".csv.gz" if gzip else ".csv"
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(conf)
+    parts, names = f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}", []
+    compression = "gzip" if gzip else "none"
+    if header:
+        names_only = spark.createDataFrame([tuple(df.columns)], StructType([StructField(f"c{i}", StringType()) for i in range(len(df.columns))]))
+        names_only.coalesce(1).write.option("compression", compression).csv(f"{parts}/0")
+    df.write.option("compression", compression).csv(f"{parts}/1")
+    for folder in ("0", "1") if header else ("1",):
+        names += sorted(str(f.getPath()) for f in files.listStatus(at(f"{parts}/{folder}")) if f.getPath().getName().startswith("part-"))
+    files.delete(at(path), True)
+    whole = files.create(at(f"{path.rstrip('/')}/part-00000{ending}"))
+    try:
+        for name in names:
+            part = files.open(at(name))
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, whole, 1 << 20, False)
+            part.close()
+    finally:
+        whole.close()
+    files.create(at(f"{path.rstrip('/')}/_SUCCESS")).close()
+    files.delete(at(parts), True)
 
 
 def create_table_as(df: DataFrame, name: str, refresh: bool = True, path: str | None = None) -> DataFrame:
@@ -83,17 +111,16 @@ def create_table_as(df: DataFrame, name: str, refresh: bool = True, path: str |
     return spark.table(name)
 
 
+def read_marked(spark: SparkSession, path: str, schema: StructType, sep: str, header: bool) -> DataFrame:
+    """Rows of a delimited file; a line that does not fit the schema stands whole in column ``BAD``."""
+    marked = StructType([*schema.fields, StructField(BAD, StringType())])
+    reader = spark.read.schema(marked).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", BAD)
+    return reader.option("sep", sep).option("header", header).csv(path)
+
+
 def load_delimited(spark: SparkSession, path: str, schema: StructType, sep: str = ",", header: bool = False) -> tuple[DataFrame, DataFrame]:
     """Readable rows of a delimited file, and the lines that were not."""
-    marked = StructType([*schema.fields, StructField(BAD, StringType())])
-    rows = (
-        spark.read.schema(marked)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", BAD)
-        .option("sep", sep)
-        .option("header", header)
-        .csv(path)
-    )
+    rows = read_marked(spark, path, schema, sep, header)
     good = rows.where(F.col(BAD).isNull()).drop(BAD)
     # Read as text with the whole schema in use: Spark refuses to read the
     # bad-record column alone from a raw file.
@@ -101,18 +128,34 @@ def load_delimited(spark: SparkSession, path: str, schema: StructType, sep: str
     return good, bad
 
 
-def full_refresh_load(spark: SparkSession, path: str, name: str, schema: StructType, sep: str = ",",
-                      header: bool = False, table_path: str | None = None) -> tuple[DataFrame, DataFrame]:
+def full_refresh_load(spark: SparkSession, path: str, name: str, schema: StructType, sep: str = ",", header: bool = False,
+                      table_path: str | None = None, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """Replace a table's rows by a file's; unreadable lines are skipped and handed back.
 
-    An existing table is emptied and filled again, so its definition stays.
+    The file is parsed once, into a new folder: readable rows in one part of it, the others in
+    another, counted on the way (``n_rows`` and ``n_rejected`` of ``seen``). Only when all is
+    written does the table point to the new folder, so readers see the old rows or the new ones,
+    and a load that breaks off changes nothing. The table keeps its columns. The folder before is
+    left for those who still read it.
     """
-    good, bad = load_delimited(spark, path, schema, sep, header)
-    if spark.catalog.tableExists(name):
-        good.select(*spark.table(name).columns).write.insertInto(name, overwrite=True)
+    exists = spark.catalog.tableExists(name)
+    kinds = spark.table(name).schema if exists else schema
+    base = table_path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{name.replace('.', '/')}"
+    stage, is_bad = f"{base.rstrip('/')}-loads/{uuid.uuid4().hex}", F.col(BAD).isNotNull()
+    columns = [F.when(is_bad, F.col(f.name).try_cast(f.dataType)).otherwise(F.col(f.name).cast(f.dataType)).alias(f.name) for f in kinds]
+    rows = read_marked(spark, path, schema, sep, header)
+    counted = rows.observe(seen or Observation(), F.count_if(~is_bad).alias("n_rows"), F.count_if(is_bad).alias("n_rejected"))
+    counted.select(*columns, BAD, is_bad.alias(REJECTED)).write.partitionBy(REJECTED).parquet(stage)
+    loaded = f"{stage}/{REJECTED}=false"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(loaded)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(at)  # a file may have no readable line
+    if exists:
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{loaded}'")
     else:
-        create_table_as(good, name, path=table_path)
-    return spark.table(name), bad
+        spark.catalog.createTable(name, path=loaded, source="parquet", schema=kinds)
+    spark.catalog.refreshTable(name)
+    both = StructType([*kinds.fields, StructField(BAD, StringType()), StructField(REJECTED, BooleanType())])
+    return spark.table(name), spark.read.schema(both).parquet(stage).where(REJECTED).drop(REJECTED)
 
 
 def as_strings(df: DataFrame, width: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -184,6 +184,24 @@ def test_split_position_equals_the_single_window(spark, rows):
     assert rows(ratings.recency_position(events)) == rows(ratings.recency_position(events, bounded=True))
 
 
+def test_one_day_of_one_customer_over_all_partitions(spark, rows, monkeypatch):
+    """Nothing but one customer, one action and one day: the numbering is spread and the same."""
+    events = spark.range(6000, numPartitions=4).select(
+        F.lit(1).cast("bigint").alias("cust_id"), F.lit("Cart_Add").alias("action_type"), F.format_string("w%06d", F.col("id") * 7919 % 6000).alias("web_item_id"),
+        F.lit(dt.date(2020, 1, 1)).alias("day"))
+    ranged, original = [], keys.cut
+    monkeypatch.setattr(keys, "cut", lambda df, label="cut": ranged.append(original(df, label)) or ranged[-1])
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = rows(ratings.recency_position(events))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert got == rows(ratings.recency_position(events, bounded=True))
+    shares = [r["count"] for r in ranged[0].groupBy(F.shiftrightunsigned("_at", 33)).count().collect()]
+    assert len(shares) >= 4 and max(shares) < 3000
+
+
 def test_lists_are_chunked_and_whole(spark, rows):
     events = _skewed(spark, 900).select(
         "cust_id", F.lit("Purchase").alias("action_type"), F.concat(F.lit("w"), F.col("v")).alias("web_item_id"), F.lit(dt.date(2020, 1, 1)).alias("day"))

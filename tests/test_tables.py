@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pathlib import Path
 
+import pytest
+from pyspark.sql import Observation
 from pyspark.sql.types import DoubleType, IntegerType, StringType, StructField, StructType
 
 from tastemill import session
@@ -37,6 +39,58 @@ def test_rejects_are_handed_back(spark, tmp_path, rows):
     assert rows(spark.table("refresh_target")) == [(9, "q", 1.0)]
 
 
+def test_load_that_breaks_off_leaves_the_old_rows(spark, tmp_path, rows):
+    """The second file has a number that the table's column cannot hold; it is met while writing."""
+    from pyspark.sql.types import LongType
+
+    long = StructType([StructField("a", LongType()), *SCHEMA.fields[1:]])
+    (tmp_path / "in.csv").write_text("1,x,1.5\n2,y,2\n")
+    tables.full_refresh_load(spark, str(tmp_path / "in.csv"), "broken_target", SCHEMA, table_path=str(tmp_path / "t"))
+    before = rows(spark.table("broken_target"))
+    (tmp_path / "next.csv").write_text("7,q,1\n" + "8,r,2\n" * 5000 + "99999999999,s,3\n")
+    with pytest.raises(Exception, match="OVERFLOW"):
+        tables.full_refresh_load(spark, str(tmp_path / "next.csv"), "broken_target", long, table_path=str(tmp_path / "t"))
+    assert rows(spark.table("broken_target")) == before == [(1, "x", 1.5), (2, "y", 2.0)]
+
+
+def test_file_is_parsed_once_and_counted(spark, tmp_path, rows):
+    (tmp_path / "in.csv").write_text("1,x,1.5\nno,y,2\n3,z,0.5\nno,q,2\n")
+    seen, context = Observation("load"), spark.sparkContext
+    context.setJobGroup("load", "")
+    try:
+        loaded, bad = tables.full_refresh_load(spark, str(tmp_path / "in.csv"), "counted_target", SCHEMA, table_path=str(tmp_path / "t"), seen=seen)
+        assert len(context.statusTracker().getJobIdsForGroup("load")) == 1
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert seen.get == {"n_rows": 2, "n_rejected": 2}
+    # what comes back does not read the file any more
+    assert not any("in.csv" in f for f in [*loaded.inputFiles(), *bad.inputFiles()])
+    assert rows(loaded) == [(1, "x", 1.5), (3, "z", 0.5)] and bad.count() == 2
+    (tmp_path / "none.csv").write_text("no,x,1\n")
+    loaded, bad = tables.full_refresh_load(spark, str(tmp_path / "none.csv"), "counted_target", SCHEMA, table_path=str(tmp_path / "t"))
+    assert loaded.count() == 0 and bad.count() == 1
+
+
+@pytest.mark.parametrize("gzip", [False, True])
+def test_single_file_keeps_the_order(spark, tmp_path, gzip):
+    """Several tasks write, none of them all rows; the file has them in the frame's order."""
+    df = spark.range(5000).selectExpr("id * 7919 % 5000 AS k", "concat('a,\"', id) AS v").repartition(6).orderBy("k")
+    tables.write_single_csv(df, str(tmp_path / "one"), gzip=gzip, header=True)
+    files = [p for p in (tmp_path / "one").iterdir() if p.name.startswith("part-")]
+    assert len(files) == 1 and not list(tmp_path.glob("*.parts-*"))
+    lines = (zlib_text(files[0]) if gzip else files[0].read_text()).splitlines()
+    assert lines[0] == "k,v" and [int(line.split(",")[0]) for line in lines[1:]] == list(range(5000))
+    back = spark.read.option("header", True).option("escape", "\\").csv(str(tmp_path / "one"))
+    assert back.count() == 5000 and back.columns == ["k", "v"]
+
+
+def zlib_text(path) -> str:
+    import gzip
+
+    with gzip.open(path, "rt") as f:
+        return f.read()
+
+
 def test_wide_values_are_rejected(spark, tmp_path, rows):
     df = spark.createDataFrame([(1, "x" * 50), (2, "x" * 51)], "a int, b string")
     loaded, wide = tables.load_as_strings(df, "text_target", path=str(tmp_path / "t"))
