@@ -3,7 +3,8 @@
 Every adjacent pair that some merge joins waits in the bucket of that merge's rank. A bitmap with
 a summary level says which buckets hold something, so the next rank is two find-first-set steps
 away. Bytes form a linked list; a merge relinks two neighbours, files the two new pairs and leaves
-the old entries in their buckets, where they are skipped once reached. The cost follows the number
+the old entries in their buckets, where they are skipped once reached. A bucket is worked off from
+left to right, unless a merge brings up a lower rank. The cost follows the number
 of merges, so a pre-token of megabytes is as cheap a byte as a word. Many pre-tokens share one
 queue: lists end at each pre-token, so the lowest rank of all is the lowest of its own pre-token.
 """
@@ -11,8 +12,8 @@ queue: lists end at each pre-token, so the lowest rank of all is the lowest of i
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tastemill.llm.cutting import ASCII_SPLIT, SPLIT
 from tastemill.llm.shared import ready
+from tastemill.llm.words import tidy
 
-CACHED_PRETOKENS = 600_000
+CACHE_BYTES = 24 << 20  # of pre-tokens met lately, and as many of those before
+ENTRY_BYTES = 200  # of an entry besides its characters and ids
 QUEUED_BYTES = 1 << 14
 WORD_BITS = 256
 
@@ -43,6 +47,12 @@ class Merges:
                 left, right = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if left is not None and right is not None:
                     self.pairs[left << 32 | right] = rank
+        self.first = np.array(self.single, np.int64)
+        # ranks of pairs of bytes; the size stands for none
+        self.byte_pairs = np.full((256, 256), self.size, np.int64)
+        for whole, rank in ranks.items():
+            if len(whole) == 2:
+                self.byte_pairs[whole[0], whole[1]] = rank
         self.lengths = np.zeros(self.size, np.int64)
         tokens = [b""] * self.size
         for whole, rank in ranks.items():
@@ -53,74 +63,75 @@ class Merges:
 
     def encode(self, pieces: list[bytes]) -> list[list[int]]:
         """Token ids of each pre-token, merged by rank, leftmost first."""
-        token: list[int] = []
-        after: list[int] = []
-        before: list[int] = []
-        heads: list[int] = []
-        single, pairs = self.single, self.pairs
-        for piece in pieces:
-            head, n = len(token), len(piece)
-            heads.append(head)
-            token.extend([single[b] for b in piece])
-            after.extend(range(head + 1, head + n))
-            before.append(-1)
-            before.extend(range(head, head + n - 1))
-            if n:
-                after.append(-1)
-            else:
-                before.pop()
-                heads[-1] = -1
-        low = [0] * (self.size // WORD_BITS + 1)
-        top = 0
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        ends = np.cumsum([len(piece) for piece in pieces], dtype=np.int64)
+        ranks = np.full(len(data), self.size, np.int64)
+        ranks[:-1] = self.byte_pairs[data[:-1], data[1:]]
+        ranks[ends[ends > 0] - 1] = self.size
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends[ends > 0] - 1] = -1
+        before[ends[ends < len(data)]] = -1
+        # the first buckets at once: positions sorted by the rank of their pair
+        order = np.argsort(ranks, kind="stable")[: int((ranks < self.size).sum())]
+        found, starts = np.unique(ranks[order], return_index=True)
+        positions, bounds = order.tolist(), [*starts.tolist(), len(order)]
+        token, after, before, waits = self.first[data].tolist(), after.tolist(), before.tolist(), ranks.tolist()
+        low, top = [0] * (self.size // WORD_BITS + 1), 0
         buckets: dict[int, list[int]] = {}
-        for i, j in enumerate(after):
-            if j >= 0 and (rank := pairs.get(token[i] << 32 | token[j])) is not None:
-                if bucket := buckets.get(rank):
-                    bucket.append(i)  # positions ascend, so the list stays a heap
-                else:
-                    buckets[rank] = [i]
-                    low[rank >> 8] |= 1 << (rank & 255)
-                    top |= 1 << (rank >> 8)
+        for rank, begin, end in zip(found.tolist(), bounds, bounds[1:]):
+            buckets[rank] = positions[begin:end]
+            low[rank >> 8] |= 1 << (rank & 255)
+            top |= 1 << (rank >> 8)
+        pairs = self.pairs.get
         while top:
             word = (top & -top).bit_length() - 1
             bits = low[word]
             rank = word << 8 | (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            i = heappop(bucket)
-            if not bucket:
-                low[word] = bits = bits & (bits - 1)
-                if not bits:
-                    top &= top - 1
-            j = after[i]
-            if j < 0 or token[i] < 0 or pairs.get(token[i] << 32 | token[j]) != rank:
-                continue  # stale: one of the two has been merged meanwhile
-            token[i], token[j] = rank, -1
-            k = after[i] = after[j]
-            h = before[i]
-            if k >= 0:
-                before[k] = i
-                if (new := pairs.get(rank << 32 | token[k])) is not None:
-                    if bucket := buckets.get(new):
-                        heappush(bucket, i)
-                    else:
-                        buckets[new] = [i]
-                        low[new >> 8] |= 1 << (new & 255)
-                        top |= 1 << (new >> 8)
-            if h >= 0 and (new := pairs.get(token[h] << 32 | rank)) is not None:
-                if bucket := buckets.get(new):
-                    heappush(bucket, h)
+            low[word] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+            bucket, lower = buckets.pop(rank), False
+            bucket.sort()
+            for place, i in enumerate(bucket):
+                if waits[i] != rank:
+                    continue  # stale: one of the two has been merged meanwhile
+                j = after[i]
+                token[i], token[j], waits[j] = rank, -1, -1
+                k = after[i] = after[j]
+                # pairs with the new token are longer than it, so none has its rank
+                if k >= 0:
+                    before[k] = i
+                    waits[i] = new = pairs(rank << 32 | token[k])
+                    if new is not None:
+                        lower = new < rank
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            low[new >> 8] |= 1 << (new & 255)
+                            top |= 1 << (new >> 8)
                 else:
-                    buckets[new] = [h]
-                    low[new >> 8] |= 1 << (new & 255)
-                    top |= 1 << (new >> 8)
-        out = []
-        for i in heads:
-            ids = []
-            while i >= 0:
-                ids.append(token[i])
-                i = after[i]
-            out.append(ids)
-        return out
+                    waits[i] = None
+                h = before[i]
+                if h >= 0:
+                    waits[h] = new = pairs(token[h] << 32 | rank)
+                    if new is not None:
+                        lower = lower or new < rank
+                        if new in buckets:
+                            buckets[new].append(h)
+                        else:
+                            buckets[new] = [h]
+                            low[new >> 8] |= 1 << (new & 255)
+                            top |= 1 << (new >> 8)
+                if lower and place + 1 < len(bucket):  # a lower rank comes first, the rest of this one later
+                    buckets[rank] = bucket[place + 1 :]
+                    low[rank >> 8] |= 1 << (rank & 255)
+                    top |= 1 << (rank >> 8)
+                    break
+        left = np.array(token, np.int64)
+        ids = left[left >= 0].tolist()
+        bounds = np.concatenate(([0], np.cumsum(left >= 0)))[np.concatenate(([0], ends)).astype(np.int64)].tolist()
+        return [ids[i:j] for i, j in zip(bounds, bounds[1:])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes that the ids stand for, one after another."""
@@ -136,37 +147,52 @@ def merges(path: str) -> Merges:
 
 
 class Encoder:
-    """Splits texts by the pattern and encodes each distinct pre-token once while it is cached."""
+    """Splits texts by the pattern and encodes each distinct pre-token once while it is cached.
+
+    The cache has two halves of bounded bytes. When the younger is full it becomes the older one,
+    and what is met again moves over from there, so frequent pre-tokens stay and rare ones go.
+    """
 
     def __init__(self, path: str, pattern: str):
         self.merges = merges(path)
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.find_ascii = re.compile(ASCII_SPLIT).findall if pattern == SPLIT else self.find
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        split = [self.find(t) for t in texts]
-        if len(self.cache) > CACHED_PRETOKENS:
-            self.cache.clear()
-        missing = list(set().union(*split) - self.cache.keys()) if split else []
+        split = [(self.find_ascii if t.isascii() else self.find)(t) for t in texts]
+        if self.held > CACHE_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
+        young, old = self.young, self.old
+        missing = set().union(*split) - young.keys()
+        for piece in missing & old.keys():
+            self._keep(piece, old[piece])
         ranks, queue, size = self.merges.ranks, [], 0
-        for piece in missing:
+        for piece in missing - old.keys():
             raw = piece.encode()
             rank = ranks.get(raw)
             if rank is not None:
-                self.cache[piece] = np.int32(rank).tobytes()
+                self._keep(piece, np.int32(rank).tobytes())
                 continue
             queue.append((piece, raw))
             size += len(raw)
             if size >= QUEUED_BYTES:
                 self._merge(queue)
                 queue, size = [], 0
-        self._merge(queue)
-        known = self.cache.__getitem__
+        if queue:
+            self._merge(queue)
+        known = young.__getitem__
         return [np.frombuffer(b"".join(map(known, pieces)), np.int32) for pieces in split]
 
+    def _keep(self, piece: str, ids: bytes) -> None:
+        self.young[piece] = ids
+        self.held += ENTRY_BYTES + len(piece) + len(ids)
+
     def _merge(self, queue: list[tuple[str, bytes]]) -> None:
         for (piece, _), ids in zip(queue, self.merges.encode([raw for _, raw in queue]), strict=True):
-            self.cache[piece] = np.array(ids, np.int32).tobytes()
+            self._keep(piece, np.array(ids, np.int32).tobytes())
 
 
 @lru_cache(maxsize=2)
@@ -202,4 +228,4 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 at = end
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return narrow.mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")

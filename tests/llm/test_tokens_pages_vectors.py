@@ -49,6 +49,49 @@ def test_very_long_pretoken(reference):
     assert coder.encode([text])[0].tolist() == reference.encode_ordinary(text)
 
 
+def test_cache_of_bounded_size_changes_nothing(reference, monkeypatch):
+    """Young and old halves of some entries each; frequent pre-tokens move over, rare ones come again."""
+    monkeypatch.setattr(rankqueue, "CACHE_BYTES", 3000)
+    monkeypatch.setattr(rankqueue, "QUEUED_BYTES", 40)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdeé ") for _ in range(rng.randint(1, 12))) for _ in range(300)]
+    coder = rankqueue.Encoder(RANKS, public_tokenizers.PATTERN)
+    for _ in range(40):
+        texts = [" the ".join(rng.choices(words, k=8)) for _ in range(5)]
+        assert [x.tolist() for x in coder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+        assert coder.held < 3000 + 60 * 400 and len(coder.young) < 200
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "aé", "abcdefghij"])
+def test_lower_ranks_that_come_up_go_first(alphabet):
+    """A vocabulary whose ranks do not grow with the tokens' making, against plain lowest-rank merging."""
+    rng = random.Random(6)
+    singles = [bytes([b]) for b in range(256)]
+    made = {"".join(rng.choice(alphabet) for _ in range(rng.randint(2, 5))).encode() for _ in range(80)}
+    vocabulary = singles + rng.sample(sorted(made), len(made))
+    lines = [base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(vocabulary)]
+    import tempfile
+
+    with tempfile.NamedTemporaryFile(suffix=".tiktoken") as f:
+        f.write(b"\n".join(lines))
+        f.flush()
+        coder = rankqueue.Merges(f.name)
+    ranks = {t: i for i, t in enumerate(vocabulary)}
+
+    def plain(raw: bytes) -> list[int]:
+        parts = [raw[i : i + 1] for i in range(len(raw))]
+        while True:
+            near = [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]
+            if not near:
+                return [ranks[p] for p in parts]
+            i = min(near)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    pieces = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))).encode() for _ in range(60)]
+    assert coder.encode(pieces) == [plain(p) for p in pieces]
+    assert coder.encode([]) == [] and coder.encode([b""]) == [[]]
+
+
 def test_encode_table(docs, none, reference):
     texts = {(r["doc_id"], r["text"]) for r in docs.collect()}
     got = rankqueue.encode_and_decode(docs, RANKS, public_tokenizers.PATTERN).collect()
