@@ -83,3 +83,15 @@ WEB_STOCK_LOCATION = 124
 
 # Spend over twelve months that makes a customer a high spender.
 HIGH_SPEND = 500_000
+
+# Source that marks very important customers, and the status of customers abroad.
+VIP_SOURCE = "DLE"
+ABROAD = "International"
+
+# Columns of the customer, metric, relationship and associate results.
+PROFILE_COLUMNS = ["cust_id", "prefix", "first_name", "middle_initial", "last_name"]
+METRICS_COLUMNS = [*PROFILE_COLUMNS, "level", "alive_probability", "predicted_purchases", "clv_frequency", "clv_recency",
+                   "clv_monetary_value", "cf_segment", "cf_customer_status"]
+RELATION_COLUMNS = ["cust_id", "assoc_id", "l24m_trips", "relationship_l24m", "net_spent_l24m"]
+ASSOCIATE_COLUMNS = ["associate_pin", "assoc_id", "first_name", "last_name", "location_id", "age_days",
+                     "revenue_l12m", "transactions_l12m", "customers_l12m"]

@@ -11,20 +11,13 @@ from tastemill.functions import dates, fixed, text
 from tastemill.operators.keys import detached, first_per_key, with_keys, without_keys
 from tastemill.operators.sales import known_customers
 
-PROFILE = ["cust_id", "prefix", "first_name", "middle_initial", "last_name"]
-METRICS = [*PROFILE, "level", "alive_probability", "predicted_purchases", "clv_frequency", "clv_recency",
-           "clv_monetary_value", "cf_segment", "cf_customer_status"]
-RELATION = ["cust_id", "assoc_id", "l24m_trips", "relationship_l24m", "net_spent_l24m"]
-ASSOCIATE = ["associate_pin", "assoc_id", "first_name", "last_name", "location_id", "age_days",
-             "revenue_l12m", "transactions_l12m", "customers_l12m"]
-
 # Shares into which lines without an associate are dealt.
 UNSERVED_SHARES = 4096
 
 
 # --- exclusions -----------------------------------------------------------------
 
-def vip_exclusion(df: DataFrame, sources: DataFrame, source: str = "DLE") -> DataFrame:
+def vip_exclusion(df: DataFrame, sources: DataFrame, source: str = fixed.VIP_SOURCE) -> DataFrame:
     """Rows of customers that a given source does not list."""
     return without_keys(df, sources.where(F.col("source") == source), ["cust_id"])
 
@@ -112,7 +105,7 @@ def segment_file_dates(segments: DataFrame) -> DataFrame:
 
 def client_list(metrics: DataFrame) -> DataFrame:
     """Customers that are neither VIP nor abroad and know an associate."""
-    return metrics.where("dle_flag = 0 AND associates_l24m >= 1 AND loc_status <> 'International'").select(*METRICS).distinct()
+    return metrics.where((F.col("dle_flag") == 0) & (F.col("associates_l24m") >= 1) & (F.col("loc_status") != fixed.ABROAD)).select(*fixed.METRICS_COLUMNS).distinct()
 
 
 def high_spend_customers(metrics: DataFrame, min_spend: float = fixed.HIGH_SPEND) -> DataFrame:
@@ -121,12 +114,12 @@ def high_spend_customers(metrics: DataFrame, min_spend: float = fixed.HIGH_SPEND
 
 def relationship_recent(relations: DataFrame) -> DataFrame:
     """Customer and associate pairs with positive net spend over twelve months."""
-    return relations.where("net_spent_l12m > 0").select(*RELATION).distinct()
+    return relations.where("net_spent_l12m > 0").select(*fixed.RELATION_COLUMNS).distinct()
 
 
 def relationship_lapsed(relations: DataFrame) -> DataFrame:
     """Pairs positive over two years but negative over the last."""
-    return relations.where("net_spent_l24m > 0 AND net_spent_l12m < 0").select(*RELATION).distinct()
+    return relations.where("net_spent_l24m > 0 AND net_spent_l12m < 0").select(*fixed.RELATION_COLUMNS).distinct()
 
 
 def _served(associates: DataFrame, min_customers: int) -> DataFrame:
@@ -134,7 +127,7 @@ def _served(associates: DataFrame, min_customers: int) -> DataFrame:
 
 
 def active_associates(associates: DataFrame, min_customers: int = 1) -> DataFrame:
-    return _served(associates, min_customers).select(*ASSOCIATE).distinct()
+    return _served(associates, min_customers).select(*fixed.ASSOCIATE_COLUMNS).distinct()
 
 
 def associate_pins(associates: DataFrame, store: int, min_customers: int = 1) -> DataFrame:
@@ -143,7 +136,7 @@ def associate_pins(associates: DataFrame, store: int, min_customers: int = 1) ->
 
 
 def customer_profile(customers: DataFrame) -> DataFrame:
-    return customers.select(*PROFILE).dropna(subset=["cust_id"]).distinct()
+    return customers.select(*fixed.PROFILE_COLUMNS).dropna(subset=["cust_id"]).distinct()
 
 
 def store_names(location: DataFrame) -> DataFrame:
