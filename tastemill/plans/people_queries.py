@@ -6,13 +6,14 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tastemill.functions import fixed
 from tastemill.operators import customers as cu
 from tastemill.plans.registry import AS_OF, CHAIN, SALES_BEGIN, SALES_END, query
 from tastemill.plans.sales_queries import SPEND, TRIP_VIEWS, VISITS, spend, visits
 
-METRICS = ", ".join(cu.METRICS)
-RELATION = ", ".join(cu.RELATION)
-ASSOCIATE = ", ".join(cu.ASSOCIATE)
+METRICS = ", ".join(fixed.METRICS_COLUMNS)
+RELATION = ", ".join(fixed.RELATION_COLUMNS)
+ASSOCIATE = ", ".join(fixed.ASSOCIATE_COLUMNS)
 SPEND_VIEWS = ["sales", "product", "location", "customers", "suppressed"]
 
 
