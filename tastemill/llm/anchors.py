@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tastemill.llm.exchange import blocks, bucket_bounds, bucket_count, from_planes, open_block, planes, replies, texts_of, with_answers
 from tastemill.llm.shared import Cuts, with_rows
-from tastemill.llm.words import Texts, runs_inside, windows
+from tastemill.llm.words import Texts, runs_inside, tidy, windows
 
 _U = np.uint64
 PERIOD, COVER = 7, (0, 1, 3)
@@ -96,7 +96,7 @@ def ask_anchors(table: DataFrame, window: int, buckets: int) -> DataFrame:
                     ["bucket", "block", "n", "keys", "inside"],
                 )
 
-    return table.select("block", "rows").mapInArrow(run, "bucket long, block long, n long, keys binary, inside binary")
+    return table.select("block", "rows").mapInArrow(tidy(run), "bucket long, block long, n long, keys binary, inside binary")
 
 
 def answer_anchors(asked: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def ask_windows(table: DataFrame, window: int, buckets: int) -> DataFrame:
                     ["bucket", "block", "n", "first", "second", "ids"],
                 )
 
-    return table.mapInArrow(run, "bucket long, block long, n long, first binary, second binary, ids binary")
+    return table.mapInArrow(tidy(run), "bucket long, block long, n long, first binary, second binary, ids binary")
 
 
 def answer_windows(asked: DataFrame) -> DataFrame:
@@ -205,4 +205,4 @@ def strip_repeats(docs: DataFrame, window: int = 13, keep_layout: bool = False)
                 )
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("row", narrow.schema["row"].dataType)])
-    return with_answers(table, anchors, found).mapInArrow(run, schema)
+    return with_answers(table, anchors, found).mapInArrow(tidy(run), schema)

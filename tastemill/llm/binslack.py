@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tastemill.llm.cutting import SPLIT, TEXTS_AT_ONCE, _ids
 from tastemill.llm.shared import Cuts, ready
+from tastemill.llm.words import tidy
 
 PIECE = ("doc_id", "piece", "start", "length", "ids_crc32")
 
@@ -56,7 +57,7 @@ def cut_long(docs: DataFrame, path: str, size: int, end_id: int, split: str | No
                 at = end
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, fields)
+    return narrow.mapInArrow(tidy(run), fields)
 
 
 def fullest(left: np.ndarray, lengths: np.ndarray, room: int) -> dict[int, int]:
@@ -159,4 +160,4 @@ def pack(docs: DataFrame, path: str, size: int = 2048, end_id: int = 0, split: s
 
     fields = "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "") + ", sequence_id long, offset long"
     wide = [F.col(c).cast("long").alias(c) if c == "length" else F.col(c) for c in carried]
-    return ranked.select(F.col("length").alias("_length"), "rank", *wide).mapInArrow(run, fields)
+    return ranked.select(F.col("length").alias("_length"), "rank", *wide).mapInArrow(tidy(run), fields)

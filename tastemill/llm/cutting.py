@@ -13,6 +13,7 @@ import re
 import zlib
 from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tastemill.llm.shared import Cuts, ready
+from tastemill.llm.words import tidy
 
 MAX_COLUMNS = 6000
 RANK_BUCKETS = 256
-CACHED_PRETOKENS = 1_000_000
+CACHE_BYTES = 48 << 20  # of pre-tokens and their ids
+ENTRY_BYTES = 200  # of an entry besides its characters and ids
 TEXTS_AT_ONCE = 2 << 20
 # The split that a byte-level tokenizer file of this kind makes before its merges.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,7 +41,7 @@ class Known(dict):
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.asked = tokenizer, []
+        self.tokenizer, self.asked, self.held = tokenizer, [], 0
 
     def __missing__(self, piece: str) -> str:
         self.asked.append(piece)
@@ -50,7 +53,14 @@ class Known(dict):
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
             for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[piece] = array("I", e.ids).tobytes()
+                self[piece] = ids = array("I", e.ids).tobytes()
+                self.held += ENTRY_BYTES + len(piece) + len(ids)
+
+    def shrink(self) -> None:
+        """Let the older half go once the entries pass their bound."""
+        if self.held > CACHE_BYTES:
+            for piece in list(islice(self, len(self) // 2)):
+                self.held -= ENTRY_BYTES + len(piece) + len(self.pop(piece))
 
 
 class Ids:
@@ -77,8 +87,7 @@ class Ids:
         out: list[np.ndarray | None] = [None] * len(texts)
         for i, e in zip(whole, self.tokenizer.encode_batch_fast([texts[i] for i in whole], add_special_tokens=False), strict=True):
             out[i] = np.array(e.ids, np.uint32)
-        if len(self.known) > CACHED_PRETOKENS:
-            self.known.clear()
+        self.known.shrink()
         known, waiting = self.known, []
         for i, text in enumerate(texts):
             if out[i] is None:
@@ -127,7 +136,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, sp
                 at = end
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, fields)
+    return narrow.mapInArrow(tidy(run), fields)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:

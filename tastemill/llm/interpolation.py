@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tastemill.llm.exchange import blocks, bucket_bounds, bucket_count, from_planes, open_block, planes, replies, texts_of, with_answers
 from tastemill.llm.shared import Cuts, shuffles_once
-from tastemill.llm.words import mix
+from tastemill.llm.words import mix, tidy
 
 _U = np.uint64
 END, START = _U(0x517CC1B727220A95), _U(0x2545F4914F6CDD1D)
@@ -107,7 +107,7 @@ def ask_counts(table: DataFrame, buckets: int) -> DataFrame:
                         ["bucket", "block", "n", "keys", "training", "tuning"],
                     )
 
-    return table.select("block", "rows").mapInArrow(run, "bucket long, block long, n long, keys binary, training binary, tuning binary")
+    return table.select("block", "rows").mapInArrow(tidy(run), "bucket long, block long, n long, keys binary, training binary, tuning binary")
 
 
 def answer_counts(asked: DataFrame, buckets: int) -> DataFrame:
@@ -217,7 +217,7 @@ def score(docs: DataFrame, training: Column, tuning: Column) -> DataFrame:
 
     # bounded by the grid, whatever the corpus: buckets times steps of two logarithms
     with shuffles_once(spark):
-        met = both.mapInArrow(gather, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
+        met = both.mapInArrow(tidy(gather), "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toPandas()
     code = met["code"].to_numpy().astype(np.int64)
     pair_step, token_step = code // 1024 % 1024, code % 1024
     ratio = [np.where(s > 0, np.exp((s - 400) / GRID), 0.0) for s in (pair_step, token_step)]
@@ -241,4 +241,4 @@ def score(docs: DataFrame, training: Column, tuning: Column) -> DataFrame:
                     ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
-    return both.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return both.mapInArrow(tidy(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tastemill.llm.shared import Cuts, components, text_bytes
-from tastemill.llm.words import Texts, mix, runs_inside, slices, windows
+from tastemill.llm.words import Texts, mix, runs_inside, slices, tidy, windows
 
 _U = np.uint64
 BANDS, ROWS = 32, 4  # on the first 128 minima
@@ -96,7 +96,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     ["doc_id", "n_shingles", "f1", "f2", "bands", "bits"],
                 )
 
-    return text_bytes(docs).mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
+    return text_bytes(docs).mapInArrow(tidy(run), "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, bits array<long>")
 
 
 def windows_of_rows(minima: np.ndarray) -> np.ndarray:
@@ -194,7 +194,7 @@ def likely_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
             if len(docs):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(docs), x)) for x in (key, tile, strip)] + [pa.array(docs)], ["key", "tile", "strip", "doc_id"])
 
-    return rows.mapInArrow(run, "key long, tile long, strip long, doc_id long")
+    return rows.mapInArrow(tidy(run), "key long, tile long, strip long, doc_id long")
 
 
 def linked_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
@@ -228,7 +228,7 @@ def linked_in_tiles(rows: DataFrame, percent: int) -> DataFrame:
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(tidy(run), "a long, b long")
 
 
 def _runs(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -254,7 +254,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                     ["doc_id", "set"],
                 )
 
-    return text_bytes(docs).join(wanted, "doc_id", "left_semi").mapInArrow(run, "doc_id long, set array<long>")
+    return text_bytes(docs).join(wanted, "doc_id", "left_semi").mapInArrow(tidy(run), "doc_id long, set array<long>")
 
 
 def confirmed(cuts: Cuts, docs: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tastemill.llm.shared import ready, text_bytes, with_rows
-from tastemill.llm.words import Texts, mix, slices, windows
+from tastemill.llm.words import Texts, mix, slices, tidy, windows
 
 _U = np.uint64
 POSITIVE_SAMPLE = 8_000
@@ -118,7 +118,7 @@ def _vectors(docs: DataFrame, kind: Column) -> DataFrame:
                 rows = [x.tobytes() for x in features(part)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.first, part.count), pa.array(rows, pa.binary())], ["kind", "x"])
 
-    return narrow.mapInArrow(run, "kind int, x binary")
+    return narrow.mapInArrow(tidy(run), "kind int, x binary")
 
 
 def learn(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int = POSITIVE_SAMPLE, unlabelled: int = UNLABELLED_SAMPLE) -> Scorer:
@@ -163,4 +163,4 @@ def score(docs: DataFrame, scorer: Scorer, carry: bool = False) -> DataFrame:
                 found = [some.column(0), pa.array(scorer.score(features(part)).astype(np.float64)), *(some.columns[1:] if carry else ())]
                 yield pa.RecordBatch.from_arrays(found, schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tastemill.llm.shared import ready, text_bytes, with_rows
-from tastemill.llm.words import Texts, mix, slices
+from tastemill.llm.words import Texts, mix, slices, tidy
 
 _U = np.uint64
 SYMBOLS = np.zeros(256, bool)
@@ -187,4 +187,4 @@ def judge(docs: DataFrame, rules: RepetitionRules = RepetitionRules(), carry: bo
                 some = batch.slice(part.first, part.count)
                 yield pa.RecordBatch.from_arrays([some.column(0), *columns, *(some.columns[1:] if carry else ())], schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tastemill.llm.exchange import blocks, open_block
 from tastemill.llm.shared import Cuts, ready, shuffles_once
-from tastemill.llm.words import Texts, column_bytes, mix, windows
+from tastemill.llm.words import Texts, column_bytes, mix, tidy, windows
 
 _U = np.uint64
 SHARD_BYTES = 2 << 20
@@ -37,6 +37,7 @@ HARD[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = True
 BETWEEN = HARD.copy()
 BETWEEN[[0x20, 0x09]] = True
 UNKNOWN = "und"
+SHARES = 8
 
 
 class Shard:
@@ -130,7 +131,7 @@ def mine(shards: DataFrame, length: int, known: Broadcast | None) -> DataFrame:
                         [shard.langs.take(pa.array(codes)), shard.phrases(some, length), pa.array(n[i : i + ROWS_AT_ONCE]), pa.array(shard.size[codes])],
                         ["lang", "phrase", "n", "size"])
 
-    return shards.select("rows").mapInArrow(run, "lang string, phrase string, n long, size long")
+    return shards.select("rows").mapInArrow(tidy(run), "lang string, phrase string, n long, size long")
 
 
 def shard_sizes(shards: DataFrame) -> DataFrame:
@@ -143,7 +144,7 @@ def shard_sizes(shards: DataFrame) -> DataFrame:
                 block = pa.array(np.full(len(shard.langs), batch.column(0)[row].as_py(), np.int64))
                 yield pa.RecordBatch.from_arrays([block, shard.langs, pa.array(shard.size)], ["block", "lang", "size"])
 
-    return shards.select("block", "rows").mapInArrow(run, "block long, lang string, size long")
+    return shards.select("block", "rows").mapInArrow(tidy(run), "block long, lang string, size long")
 
 
 @contextmanager
@@ -257,6 +258,10 @@ def phrases(docs: DataFrame, min_count: int = 10, longest: int = 3, inside_perce
         candidates = candidates.unionByName(level)
     scored = weakest_cut(candidates, counts).join(inner_share(candidates), ["lang", "phrase"], "left")
     kept = scored.where(F.col("around").isNull() | (whole("around") * 100 < whole("a") * inside_percent))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    best = kept.withColumn("rank", place).where(F.col("rank") <= top).join(totals, "lang")
+    best_first = [F.desc("score"), F.desc("a"), "phrase"]
+    # the best of each share first, so that the last step sees few rows of a language, however many tasks had them
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES))
+    some = kept.withColumn("share", share).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*best_first))).where(F.col("rank") <= top)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(*best_first))
+    best = some.withColumn("rank", place).where(F.col("rank") <= top).join(totals, "lang")
     return best.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")

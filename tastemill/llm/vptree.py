@@ -135,21 +135,19 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 20, relax: float = RELAX,
 
     ``rows`` has vec_id and embedding; queries are the rows that ``wanted`` names, candidates all
     rows but those with the query's own vec_id. Vectors that are null, zero, empty or hold a null
-    or non-finite component take no part, nor do rows without an id or with another number of
-    components than most have. Of rows that repeat an id and vector one counts.
+    or non-finite component take no part, nor do rows without an id. Vectors of different widths
+    have no inner product: each query meets the candidates of its own width, and every width has
+    its own shards. Of rows that repeat an id and vector one counts.
     """
     cuts = Cuts(rows.sparkSession, "vptree")
     vector = F.col("embedding").cast("array<double>")
     table = rows.where(F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("v")).where(usable(F.col("v")))
     table = table.withColumn("_q", wanted)
-    facts = table.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).orderBy(F.desc("n"), "width").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if facts is None:
-        return rows.sparkSession.createDataFrame([], schema)
-    width, longest = facts["width"], math.sqrt(facts["norm"]) * (1 + 1e-12)
-    shards = max(1, math.ceil(facts["n"] / shard_rows))
-    table = table.where(F.size("v") == width)
-    shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.lit(shards)).cast("int")
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    facts = table.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n"), F.sqrt(F.max(square)).alias("longest"))
+    facts = cuts.save("facts", facts.select("width", F.ceil(F.col("n") / shard_rows).cast("int").alias("shards"), (F.col("longest") * (1 + 1e-12)).alias("longest")))
+    table = table.withColumn("width", F.size("v")).join(facts, "width")
+    shard = F.pmod(F.xxhash64("vec_id", F.lit("shard")), F.col("shards")).cast("int")
 
     def build(key, group):
         ids = group.column("vec_id").to_numpy()
@@ -158,26 +156,32 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 20, relax: float = RELAX,
         ids, vectors = ids[by], vectors[by]
         once = np.ones(len(ids), bool)
         once[1:] = (ids[1:] != ids[:-1]) | (vectors[1:] != vectors[:-1]).any(axis=1)
-        ids, vectors = ids[once], vectors[once]
+        ids, vectors, longest = ids[once], vectors[once], group.column("longest")[0].as_py()
         rest = np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", vectors, vectors), 0))
         tree = VantageTree(np.concatenate([vectors, rest[:, None]], axis=1))
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pickle.dumps((tree, vectors, ids))], pa.binary())})
+        width, number = (pa.array([k.as_py()], pa.int32()) for k in key)
+        return pa.table({"width": width, "shard": number, "tree": pa.array([pickle.dumps((tree, vectors, ids, longest))], pa.binary())})
 
-    index = cuts.save("index", table.select(shard.alias("shard"), "vec_id", "v").groupBy("shard").applyInArrow(build, "shard int, tree binary"))
+    sharded = table.select("width", shard.alias("shard"), "longest", "vec_id", "v")
+    index = cuts.save("index", sharded.groupBy("width", "shard").applyInArrow(build, "width int, shard int, tree binary"))
 
     def block(batches):
         for batch in batches:
-            ids, v = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            for at in range(0, len(ids), QUERY_BLOCK):
-                some = slice(at, at + QUERY_BLOCK)
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((ids[some], np.stack(v[some]).astype(np.float64)))], pa.binary())], ["queries"])
+            widths = batch.column(0).to_numpy()
+            for width in np.unique(widths).tolist():
+                mine = batch.filter(pa.array(widths == width))
+                ids, v = mine.column(1).to_numpy(), mine.column(2).to_numpy(zero_copy_only=False)
+                for at in range(0, len(ids), QUERY_BLOCK):
+                    some = slice(at, at + QUERY_BLOCK)
+                    packed = pickle.dumps((ids[some], np.stack(v[some]).astype(np.float64)))
+                    yield pa.RecordBatch.from_arrays([pa.array([width], pa.int32()), pa.array([packed], pa.binary())], ["width", "queries"])
 
-    blocks = cuts.save("queries", table.where("_q").select("vec_id", "v").distinct().mapInArrow(block, "queries binary"))
+    blocks = cuts.save("queries", table.where("_q").select("width", "vec_id", "v").distinct().mapInArrow(block, "width int, queries binary"))
 
     def walk(batches):
         for batch in batches:
             for packed_tree, packed_queries in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tree, vectors, ids = pickle.loads(packed_tree)
+                tree, vectors, ids, longest = pickle.loads(packed_tree)
                 query_ids, queries = pickle.loads(packed_queries)
                 best, found = search(tree, vectors, ids, longest, queries, query_ids, k, relax)
                 q, nth = np.nonzero(np.isfinite(best))
@@ -185,7 +189,7 @@ def nearest(rows: DataFrame, wanted: Column, k: int = 20, relax: float = RELAX,
                 yield pa.RecordBatch.from_arrays([pa.array(query_ids[q]), pa.array(ids_found), pa.array(best[q, nth])], ["query_id", "vec_id", "score"])
 
     # each block of queries visits each shard: the stated queries against all rows, in blocks
-    visits = blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = index.join(visits, "shard").select("tree", "queries").mapInArrow(walk, "query_id long, vec_id long, score double")
+    visits = blocks.join(facts, "width").select("width", "queries", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"))
+    found = index.join(visits, ["width", "shard"]).select("tree", "queries").mapInArrow(walk, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

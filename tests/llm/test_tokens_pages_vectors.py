@@ -273,3 +273,20 @@ def test_recall_on_the_table(spark, root):
         hits += len(got[ids[q]] & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
         total += 20
     assert hits / total >= 0.9
+
+
+def test_vectors_of_two_widths_each_find_their_own(spark):
+    """As many of three components as of five, one of seven; every list as by brute force in its width."""
+    rng = np.random.default_rng(12)
+    rows = [(i, rng.normal(size=3 if i % 2 else 5).tolist()) for i in range(600)] + [(600, rng.normal(size=7).tolist())]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 AS width", "2 AS shards").repartition(3)
+    got = defaultdict(list)
+    for r in vptree.nearest(frame, F.col("vec_id") % 10 < 2, k=5, relax=1.0, shard_rows=100).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    vectors = {i: np.array(v) for i, v in rows}
+    for query in [i for i in vectors if i % 10 < 2]:
+        near = sorted((-float(vectors[query] @ v), i) for i, v in vectors.items() if i != query and len(v) == len(vectors[query]))[:5]
+        found = sorted(got.get(query, []))
+        assert [(r, v) for r, v, _ in found] == [(n, i) for n, (_, i) in enumerate(near, 1)]
+        assert [s for *_, s in found] == pytest.approx([-s for s, _ in near])
+    assert 600 not in got
