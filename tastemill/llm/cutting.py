@@ -1,14 +1,17 @@
 """Packing token sequences as a cutting-stock problem.
 
 Token lists are cut at multiples of the sequence length; the rests are the items. Their lengths,
-rounded up to a class, form a histogram that is bounded whatever the corpus holds. Column
-generation solves the linear program over patterns of classes: a knapsack dynamic program prices
-the next pattern from the duals until none helps. Patterns are rounded down, what is left is
-filled first-fit, and the slots of all patterns are dealt to the documents by rank.
+rounded up to a class, form a histogram that is bounded whatever the corpus holds; as many short
+pieces of one length as a class has ids make one item, which needs no rounding. Column generation
+solves the linear program over patterns of classes: a knapsack dynamic program prices the next
+pattern from the duals until the bound that the price gives is near. Patterns are rounded down,
+what is left is filled first-fit, and the slots of all patterns are dealt to the pieces by rank.
+Ranks are counted while texts are cut and shifted by a sum over partitions.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from tastemill.llm.shared import Cuts, ready
 from tastemill.llm.words import tidy
 
-MAX_COLUMNS = 6000
-RANK_BUCKETS = 256
+SHORT = 64  # pieces up to this length are put together before they are rounded
+MAX_COLUMNS = 6000  # patterns tried at most; fewer mean more padding, never a lost piece
+GAP = 0.0005  # share of sequences by which the linear program may miss its optimum
 CACHE_BYTES = 48 << 20  # of pre-tokens and their ids
 ENTRY_BYTES = 200  # of an entry besides its characters and ids
 TEXTS_AT_ONCE = 2 << 20
@@ -110,11 +114,15 @@ def _ids(path: str, split: str | None) -> Ids:
 
 
 def cut_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, split: str | None = SPLIT, with_ids: bool = False) -> DataFrame:
-    """Pieces of at most ``size`` ids of every document: its ids, then ``end_id``."""
+    """Pieces of at most ``size`` ids of every document (its ids, then ``end_id``), with their
+    partition and their number among its pieces of that length."""
     ready(docs.sparkSession)
-    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else "")
+    fields = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, _part int, _nth long" + (", ids array<int>" if with_ids else "")
 
     def run(batches):
+        from pyspark import TaskContext
+
+        part, seen = TaskContext.get().partitionId(), [0] * (size + 1)
         coder = _ids(path, split)
         for batch in batches:
             docs_of, texts, at = batch.column(0).to_pylist(), batch.column(1).fill_null("").to_pylist(), 0
@@ -123,14 +131,15 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, sp
                 while end < len(texts) and (chars < TEXTS_AT_ONCE or end == at):
                     chars += len(texts[end])
                     end += 1
-                rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids")}
+                rows: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "_part", "_nth", "ids")}
                 for doc, ids in zip(docs_of[at:end], coder.of(texts[at:end]), strict=True):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
                     for start in range(0, len(ids), size):
                         piece = ids[start : start + size]
-                        for k, v in zip(rows, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), piece.astype(np.int32) if with_ids else None), strict=True):
+                        for k, v in zip(rows, (doc, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), part, seen[len(piece)], piece.astype(np.int32) if with_ids else None), strict=True):
                             rows[k].append(v)
-                kinds = {"ids": pa.list_(pa.int32())}
+                        seen[len(piece)] += 1
+                kinds = {"_part": pa.int32(), "ids": pa.list_(pa.int32())}
                 names = [k for k in rows if with_ids or k != "ids"]
                 yield pa.RecordBatch.from_arrays([pa.array(rows[k], kinds.get(k, pa.int64())) for k in names], names)
                 at = end
@@ -161,17 +170,24 @@ def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.nd
 
 
 def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tuple[np.ndarray, int]]:
-    """Patterns (counts by class) and how often each is used; together they hold the demand exactly."""
+    """Patterns (counts by class) and how often each is used; together they hold the demand exactly.
+
+    A price w proves that no solution needs less than the present one divided by w, so columns are
+    added until the best such bound is GAP away or nearer, or MAX_COLUMNS have been tried, which
+    bounds the driver's time on histograms that are far from any pattern.
+    """
     m = len(sizes)
     if m == 0:
         return []
     columns = [np.where(np.arange(m) == i, room // sizes[i], 0) for i in range(m)]
     inverse = np.diag([1.0 / c[i] for i, c in enumerate(columns)])
     amounts = inverse @ demand.astype(float)
+    bound = float(sizes @ demand) / room
     for _ in range(MAX_COLUMNS):
         duals = inverse.sum(axis=0)
         worth, pattern = price(duals, sizes, room)
-        if worth <= 1 + 1e-9:
+        bound = max(bound, amounts.sum() / max(worth, 1))
+        if worth <= 1 + 1e-9 or amounts.sum() <= bound * (1 + GAP):
             break
         step = inverse @ pattern
         ratio = np.where(step > 1e-9, amounts / np.where(step > 1e-9, step, 1), np.inf)
@@ -203,38 +219,55 @@ def solve_patterns(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
     return chosen
 
 
-def deal(pieces: DataFrame, size: int = 1024, grain: int = 4) -> DataFrame:
-    """Give every piece a sequence and an offset; ``pieces`` has doc_id, start, length."""
-    spark = pieces.sparkSession
-    pieces = pieces.withColumn("_class", F.ceil(F.col("length") / grain).cast("int"))
-    pieces = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int"))
-    # at most size / grain classes times RANK_BUCKETS rows, whatever the corpus
-    counts = pieces.groupBy("_class", "_bucket").agg(F.count("*").alias("n")).collect()
-    classes = sorted({r["_class"] for r in counts})
-    demand = {c: 0 for c in classes}
-    before = []
-    for r in sorted(counts, key=lambda r: (r["_class"], r["_bucket"])):
-        before.append((r["_class"], r["_bucket"], demand[r["_class"]]))
-        demand[r["_class"]] += r["n"]
-    patterns = solve_patterns(np.array(classes), np.array([demand[c] for c in classes]), size // grain)
+def items_of(counts: dict[int, int], size: int, grain: int) -> tuple[list[tuple[int, ...]], dict[int, int]]:
+    """What ranks of each length become, and how many items each class (in units of ``grain``) gets.
+
+    Rows are (length, first rank, rank behind the last, pieces an item, class, first item).
+    ``grain`` short pieces of a length fill a class of that many units to the last id.
+    """
+    rows, demand = [], {}
+    for length, n in sorted(counts.items()):
+        together = n // grain if length <= min(SHORT, size // grain) else 0
+        for first, last, each, unit in ((0, together * grain, grain, length), (together * grain, n, 1, -(-length // grain))):
+            if last > first:
+                rows.append((length, first, last, each, unit, demand.get(unit, 0)))
+                demand[unit] = demand.get(unit, 0) + (last - first) // each
+    return rows, demand
+
+
+def slots_of(demand: dict[int, int], room: int) -> list[tuple[int, ...]]:
+    """Where the items of each class go: (class, first item, item behind the last, items a sequence, first sequence)."""
+    classes = sorted(demand)
     slots, filled, sequence = [], {c: 0 for c in classes}, 0
-    for pattern, times in patterns:
+    for pattern, times in solve_patterns(np.array(classes, np.int64), np.array([demand[c] for c in classes], np.int64), room):
         for i in np.flatnonzero(pattern):
             c, each = classes[i], int(pattern[i])
             slots.append((c, filled[c], filled[c] + each * times, each, sequence))
             filled[c] += each * times
         sequence += times
-    first = spark.createDataFrame(before, "_class int, _bucket int, _before long")
-    # at most (size / grain) squared rows: patterns times classes of a pattern
-    where = spark.createDataFrame(slots, "_class int, _from long, _to long, _each long, _sequence long")
-    order = Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", "ids_crc32")
-    ranked = pieces.withColumn("_rank", F.row_number().over(order) - 1).join(F.broadcast(first), ["_class", "_bucket"])
-    ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_before"))
-    placed = ranked.join(F.broadcast(where), (ranked["_class"] == where["_class"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(where["_class"])
-    within = F.col("_rank") - F.col("_from")
-    placed = placed.withColumn("sequence_id", F.col("_sequence") + F.floor(within / F.col("_each"))).withColumn("_slot", within % F.col("_each"))
-    earlier = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)).cast("long"))
+    return slots
+
+
+def deal(cuts: Cuts, pieces: DataFrame, size: int = 1024, grain: int = 4) -> DataFrame:
+    """Give every piece of ``cut_pieces`` a sequence and an offset."""
+    spark, grain = pieces.sparkSession, math.gcd(size, grain)
+    # a row for each partition and length
+    held = cuts.save("held", pieces.groupBy("_part", "length").agg(F.count("*").alias("n")))
+    # at most ``size`` lengths, whatever the corpus
+    counts = {r["length"]: r["n"] for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    rows, demand = items_of(counts, size, grain)
+    # at most two rows a length, and at most (size / grain) squared: patterns times classes of one
+    items = spark.createDataFrame(rows, "_length long, _first long, _last long, _pieces long, _class long, _item long")
+    where = spark.createDataFrame(slots_of(demand, size // grain), "_unit long, _from long, _to long, _each long, _sequence long")
+    earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = held.select("_part", "length", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = pieces.join(before, ["_part", "length"]).withColumn("_rank", F.col("_before") + F.col("_nth"))
+    known = ranked.join(F.broadcast(items), F.expr("length = _length AND _rank >= _first AND _rank < _last"))
+    known = known.withColumn("_number", F.col("_item") + F.floor((F.col("_rank") - F.col("_first")) / F.col("_pieces")))
+    placed = known.join(F.broadcast(where), F.expr("_class = _unit AND _number >= _from AND _number < _to"))
+    placed = placed.withColumn("sequence_id", F.col("_sequence") + F.floor((F.col("_number") - F.col("_from")) / F.col("_each")))
+    order = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_number", "length", "_rank").rowsBetween(Window.unboundedPreceding, -1)
+    placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(order), F.lit(0)).cast("long"))
     return placed.select(*[c for c in pieces.columns if c[0] != "_"], F.col("sequence_id").cast("long").alias("sequence_id"), "offset")
 
 
@@ -248,4 +281,4 @@ def pack(docs: DataFrame, path: str, size: int = 1024, end_id: int = 0, grain: i
     """
     cuts = Cuts(docs.sparkSession, "packing")
     pieces = cuts.save("pieces", cut_pieces(docs, path, size, end_id, split, with_ids))
-    return deal(pieces, size, grain)
+    return deal(cuts, pieces, size, grain)

@@ -148,6 +148,33 @@ def test_columns_reach_the_bound():
     assert all((p * sizes).sum() <= 10 for p, _ in patterns)
 
 
+@pytest.mark.parametrize("words", [2, 4, 8, 12])
+def test_short_documents_are_packed_full(spark, words):
+    """Documents of 3 to 13 ids, each sequence but the last few at least 95 % full."""
+    frame = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("a" + " a" * (words - 1)).alias("text")).repartition(5)
+    rows = cutting.pack(frame, FILE).collect()
+    assert len(rows) == 4000 and {r["length"] for r in rows} == {words + 1}
+    held = defaultdict(list)
+    for r in rows:
+        held[r["sequence_id"]].append((r["offset"], r["length"]))
+    for some in held.values():
+        assert [o for o, _ in sorted(some)] == [i * (words + 1) for i in range(len(some))] and len(some) * (words + 1) <= 1024
+    fills = sorted(len(some) * (words + 1) / 1024 for some in held.values())
+    assert fills[1] >= 0.95
+
+
+def test_items_hold_every_rank_once():
+    counts = {1: 7, 5: 4, 9: 103, 64: 9, 65: 3, 1000: 2, 1024: 6}
+    rows, demand = cutting.items_of(counts, 1024, 4)
+    for length, n in counts.items():
+        mine = sorted(r for r in rows if r[0] == length)
+        assert mine[0][1] == 0 and mine[-1][2] == n and all(a[2] == b[1] for a, b in zip(mine, mine[1:]))
+        assert all(length * each <= 4 * unit for _, _, _, each, unit, _ in mine)
+    for unit, n in demand.items():
+        taken = sorted((r[5], r[5] + (r[2] - r[1]) // r[3]) for r in rows if r[4] == unit)
+        assert taken[0][0] == 0 and taken[-1][1] == n and all(a[1] == b[0] for a, b in zip(taken, taken[1:]))
+
+
 def test_pack_nothing(none):
     assert cutting.pack(none, FILE).collect() == []
 
