@@ -3,10 +3,17 @@
 The non-negative risk: pi * R+(P) + max(0, R-(U) - pi * R-(P)), with a logistic loss and pi the
 estimated share of positives in the corpus. When the second term falls below zero, the step goes
 against it, so the model doesn't learn to call every unlabelled text negative.
+
+pi comes from the two samples alone: a plain model ranks both, fitted on halves and applied to the
+other half, and the share of unlabelled texts above a rank, divided by that of positives, is least
+where hardly any negative ranks as high. No label of a negative is needed or used.
 """
 
 from __future__ import annotations
 
+import math
+import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -82,8 +89,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
-    """Adam on the non-negative risk over the whole sample, from zero weights."""
+def slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """Slopes of the non-negative risk by the outputs of positives and of unlabelled, each times its
+    sample's size; where the risk of negatives has fallen below zero, those of its descent back."""
+    sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
+    if np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean() >= 0:
+        return -prior * (1 - sp) - prior * sp, su
+    return prior * sp, -su
+
+
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS) -> Scorer:
+    """The model of least non-negative risk over the whole samples."""
+    return _descend(positive, unlabelled, lambda zp, zu: slopes(zp, zu, prior), prior, steps)
+
+
+def _descend(positive: np.ndarray, unlabelled: np.ndarray, slope: Callable, prior: float, steps: int, rate: float = 0.05, decay: float = 1e-4) -> Scorer:
+    """Adam over the whole samples, from zero weights."""
     everything = np.concatenate([positive, unlabelled]) if len(positive) + len(unlabelled) else np.zeros((1, WIDTH), np.float32)
     mean, scale = everything.mean(axis=0), np.maximum(everything.std(axis=0), 0.05)
     if not len(positive) or not len(unlabelled):
@@ -95,12 +116,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     first, second = np.zeros_like(w), np.zeros_like(w)
     p, u = (np.concatenate([x, np.ones((len(x), 1))], axis=1) for x in (p, u))
     for t in range(1, steps + 1):
-        zp, zu = p @ w, u @ w
-        sp, su = 1 / (1 + np.exp(-zp)), 1 / (1 + np.exp(-zu))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        g_positive = -prior * ((1 - sp) @ p) / len(p)
-        g_negative = (su @ u) / len(u) - prior * (sp @ p) / len(p)
-        g = g_positive + g_negative if negative >= 0 else -g_negative
+        gp, gu = slope(p @ w, u @ w)
+        g = (gp @ p) / len(p) + (gu @ u) / len(u)
         g[:-1] += decay * w[:-1]
         first = 0.9 * first + 0.1 * g
         second = 0.999 * second + 0.001 * g * g
@@ -108,6 +125,32 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Scorer(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 2, doubt: float = 0.1) -> float:
+    """Share of positives among the unlabelled: the least ratio of upper tails, at the rank where its
+    upper confidence limit is least. It errs high on a few dozen texts, where that limit is wide, and is
+    one half where either sample can't be split."""
+    if min(len(positive), len(unlabelled)) < folds:
+        return 0.5
+    ranks = [np.zeros(len(positive)), np.zeros(len(unlabelled))]
+    for k in range(folds):
+        mine = [np.arange(len(x)) % folds == k for x in (positive, unlabelled)]
+        plain = _plain(positive[~mine[0]], unlabelled[~mine[1]])
+        for rank, x, m in zip(ranks, (positive, unlabelled), mine, strict=True):
+            rank[m] = plain.score(x[m])
+    p, u = (np.sort(r) for r in ranks)
+    # every positive's rank is a place to look; tails are counted from above, ties included
+    above_p = (len(p) - np.searchsorted(p, p, side="left")) / len(p)
+    above_u = (len(u) - np.searchsorted(u, p, side="left")) / len(u)
+    slack = sum(math.sqrt(math.log(4 / doubt) / (2 * len(x))) for x in (p, u))
+    at = int(((above_u + slack) / above_p).argmin())
+    return float(np.clip(above_u[at] / above_p[at], 0.01, 0.99))
+
+
+def _plain(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 200) -> Scorer:
+    """Logistic model of positives against all unlabelled texts, both samples weighing alike."""
+    return _descend(positive, unlabelled, lambda zp, zu: (-1 / (1 + np.exp(zp)), 1 / (1 + np.exp(-zu))), 0.5, steps)
+
+
 def _vectors(docs: DataFrame, kind: Column) -> DataFrame:
     """(kind, features) of the rows, features as bytes."""
     narrow = docs.select(kind.alias("kind"), F.col("text").cast("string").cast("binary").alias("text"))
@@ -125,13 +168,12 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int =
     """Fit on bounded samples of the rows that ``allowed`` lets in.
 
     ``positives`` documents with quality 1 and ``unlabelled`` documents, whatever their
-    label, are chosen by a hash of their id, so the risk is defined at every coverage of the labels. The class prior is the share of quality 1 among all labels
-    let in; without labels it is one half.
+    label, are chosen by a hash of their id, so the risk is defined at every coverage of the labels.
+    The class prior is estimated from the two samples; labels of negatives are not used. An id with
+    several labels is positive if all of them say so.
     """
     ready(docs.sparkSession)
     marks = labels.where(allowed & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("q"))
-    counts = marks.agg(F.avg("q").alias("prior")).first()
-    prior = 0.5 if counts["prior"] is None else float(counts["prior"])
     ids = docs.where(allowed & F.col("doc_id").isNotNull()).select("doc_id").distinct().join(marks, "doc_id", "left")
     order = F.xxhash64("doc_id")
     chosen = (
@@ -141,8 +183,10 @@ def learn(docs: DataFrame, labels: DataFrame, allowed: Column, positives: int =
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), "doc_id long, kind int")
     # bounded by the two sample sizes
     rows = _vectors(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), F.col("kind")).collect()
+    # one order, whatever the tasks' order, so that folds are the same in every run
+    rows.sort(key=lambda r: zlib.crc32(r["x"]))
     x = {k: np.array([np.frombuffer(bytes(r["x"]), np.float32) for r in rows if r["kind"] == k]).reshape(-1, WIDTH) for k in (0, 1)}
-    return fit(x[1], x[0], prior)
+    return fit(x[1], x[0], class_prior(x[1], x[0]))
 
 
 def score(docs: DataFrame, scorer: Scorer, carry: bool = False) -> DataFrame:

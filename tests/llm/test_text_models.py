@@ -241,6 +241,51 @@ def test_non_negative_risk_separates_without_negatives():
     assert (scorer.score(bad) < 0.3).mean() > 0.9
 
 
+def test_risk_slopes_by_differences():
+    """Slopes of both branches against differences of the written-out risk."""
+    rng = np.random.default_rng(3)
+
+    def negative(zp, zu, prior):
+        return np.mean([np.log(1 + np.exp(z)) for z in zu]) - prior * np.mean([np.log(1 + np.exp(z)) for z in zp])
+
+    def risk(zp, zu, prior):
+        return prior * np.mean([np.log(1 + np.exp(-z)) for z in zp]) + negative(zp, zu, prior)
+
+    for zp, zu, prior in ((rng.normal(0, 1, 5), rng.normal(0, 1, 7), 0.4), (rng.normal(3, 1, 5), rng.normal(-3, 1, 7), 0.9)):
+        below = negative(zp, zu, prior) < 0
+        target = (lambda a, b: -negative(a, b, prior)) if below else (lambda a, b: risk(a, b, prior))
+        gp, gu = positive_unlabelled.slopes(zp, zu, prior)
+        for i in range(len(zp)):
+            d = np.eye(len(zp))[i] * 1e-5
+            assert gp[i] / len(zp) == pytest.approx((target(zp + d, zu) - target(zp - d, zu)) / 2e-5, abs=1e-7)
+        for i in range(len(zu)):
+            d = np.eye(len(zu))[i] * 1e-5
+            assert gu[i] / len(zu) == pytest.approx((target(zp, zu + d) - target(zp, zu - d)) / 2e-5, abs=1e-7)
+
+
+@pytest.mark.parametrize("share", [0.3, 0.6, 0.9])
+def test_prior_from_two_samples(share):
+    rng = np.random.default_rng(4)
+    good, n = rng.normal(1.5, 1, (6000, 3)), int(4000 * share)
+    mixed = np.concatenate([good[:n], rng.normal(-1.5, 1, (4000 - n, 3))])
+    rng.shuffle(mixed)
+    assert positive_unlabelled.class_prior(good[4000:], mixed) == pytest.approx(share, abs=0.05)
+    assert positive_unlabelled.class_prior(good[:1], mixed) == 0.5
+
+
+def test_quality_from_positive_labels_alone(spark, root):
+    """The same prior whether negatives are labelled or not, and the model tells them apart. On some
+    hundred positives: with a few dozen the confidence limit is wide and the prior errs high."""
+    root = root.replace("sf0.001", "sf0.01")
+    docs, labels = tables(spark, root, "documents"), tables(spark, root, "labels")
+    remainder = crc_remainder("doc_id", 5)
+    scorer = positive_unlabelled.learn(docs, labels.where("quality = 1"), remainder != 0)
+    assert scorer.prior == positive_unlabelled.learn(docs, labels, remainder != 0).prior
+    found = positive_unlabelled.score(docs, scorer).join(labels, "doc_id").where("quality is not null").toPandas()
+    good, bad = found[found.quality == 1].score.to_numpy(), found[found.quality == 0].score.to_numpy()
+    assert np.mean([(x > bad).mean() for x in good]) > 0.97 and (bad >= 0.3).mean() < 0.05
+
+
 def test_quality_cases(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 0), (7, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     scorer = positive_unlabelled.learn(docs, labels, F.lit(True))
