@@ -7,7 +7,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tastemill.session import side_by_side
+from tastemill.session import cut, side_by_side
 
 
 def cluster_means(df: DataFrame, cluster: str, feature: str) -> DataFrame:
@@ -23,11 +23,15 @@ def relabel_clusters(df: DataFrame, cluster: str, feature: str, ascending: bool
     return df.join(F.broadcast(ranks), cluster).withColumn(cluster, F.col("_rank")).drop("_rank")
 
 
-def _weighted_values(df: DataFrame, feature: str) -> DataFrame:
-    """Distinct values with their counts: the same clustering from far fewer rows."""
+def _weighted_values(df: DataFrame, feature: str, held: bool = False) -> DataFrame:
+    """Distinct values with their counts: the same clustering from far fewer rows.
+
+    ``held`` writes the fold once. Read again it has as many partitions as its size asks for, not as
+    many as the shuffle behind it: a fit runs a job for each of its steps over all of them.
+    """
     values = df.select(F.col(feature).cast("double").alias(feature)).dropna()
     counted = values.groupBy(feature).agg(F.count("*").cast("double").alias("weight"))
-    return VectorAssembler(inputCols=[feature], outputCol="features").transform(counted)
+    return VectorAssembler(inputCols=[feature], outputCol="features").transform(cut(counted, "values") if held else counted)
 
 
 def _kmeans(k: int, seed: int, iterations: int) -> KMeans:
@@ -42,17 +46,17 @@ def single_cluster_spread(df: DataFrame, feature: str) -> DataFrame:
 
 def kmeans_elbow(df: DataFrame, feature: str, ks: range = range(1, 10), seed: int = 7, iterations: int = 1000) -> DataFrame:
     """Within-cluster squares per number of clusters. Spark fits k from 2 on, all at once; 1 is the variance."""
-    models = fit_all(df, feature, [k for k in ks if k > 1], seed, iterations)
+    models = fit_all(_weighted_values(df, feature, held=True), [k for k in ks if k > 1], seed, iterations)
     found = [(k, model.summary.trainingCost) for k, model in models.items()]
     fitted = df.sparkSession.createDataFrame(found, "k int, within_ss double")
     return single_cluster_spread(df, feature).unionByName(fitted) if 1 in ks else fitted
 
 
-def fit_all(df: DataFrame, feature: str, ks: list[int], seed: int = 7, iterations: int = 1000) -> dict[int, KMeansModel]:
-    """A model for every number of clusters, fitted side by side over one fold of the values."""
-    points = _weighted_values(df, feature).cache()
+def fit_all(values: DataFrame, ks: list[int], seed: int = 7, iterations: int = 1000) -> dict[int, KMeansModel]:
+    """A model for every number of clusters, fitted side by side over one held fold of the values."""
+    points = values.cache()
     try:
-        return dict(zip(ks, side_by_side(df.sparkSession, lambda k: _kmeans(k, seed, iterations).fit(points), ks, "clusters"), strict=True))
+        return dict(zip(ks, side_by_side(values.sparkSession, lambda k: _kmeans(k, seed, iterations).fit(points), ks, "clusters"), strict=True))
     finally:
         points.unpersist()
 
@@ -64,9 +68,9 @@ def fixed_points(df: DataFrame, feature: str, ks: list[int], seed: int = 7, iter
     cluster's mean than to their own; ``off`` is the largest distance of a centre from the mean of
     its members. The list of means has k entries, all values meet it row by row.
     """
-    points = _weighted_values(df, feature)
+    points = _weighted_values(df, feature, held=True)
     found = []
-    for k, model in fit_all(df, feature, ks, seed, iterations).items():
+    for k, model in fit_all(points, ks, seed, iterations).items():
         centres = F.array(*[F.lit(float(c[0])) for c in model.clusterCenters()])
         labelled = model.setPredictionCol("_own").transform(points)
         means = labelled.groupBy("_own").agg((F.sum(F.col(feature) * F.col("weight")) / F.sum("weight")).alias("_mean"))

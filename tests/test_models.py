@@ -97,3 +97,22 @@ def test_grid_side_by_side_finds_what_fits_in_a_row_find(data):
         tried = replace(SETTINGS, rank=rank, reg=reg)
         assert recommend.evaluate(recommend.fit_als(train, tried).transform(validation)).first()["rmse"] == pytest.approx(got[rank, reg], rel=1e-5)
     assert got[best.rank, best.reg] == min(got.values()) and best.iterations == SETTINGS.iterations
+
+
+def test_fits_run_over_as_few_partitions_as_the_values_need(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    seen = []
+
+    def fit(points):
+        seen.append((points.rdd.getNumPartitions(), points.count()))
+        return SimpleNamespace(summary=SimpleNamespace(trainingCost=1.0))
+
+    monkeypatch.setattr(clusters, "_kmeans", lambda *a: SimpleNamespace(fit=fit))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        clusters.kmeans_elbow(spark.range(3000).select((F.col("id") % 1000).alias("v")), "v", range(2, 4))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [n for _, n in seen] == [1000, 1000] and max(parts for parts, _ in seen) <= 8
