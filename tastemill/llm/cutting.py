@@ -15,6 +15,7 @@ import math
 import re
 import zlib
 from array import array
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 from itertools import islice
 
@@ -30,7 +31,7 @@ from tastemill.llm.words import tidy
 SHORT = 64  # pieces up to this length are put together before they are rounded
 MAX_COLUMNS = 6000  # patterns tried at most; fewer mean more padding, never a lost piece
 GAP = 0.0005  # share of sequences by which the linear program may miss its optimum
-CACHE_BYTES = 48 << 20  # of pre-tokens and their ids
+CACHE_BYTES = 64 << 20  # of pre-tokens and their ids
 ENTRY_BYTES = 200  # of an entry besides its characters and ids
 TEXTS_AT_ONCE = 2 << 20
 # The split that a byte-level tokenizer file of this kind makes before its merges.
@@ -39,13 +40,40 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in own)
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+def coder_of_pieces(tokenizer) -> Callable[[list[str]], Iterable[list[int]]]:
+    """Ids of single pre-tokens. Where the file only maps bytes to letters before its merges, the
+    merges are asked directly, which saves most of a call; otherwise the whole tokenizer is."""
+    from tokenizers.models import BPE
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    before, model = tokenizer.pre_tokenizer, tokenizer.model
+    if not (tokenizer.normalizer is None and tokenizer.post_processor is None and isinstance(model, BPE) and type(before) is ByteLevel and not before.add_prefix_space):
+        return lambda pieces: (e.ids for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False))
+    letters = byte_letters()
+
+    def lettered(piece: str) -> str:
+        # of printable ASCII only the space has another letter
+        if piece.isascii() and piece.isprintable():
+            return piece.replace(" ", letters[32])
+        return piece.encode().decode("latin-1").translate(letters)
+
+    return lambda pieces: ([t.id for t in model.tokenize(lettered(piece))] for piece in pieces)
+
+
 class Known(dict):
     """Ids of pre-tokens as bytes. A pre-token that is not known stands for itself and waits in
     ``asked`` to be encoded with others."""
 
     def __init__(self, tokenizer):
         super().__init__()
-        self.tokenizer, self.asked, self.held = tokenizer, [], 0
+        self.code, self.asked, self.held = coder_of_pieces(tokenizer), [], 0
 
     def __missing__(self, piece: str) -> str:
         self.asked.append(piece)
@@ -56,8 +84,8 @@ class Known(dict):
         self.asked.clear()
         for at in range(0, len(pieces), 4096):
             some = pieces[at : at + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self[piece] = ids = array("I", e.ids).tobytes()
+            for piece, coded in zip(some, self.code(some), strict=True):
+                self[piece] = ids = array("I", coded).tobytes()
                 self.held += ENTRY_BYTES + len(piece) + len(ids)
 
     def shrink(self) -> None:

@@ -139,6 +139,19 @@ def test_every_id_lies_in_one_piece(spark, docs, size):
         assert at <= size
 
 
+def test_pieces_are_coded_as_the_tokenizer_codes_them():
+    from tokenizers import Tokenizer, normalizers
+
+    pieces = [" word", "word", "'s", "\n\n", " \t", " größer", "日本", " 🙂", "\x00\x7f", "\xa0", "\xad", " 12", " ...", "A", "~"]
+    tokenizer = Tokenizer.from_file(FILE)
+    expected = [e.ids for e in tokenizer.encode_batch(pieces, add_special_tokens=False)]
+    assert list(cutting.coder_of_pieces(tokenizer)(pieces)) == expected
+    assert cutting.byte_letters().keys() == set(range(256)) and len(set(cutting.byte_letters().values())) == 256
+    # another file's steps before the merges are kept
+    tokenizer.normalizer = normalizers.Lowercase()
+    assert list(cutting.coder_of_pieces(tokenizer)(["Word"])) == [tokenizer.encode("word", add_special_tokens=False).ids]
+
+
 def test_columns_reach_the_bound():
     """Halves and thirds: the linear program finds the patterns that leave nothing over."""
     sizes, demand = np.array([2, 3, 5]), np.array([50, 50, 50])
