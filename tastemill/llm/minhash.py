@@ -36,6 +36,7 @@ PER_LONG = 64 // BITS
 LONGS = HASHES // PER_LONG
 MARGIN = 0.12  # four and a half standard deviations of the estimate at a similarity of 0.8
 TILE = 512
+ROWS_AT_ONCE = 64  # of a tile's one side; a pair that is looked at holds the bands of both
 LOW = sum(1 << (BITS * i) for i in range(PER_LONG))
 _FACTORS = np.random.default_rng(91).integers(1, 1 << 62, HASHES, dtype=np.int64).astype(_U) * _U(2) + _U(1)
 
@@ -122,6 +123,14 @@ def estimate(a: str, b: str):
 
 def meet(e: dict[str, np.ndarray], f: dict[str, np.ndarray], key: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """Of one tile, the pairs of different components that may reach the threshold."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for at in range(0, len(e["c"]), ROWS_AT_ONCE):
+        i, j = _meet({k: v[at : at + ROWS_AT_ONCE] for k, v in e.items()}, f, key, percent)
+        found.append((i + at, j))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _meet(e: dict[str, np.ndarray], f: dict[str, np.ndarray], key: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
     i, j = np.nonzero(
         (e["c"][:, None] != f["c"][None, :])
         & ~(e["outside"][:, None] & (e["doc_id"][:, None] >= f["doc_id"][None, :]))

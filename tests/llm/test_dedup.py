@@ -90,6 +90,22 @@ def test_estimate_is_corrected_for_chance():
     assert len(minhash.meet(side(bits[0], 1), side(bits[0], 2), 0, 80)[0]) == 1
 
 
+def test_a_tile_of_near_copies_is_met_in_little_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    n, key = minhash.TILE, 7
+    side = {"doc_id": np.arange(n), "c": np.arange(n), "n": np.full(n, 50), "outside": np.ones(n, bool),
+            "bits": np.zeros((n, minhash.LONGS), np.uint64), "bands": np.full((n, minhash.BANDS), key, np.uint64)}
+    tracemalloc.start()
+    i, j = minhash.meet(side, side, key, 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert list(zip(i, j)) == [(a, b) for a in range(n) for b in range(a + 1, n)]
+    assert peak < 32 << 20
+
+
 def brute_strip(rows, window):
     first = {}
     for i, t in rows:
