@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from tastemill.functions.dates import run_windows
 from tastemill.plans.logical import with_views
-from tastemill.session import configure
-from tastemill.sources.retail import RetailData
+from tastemill.session import bound_tasks, configure
+from tastemill.sources.retail import SCHEMAS, RetailData
 
 # Parameters of the runs on the given tables.
 AS_OF = dt.date(2001, 8, 1)
@@ -49,7 +49,9 @@ class Query:
     oracle: str | None
 
     def __call__(self, spark: SparkSession, root: str) -> DataFrame:
-        return self.run(RetailData(configure(spark), root))
+        data = RetailData(configure(spark), root)
+        bound_tasks(spark, (f"{data.root}/{table}.parquet" for table in SCHEMAS))
+        return self.run(data)
 
 
 QUERIES: dict[str, Query] = {}

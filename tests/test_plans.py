@@ -125,3 +125,33 @@ def test_hot_customer_is_split(eager_skew):
     assert df.count() == lines.where("cust_id % 10 <> 5").count()
     df.collect()
     assert "skew=true" in plan(df)
+
+
+def test_tuned_lists_index_the_profile_once(spark, root, monkeypatch):
+    from tastemill import session
+
+    labels, fresh = [], session.fresh_folder
+    monkeypatch.setattr(session, "fresh_folder", lambda s, label: labels.append(label) or fresh(s, label))
+    all_queries()["recommend_tuned_class_contract"](spark, root)
+    # ranks, profile, one range sort for each id, scores, lists
+    assert sorted(labels) == ["cut", "cut", "profile", "ranges", "ranges", "ranks"]
+
+
+def test_parts_grow_in_number_with_the_input(spark, tmp_path):
+    from tastemill import session
+
+    keys = [*session.TASK_BYTES, session.INITIAL_PARTITIONS]
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB")
+        (tmp_path / "large.parquet").write_bytes(bytes(10 * session.INPUT_PER_PARTITION))
+        session.bound_tasks(spark, [str(tmp_path / "large.parquet"), str(tmp_path / "none.parquet")])
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == "8m"
+        assert session.setting_bytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")) == 16 << 20
+        assert spark.conf.get(session.INITIAL_PARTITIONS) == "10"
+        session.bound_tasks(spark, [])
+        assert spark.conf.get(session.INITIAL_PARTITIONS, None) is None
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
