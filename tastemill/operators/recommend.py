@@ -176,12 +176,14 @@ def scale_scores(recs: DataFrame) -> DataFrame:
     return recs.withColumn("_span", span).withColumn("propensity_score", scaled).drop("_span")
 
 
-def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSettings(), n: int = 15) -> DataFrame:
+def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSettings(), n: int = 15,
+              indexed: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """The n best categories per customer, scored 1 to 100.
 
-    The recommendations are cut once, since score range and output both read them.
+    The recommendations are cut once, since score range and output both read them. ``indexed`` are the
+    ``indexed_scores`` of the profile, where they are there already.
     """
-    scores, users, products = indexed_scores(profile, level)
+    scores, users, products = indexed or indexed_scores(profile, level)
     train = scores
     if not settings.refit_on_all:
         train, _ = split_train_validation(scores, ["user_id", "product_id"], settings.train_share, settings.seed)

@@ -10,6 +10,7 @@ from tastemill.functions.text import concat_key
 from tastemill.levels import Level
 from tastemill.operators.filters import UNKNOWN_KEY, coalesce_counts
 from tastemill.operators.keys import attach_per_key, key_counts, without_keys
+from tastemill.session import cut
 
 BANDS_PER_DOUBLING = 1024
 
@@ -107,10 +108,14 @@ def score_taste(ranked: DataFrame) -> DataFrame:
     return ranked.withColumn("_q", taste_quantiles(ranked).scalar()).withColumn("score", score).drop("_q")
 
 
-def taste_profile(views: DataFrame, sales: DataFrame, level: Level) -> DataFrame:
-    """Score 1 to 5 per customer and category of a level."""
+def taste_profile(views: DataFrame, sales: DataFrame, level: Level, held: bool = False) -> DataFrame:
+    """Score 1 to 5 per customer and category of a level.
+
+    ``held`` cuts the ranks: the quantiles and the scores both read them, and in a plan of their own
+    that runs adaptively the counts behind may run once for each.
+    """
     ranked = with_implicit_rank(taste_counts(views, sales, level))
-    return score_taste(ranked).select(*level.keys, "score")
+    return score_taste(cut(ranked, "ranks") if held else ranked).select(*level.keys, "score")
 
 
 def top_n_per_customer(profile: DataFrame, n: int = 15, score: str = "score", place: str | None = None,

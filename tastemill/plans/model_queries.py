@@ -52,7 +52,7 @@ def _(d):
 
 
 def _recommended(d, level: Level):
-    return recommend.recommend(profile(d, level), level)
+    return recommend.recommend(profile(d, level, held=True), level)
 
 
 def split_sql(level: Level) -> str:
@@ -97,18 +97,18 @@ def recommendation_contract(recs, profile, level: Level):
     return joined.withColumns({"n_recs": F.coalesce("n_recs", F.lit(0)), **flags})
 
 
-def tuned(tastes, level: Level):
+def tuned(indexed):
     """Errors of the grid on a level's validation share, and the settings it chooses."""
-    scores, _users, _products = recommend.indexed_scores(tastes, level)
+    scores, _users, _products = indexed
     train, validation = recommend.split_train_validation(scores, ["user_id", "product_id"])
     return recommend.tune_als(train, validation)
 
 
 def grid_contract(d, level: Level):
     """Each pair of the grid once; the errors are in order and smaller than those of a model that says 0."""
-    tastes = cut(profile(d, level), "profile")
+    tastes = cut(profile(d, level, held=True), "profile")
     nothing = tastes.agg(F.sqrt(F.avg(F.col("score") * F.col("score")))).scalar()
-    grid = tuned(tastes, level)[0]
+    grid = tuned(recommend.indexed_scores(tastes, level))[0]
     return grid.select("rank", "reg", ((F.col("mae") > 0) & (F.col("rmse") >= F.col("mae"))).alias("errors_ordered"), (F.col("rmse") < nothing).alias("beats_zero"))
 
 
@@ -127,18 +127,18 @@ def _register_level(level: Level) -> None:
 
     @query(f"recommend_{level.name}_contract", TASTE_VIEWS, contract_sql(level))
     def _(d):
-        tastes = cut(profile(d, level), "profile")
+        tastes = cut(profile(d, level, held=True), "profile")
         return recommendation_contract(recommend.recommend(tastes, level), tastes, level)
 
     @query(f"recommend_{level.name}_for_all_contract", TASTE_VIEWS, complete_sql(level))
     def _(d):
-        tastes = cut(profile(d, level), "profile")
+        tastes = cut(profile(d, level, held=True), "profile")
         return recommendation_contract(recommend.recommend(tastes, level, COMPLETE), tastes, level)
 
     @query(f"fit_als_residual_{level.name}", TASTE_VIEWS, f"WITH {split_sql(level)} SELECT cust_id, count(*) AS n_ratings, true AS solved FROM split WHERE in_train GROUP BY 1")
     def _(d):
         """Every trained customer's factors solve the ridge equations of the customer's scores."""
-        scores, users, _products = recommend.indexed_scores(profile(d, level), level)
+        scores, users, _products = recommend.indexed_scores(profile(d, level, held=True), level)
         train, _ = recommend.split_train_validation(scores, ["user_id", "product_id"])
         left = recommend.als_residuals(recommend.fit_als(train), train)
         return left.join(users, "user_id").select("cust_id", "n_ratings", (F.col("residual") < MOST_RESIDUAL).alias("solved"))
@@ -167,15 +167,16 @@ for _level in LEVELS.values():
 @query("recommend_division_for_all")
 def _(d):
     """The complete form: the model is fitted on every score, so each customer gets a list."""
-    return recommend.recommend(profile(d, DIVISION), DIVISION, COMPLETE)
+    return recommend.recommend(profile(d, DIVISION, held=True), DIVISION, COMPLETE)
 
 
 @query("recommend_tuned_class_contract", TASTE_VIEWS, contract_sql(LEVELS["class"]))
 def _(d):
     """The lists of the model whose settings the grid has chosen."""
     level = LEVELS["class"]
-    tastes = cut(profile(d, level), "profile")
-    return recommendation_contract(recommend.recommend(tastes, level, tuned(tastes, level)[1]), tastes, level)
+    tastes = cut(profile(d, level, held=True), "profile")
+    indexed = recommend.indexed_scores(tastes, level)
+    return recommendation_contract(recommend.recommend(tastes, level, tuned(indexed)[1], indexed=indexed), tastes, level)
 
 
 @query("category_recommendations")
@@ -188,7 +189,7 @@ def _(d):
 
 @query("tune_als")
 def _(d):
-    return tuned(profile(d, DIVISION), DIVISION)[0]
+    return tuned(recommend.indexed_scores(profile(d, DIVISION, held=True), DIVISION))[0]
 
 
 @query("tune_als_contract", [], GRID_SQL)

@@ -124,8 +124,8 @@ def taste_sql(level: Level) -> str:
 TASTE_VIEWS = ["sales", *CLICK_VIEWS]
 
 
-def profile(d, level: Level):
-    return taste.taste_profile(click_views(d), history(d, level), level)
+def profile(d, level: Level, held: bool = False):
+    return taste.taste_profile(click_views(d), history(d, level), level, held)
 
 
 def deterministic_recs(d, level: Level):
