@@ -27,7 +27,8 @@ def _weighted_values(df: DataFrame, feature: str, held: bool = False) -> DataFra
     """Distinct values with their counts: the same clustering from far fewer rows.
 
     ``held`` writes the fold once. Read again it has as many partitions as its size asks for, not as
-    many as the shuffle behind it: a fit runs a job for each of its steps over all of them.
+    many as the shuffle behind it: a fit runs a job for each of its steps over all of them. Where a
+    fit begins depends on that layout, as on the session's shuffle partitions.
     """
     values = df.select(F.col(feature).cast("double").alias(feature)).dropna()
     counted = values.groupBy(feature).agg(F.count("*").cast("double").alias("weight"))
@@ -46,14 +47,14 @@ def single_cluster_spread(df: DataFrame, feature: str) -> DataFrame:
 
 def kmeans_elbow(df: DataFrame, feature: str, ks: range = range(1, 10), seed: int = 7, iterations: int = 1000) -> DataFrame:
     """Within-cluster squares per number of clusters. Spark fits k from 2 on, all at once; 1 is the variance."""
-    models = fit_all(_weighted_values(df, feature, held=True), [k for k in ks if k > 1], seed, iterations)
+    models = fit_all(_weighted_values(df, feature), [k for k in ks if k > 1], seed, iterations)
     found = [(k, model.summary.trainingCost) for k, model in models.items()]
     fitted = df.sparkSession.createDataFrame(found, "k int, within_ss double")
     return single_cluster_spread(df, feature).unionByName(fitted) if 1 in ks else fitted
 
 
 def fit_all(values: DataFrame, ks: list[int], seed: int = 7, iterations: int = 1000) -> dict[int, KMeansModel]:
-    """A model for every number of clusters, fitted side by side over one held fold of the values."""
+    """A model for every number of clusters, fitted side by side over one fold of the values, held in memory."""
     points = values.cache()
     try:
         return dict(zip(ks, side_by_side(values.sparkSession, lambda k: _kmeans(k, seed, iterations).fit(points), ks, "clusters"), strict=True))

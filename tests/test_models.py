@@ -102,17 +102,17 @@ def test_grid_side_by_side_finds_what_fits_in_a_row_find(data):
 def test_fits_run_over_as_few_partitions_as_the_values_need(spark, monkeypatch):
     from types import SimpleNamespace
 
-    seen = []
+    seen, real = [], clusters._kmeans
 
-    def fit(points):
-        seen.append((points.rdd.getNumPartitions(), points.count()))
-        return SimpleNamespace(summary=SimpleNamespace(trainingCost=1.0))
+    def recorded(*settings):
+        return SimpleNamespace(fit=lambda points: seen.append((points.rdd.getNumPartitions(), points.count())) or real(*settings).fit(points))
 
-    monkeypatch.setattr(clusters, "_kmeans", lambda *a: SimpleNamespace(fit=fit))
+    monkeypatch.setattr(clusters, "_kmeans", recorded)
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "64")
     try:
-        clusters.kmeans_elbow(spark.range(3000).select((F.col("id") % 1000).alias("v")), "v", range(2, 4))
+        found = clusters.fixed_points(spark.range(3000).select((F.col("id") % 1000).alias("v")), "v", [2, 3]).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [n for _, n in seen] == [1000, 1000] and max(parts for parts, _ in seen) <= 8
+    assert sorted((r["k"], r["n_clusters"], r["n_astray"]) for r in found) == [(2, 2, 0), (3, 3, 0)]
