@@ -26,10 +26,10 @@ class ALSSettings:
     train_share: float = 0.8
     refit_on_all: bool = False
     seed: int = 7
-    # User blocks grow with the data and follow the session's shuffle partitions; a
-    # level has few categories.
+    # User blocks grow with the data and follow the session's shuffle partitions. A level has few
+    # categories, but their side of a step reads every rating: its blocks are the tasks it runs in.
     user_blocks: int | None = None
-    item_blocks: int = 4
+    item_blocks: int = 8
 
     def users_in(self, df: DataFrame) -> int:
         return self.user_blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -77,8 +77,12 @@ def als(settings: ALSSettings, user_blocks: int) -> ALS:
 
 
 def steady_layout(ratings: DataFrame, blocks: int) -> DataFrame:
-    """Same rows, same partitions, same order: ALS then gives the same factors again."""
-    return ratings.repartition(blocks, "user_id").sortWithinPartitions("user_id", "product_id")
+    """Same rows, same partitions, same order: ALS then gives the same factors again.
+
+    A partition holds the users of one ALS block, which are those of one remainder, so it hands on one
+    part for each block of products. Users spread by another rule make parts for every pair of blocks.
+    """
+    return ratings.repartitionById(blocks, F.pmod(F.col("user_id"), F.lit(blocks)).cast("int")).sortWithinPartitions("user_id", "product_id")
 
 
 def fit_als(train: DataFrame, settings: ALSSettings = ALSSettings()) -> ALSModel:
@@ -155,10 +159,10 @@ def indexed_scores(profile: DataFrame, level: Level) -> tuple[DataFrame, DataFra
     return cut(scores), users, products
 
 
-def open_recommendations(packed: DataFrame) -> DataFrame:
+def open_recommendations(packed: DataFrame, user: str = "user_id") -> DataFrame:
     """One row per recommendation, ranked from 1 in the order of the list."""
-    return packed.select("user_id", F.posexplode("recommendations").alias("pos", "rec")).select(
-        "user_id",
+    return packed.select(user, F.posexplode("recommendations").alias("pos", "rec")).select(
+        user,
         F.col("rec.product_id").alias("product_id"),
         (F.col("pos") + 1).alias("propensity_rank"),
         F.col("rec.rating").cast("double").alias("propensity_score"),
@@ -180,8 +184,9 @@ def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSetti
               indexed: tuple[DataFrame, DataFrame, DataFrame] | None = None) -> DataFrame:
     """The n best categories per customer, scored 1 to 100.
 
-    The recommendations are cut once, since score range and output both read them. ``indexed`` are the
-    ``indexed_scores`` of the profile, where they are there already.
+    The recommendations are cut once, since score range and output both read them. Lists meet their
+    customers before they are opened, a row for each customer. ``indexed`` are the ``indexed_scores`` of
+    the profile, where they are there already.
     """
     scores, users, products = indexed or indexed_scores(profile, level)
     train = scores
@@ -189,6 +194,6 @@ def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSetti
         train, _ = split_train_validation(scores, ["user_id", "product_id"], settings.train_share, settings.seed)
     model = fit_als(train, settings)
     packed = best_products(model.userFactors, model.itemFactors, n)
-    recs = cut(open_recommendations(packed))
-    named = scale_scores(recs).join(products, "product_id").join(users, "user_id")
+    recs = cut(open_recommendations(packed.join(users, "user_id"), "cust_id"))
+    named = scale_scores(recs).join(products, "product_id")
     return named.select(*level.keys, "propensity_score", "propensity_rank")

@@ -48,12 +48,15 @@ def taste_counts(views: DataFrame, sales: DataFrame, level: Level) -> DataFrame:
 
     Equal to merging the two counts, but both sides are tagged, stacked and counted
     together: one partial aggregate and one exchange instead of two and an outer join.
+    The name is made of the parts, so it is put to the counts and not shuffled with the rows.
     """
+    keys = ["cust_id", *level.columns]
     browses = browse_by_level(views, level).withColumns({"_browse": F.lit(1), "_trans": F.lit(0)})
     buys = trans_by_level(sales, level).withColumns({"_browse": F.lit(0), "_trans": F.lit(1)})
-    rows = browses.unionByName(buys).dropna("any", subset=level.keys)
-    return rows.groupBy(*level.keys).agg(
-        F.sum("_browse").alias("times_browse"), F.sum("_trans").alias("total_transactions"))
+    rows = browses.unionByName(buys).drop("category").dropna("any", subset=keys)
+    counts = rows.groupBy(*keys).agg(F.sum("_browse").alias("times_browse"), F.sum("_trans").alias("total_transactions"))
+    name = concat_key(*[F.col(p) for p in level.parts], sep=" ")
+    return counts.withColumn("category", name).select(*level.keys, "times_browse", "total_transactions")
 
 
 def with_implicit_rank(counts: DataFrame) -> DataFrame:

@@ -58,6 +58,18 @@ def walk(state: DataFrame, products: tuple, longest_after: float, n: int, block:
             out[np.arange(n) < sizes[:, None]] = column.flatten().to_numpy()
             return out
 
+        def ordered(score, product):
+            """One whole number for score and id: the larger comes first, ties to the smaller id."""
+            bits = (score + np.float32(0)).view(np.int32)  # no zero below another
+            bits = bits ^ ((bits >> 31) & nobody)
+            number = bits.astype(np.int64) << 32 | (nobody - product)
+            return np.where(np.isnan(score), np.iinfo(np.int64).min, number)
+
+        def opened(number):
+            """Scores and ids of such numbers."""
+            bits = (number >> 32).astype(np.int32)
+            return (bits ^ ((bits >> 31) & nobody)).view(np.float32), nobody - (number & nobody).astype(np.int32)
+
         def best(user, score, product):
             """One block after the other for the users it may concern."""
             norm, at = np.sqrt((user * user).sum(1)), np.arange(len(user))
@@ -71,10 +83,10 @@ def walk(state: DataFrame, products: tuple, longest_after: float, n: int, block:
                 part = part.astype(np.float32)
                 better = (part >= score[at, -1:]).any(1)
                 rows, part = at[better], part[better]
-                scores = np.concatenate((score[rows], part), 1)
-                found = np.concatenate((product[rows], np.broadcast_to(ids[first : first + block], part.shape)), 1)
-                order = np.lexsort((found, -scores), axis=1)[:, :n]
-                score[rows], product[rows] = np.take_along_axis(scores, order, 1), np.take_along_axis(found, order, 1)
+                both = np.concatenate((ordered(score[rows], product[rows]), ordered(part, ids[first : first + block])), 1)
+                most = np.partition(both, both.shape[1] - n, axis=1)[:, -n:]
+                most.sort(axis=1)
+                score[rows], product[rows] = opened(most[:, ::-1])
 
         for batch in batches:
             for first in range(0, batch.num_rows, USERS_AT_ONCE):

@@ -116,3 +116,27 @@ def test_fits_run_over_as_few_partitions_as_the_values_need(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert [n for _, n in seen] == [1000, 1000] and max(parts for parts, _ in seen) <= 8
     assert sorted((r["k"], r["n_clusters"], r["n_astray"]) for r in found) == [(2, 2, 0), (3, 3, 0)]
+
+
+def test_a_partition_of_the_layout_is_a_block_of_users(spark):
+    ratings = spark.range(400).select((F.col("id") % 50).cast("int").alias("user_id"), (F.col("id") % 8).cast("int").alias("product_id"), F.lit(1.0).alias("score"))
+    held = recommend.steady_layout(ratings, 7).select("user_id", F.spark_partition_id().alias("part")).collect()
+    assert len(held) == 400 and all(r.part == r.user_id % 7 for r in held)
+
+
+def test_lists_meet_their_customers_before_they_are_opened(data, monkeypatch):
+    seen = []
+
+    def noted(df, *label):
+        seen.append(df.columns)
+        return df
+
+    tastes = recommend.cut(profile(data, LEVEL))
+    indexed = recommend.indexed_scores(tastes, LEVEL)
+    monkeypatch.setattr(recommend, "cut", noted)
+    recommend.recommend(tastes, LEVEL, SETTINGS, indexed=indexed)
+    assert seen == [["cust_id", "product_id", "propensity_rank", "propensity_score"]]
+
+
+def test_the_categories_side_of_a_fit_runs_in_more_than_four_tasks():
+    assert recommend.als(recommend.ALSSettings(), 200).getNumItemBlocks() > 4

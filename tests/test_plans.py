@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import pytest
 
+from tastemill.levels import LEVELS
+from tastemill.operators import taste
 from tastemill.plans.catalog import all_queries
 
 WIDE = [
@@ -155,3 +157,15 @@ def test_parts_grow_in_number_with_the_input(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_counts_do_not_shuffle_the_name(data):
+    level = LEVELS["designer_class"]
+    rows = data.sales("cust_id", *level.columns)
+    views = data.spark.createDataFrame([(1, "a", 2, "b", 3), (1, "a", 2, None, 3), (None, "a", 2, "b", 3)], "cust_id long, designer string, designer_id int, class string, class_id int")
+    counts = taste.taste_counts(views, rows, level)
+    exchanges = [line for line in plan(counts).splitlines() if "Exchange hashpartitioning(cust_id" in line]
+    assert exchanges and not any("category" in line for line in exchanges)
+    assert counts.columns == [*level.keys, "times_browse", "total_transactions"]
+    only = taste.taste_counts(views, rows.where("false"), level).collect()
+    assert [tuple(r) for r in only] == [(1, "a b", 2, "a", 3, "b", 1, 0)]

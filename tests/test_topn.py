@@ -84,3 +84,10 @@ def test_users_stop_early(spark):
     finally:
         topn.walk = original
     assert len(runs) == 1 and all({p for p, _ in x} <= set(range(40)) for x in got.values())
+
+
+def test_zeros_of_both_signs_are_equal(spark):
+    factors = np.array([[1.0, -0.0], [1.0, 0.0], [-1.0, 0.0], [2.0, 1.0]], np.float32)
+    users = np.array([[0.0, 1.0], [0.0, -1.0], [-0.0, 0.0]], np.float32)
+    got = lists(topn.best_products(table(spark, users, range(3)), table(spark, factors, [9, 4, 7, 5]), 3, 100, 2))
+    assert [[p for p, _ in got[u]] for u in range(3)] == [[5, 4, 7], [4, 7, 9], [4, 5, 7]]
