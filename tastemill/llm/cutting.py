@@ -40,6 +40,20 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 ASCII_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 
+def wide_split() -> Callable[[str], list[str]]:
+    """``SPLIT`` for texts of the first 65,536 code points, by the standard library's engine: its classes are
+    bitmaps there. Letters, numbers and spaces are those of the engine that knows them by name."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x10000)]))
+
+    def ranges(name: str) -> str:
+        return "".join(f"{re.escape(run[0])}-{re.escape(run[-1])}" for run in regex.findall(f"{name}+", every) if run)
+
+    letter, number, space = map(ranges, (r"\p{L}", r"\p{N}", r"\s"))
+    # surrogates lie between the two parts of the range and are neither
+    return re.compile(
+        rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+").findall
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte in a byte-level vocabulary."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -112,8 +126,15 @@ class Ids:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find = regex.compile(split).findall if split else None
         self.find_ascii = re.compile(ASCII_SPLIT).findall if split == SPLIT else self.find
+        self.find_wide = wide_split() if split == SPLIT else self.find
         self.known = Known(self.tokenizer)
 
+    def finder(self, text: str) -> Callable[[str], list[str]]:
+        if text.isascii():
+            return self.find_ascii
+        # a code point beyond the first 65,536 takes two units
+        return self.find_wide if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.find
+
     def of(self, texts: list[str]) -> list[np.ndarray]:
         whole = [i for i, t in enumerate(texts) if self.find is None or any(a in t for a in self.added)]
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -124,8 +145,7 @@ class Ids:
         for i, text in enumerate(texts):
             if out[i] is None:
                 before = len(known.asked)
-                find = self.find_ascii if text.isascii() else self.find
-                parts = list(map(known.__getitem__, find(text)))
+                parts = list(map(known.__getitem__, self.finder(text)(text)))
                 if len(known.asked) > before:
                     waiting.append((i, parts))
                 else:

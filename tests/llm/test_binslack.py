@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tastemill.llm import binslack
+from tastemill.llm import binslack, cutting
 from tastemill.llm.queries import QUERIES
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -136,3 +138,25 @@ def test_query_columns(spark, root):
     assert dict(out.dtypes) | {"piece": "int"} == {c: "bigint" for c in out.columns} | {"piece": "int"}
     total = out.selectExpr("sum(length)").first()[0]
     assert out.select("sequence_id").distinct().count() <= math.ceil(total / 2048) + 1
+
+
+def test_split_of_wide_texts_is_the_split_by_class_names():
+    wide, named = cutting.wide_split(), regex.compile(cutting.SPLIT).findall
+    for code in [*range(0xD800), *range(0xE000, 0x10000)]:
+        c = chr(code)
+        text = f"a{c}{c} {c}9 é{c}  {c}\n {c}'s"
+        assert wide(text) == named(text), hex(code)
+    pool = [chr(c) for c in [*range(0x250), *range(0x2000, 0x2070), 0x3000, 0xFEFF, 0x661, 0x2164]] + [" "] * 80 + list("'strevmld") * 5
+    draw = random.Random(3)
+    for _ in range(3000):
+        text = "".join(draw.choices(pool, k=draw.randrange(60)))
+        assert wide(text) == named(text), ascii(text)
+
+
+def test_texts_choose_their_engine():
+    coder = cutting._ids(FILE, cutting.SPLIT)
+    assert coder.finder("plain") is coder.find_ascii
+    assert coder.finder("naïve 中") is coder.find_wide
+    assert coder.finder("\U0001d400 \U00020000") is coder.find
+    texts = ["naïve café’s 中文 ٣", "\U0001d400b \U00020000c é", "", "﻿　 x"]
+    assert [list(ids) for ids in coder.of(texts)] == [coder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
