@@ -86,8 +86,14 @@ def steady_layout(ratings: DataFrame, blocks: int) -> DataFrame:
 
 
 def fit_als(train: DataFrame, settings: ALSSettings = ALSSettings()) -> ALSModel:
+    """A model of the ratings. The layout is held while it is fitted: the fit asks for its rows twice, and
+    the split and the shuffle behind them would run each time."""
     blocks = settings.users_in(train)
-    return als(settings, blocks).fit(steady_layout(train, blocks))
+    layout = steady_layout(train, blocks).persist()
+    try:
+        return als(settings, blocks).fit(layout)
+    finally:
+        layout.unpersist()
 
 
 def evaluate(predictions: DataFrame, label: str = "score", prediction: str = "prediction") -> DataFrame:
@@ -146,11 +152,12 @@ def indexed_scores(profile: DataFrame, level: Level) -> tuple[DataFrame, DataFra
     """Scores by dense user and product id, with the two id tables.
 
     Profile and scores are cut, since indexes and scores read the one, and every
-    fit and every iteration of a grid the other.
+    fit and every iteration of a grid the other. A held profile reads its cut ranks and is not
+    written again.
     """
     profile = cut(profile)
-    users = index_ids(profile, ["cust_id"], "user_id")
-    products = index_ids(profile, level.product_columns, "product_id")
+    wanted = [(["cust_id"], "user_id"), (level.product_columns, "product_id")]
+    users, products = side_by_side(profile.sparkSession, lambda of: index_ids(profile, *of), wanted, "index")
     scores = (
         profile.join(users, "cust_id")
         .join(products, level.product_columns)

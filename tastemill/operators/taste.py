@@ -10,7 +10,7 @@ from tastemill.functions.text import concat_key
 from tastemill.levels import Level
 from tastemill.operators.filters import UNKNOWN_KEY, coalesce_counts
 from tastemill.operators.keys import attach_per_key, key_counts, without_keys
-from tastemill.session import cut
+from tastemill.session import as_cut, cut
 
 BANDS_PER_DOUBLING = 1024
 
@@ -105,20 +105,28 @@ def taste_quantiles(ranked: DataFrame) -> DataFrame:
     return found.select(F.when(F.col("all").isNotNull(), F.array(*between)).alias("quantiles"))
 
 
-def score_taste(ranked: DataFrame) -> DataFrame:
-    """The score next to the rank; the quantiles become a column, so the plan holds them once."""
+def score_taste(ranked: DataFrame, quantiles: DataFrame | None = None) -> DataFrame:
+    """The score next to the rank; the quantiles become a column, so the plan holds them once.
+
+    ``quantiles`` is the row of ``taste_quantiles``, where it is there already.
+    """
     score = scoring.taste_score(F.col("rank_implicit"), F.col("_q"))
-    return ranked.withColumn("_q", taste_quantiles(ranked).scalar()).withColumn("score", score).drop("_q")
+    found = taste_quantiles(ranked) if quantiles is None else quantiles
+    return ranked.withColumn("_q", found.scalar()).withColumn("score", score).drop("_q")
 
 
 def taste_profile(views: DataFrame, sales: DataFrame, level: Level, held: bool = False) -> DataFrame:
     """Score 1 to 5 per customer and category of a level.
 
     ``held`` cuts the ranks: the quantiles and the scores both read them, and in a plan of their own
-    that runs adaptively the counts behind may run once for each.
+    that runs adaptively the counts behind may run once for each. The quantiles are cut too, one row,
+    so that the scores follow from the ranks wherever they are read and are not written themselves.
     """
     ranked = with_implicit_rank(taste_counts(views, sales, level))
-    return score_taste(cut(ranked, "ranks") if held else ranked).select(*level.keys, "score")
+    if not held:
+        return score_taste(ranked).select(*level.keys, "score")
+    ranked = cut(ranked.select(*level.keys, "rank_implicit"), "ranks")
+    return as_cut(score_taste(ranked, cut(taste_quantiles(ranked), "quantiles")).select(*level.keys, "score"))
 
 
 def top_n_per_customer(profile: DataFrame, n: int = 15, score: str = "score", place: str | None = None,

@@ -179,11 +179,14 @@ class RetailData:
                 (_c("o_orderdate") >= F.lit(begin).cast("timestamp_ntz"))
                 & (_c("o_orderdate") < F.lit(end + dt.timedelta(days=1)).cast("timestamp_ntz")))
         rows = self.table("lineitem").join(orders, _c("l_orderkey") == _c("o_orderkey"))
-        if any(c in part_cols for c in wanted):
-            rows = rows.join(self.table("part"), _c("l_partkey") == _c("p_partkey"))
+        of_part = [c for c in wanted if c in part_cols]
+        if of_part:
+            # What a part says is worked out once a part, not once a line.
+            part = self.table("part").select("p_partkey", *[part_cols[c].alias(c) for c in of_part])
+            rows = rows.join(part, _c("l_partkey") == _c("p_partkey"))
         if any(c in place_cols for c in wanted):
             rows = rows.join(self.table("supplier"), _c("l_suppkey") == _c("s_suppkey"))
-        return rows.select(*[every[c].alias(c) for c in wanted])
+        return rows.select(*[_c(c) if c in part_cols else every[c].alias(c) for c in wanted])
 
     def register_lines(self) -> DataFrame:
         rows = self.table("lineitem").join(self.table("orders"), _c("l_orderkey") == _c("o_orderkey"))
@@ -248,7 +251,8 @@ class RetailData:
     def clickstream(self) -> DataFrame:
         kind = _c("event_type")
         item = F.get_json_object("props", "$.k").cast("int")
-        return self.table("events").withColumn("k", item).select(
+        # A list of one, opened: later filters on the product list would repeat the JSON parse otherwise.
+        return self.table("events").withColumn("k", F.explode(F.array(item))).select(
             "event_id",
             _c("ts").alias("date_time"),
             _c("ts").cast("date").alias("event_date"),

@@ -140,3 +140,31 @@ def test_lists_meet_their_customers_before_they_are_opened(data, monkeypatch):
 
 def test_the_categories_side_of_a_fit_runs_in_more_than_four_tasks():
     assert recommend.als(recommend.ALSSettings(), 200).getNumItemBlocks() > 4
+
+
+def test_a_fit_works_its_ratings_out_once(spark):
+    """The fit asks for its rows twice; what is behind them runs once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(score):
+        seen.add(1)
+        return score
+
+    rows = [(u, p, float((u * p) % 5 + 1)) for u in range(30) for p in range(8)]
+    ratings = spark.createDataFrame(rows, "user_id int, product_id int, score double").withColumn("score", F.udf(counted, "double")("score"))
+    recommend.fit_als(ratings, SETTINGS)
+    assert seen.value == len(rows)
+
+
+def test_a_held_profile_is_not_written_again(data):
+    held = profile(data, LEVEL, held=True)
+    assert recommend.cut(held) is held
+    assert held.exceptAll(profile(data, LEVEL)).isEmpty() and profile(data, LEVEL).exceptAll(held).isEmpty()
+
+
+def test_a_held_profile_of_nothing(spark):
+    from tastemill.operators import taste
+
+    columns = ", ".join(f"{c} {'bigint' if c.endswith('_id') else 'string'}" for c in ["cust_id", *LEVEL.columns])
+    nothing = spark.createDataFrame([], columns)
+    assert taste.taste_profile(nothing, nothing, LEVEL, held=True).isEmpty()

@@ -169,3 +169,15 @@ def test_counts_do_not_shuffle_the_name(data):
     assert counts.columns == [*level.keys, "times_browse", "total_transactions"]
     only = taste.taste_counts(views, rows.where("false"), level).collect()
     assert [tuple(r) for r in only] == [(1, "a b", 2, "a", 3, "b", 1, 0)]
+
+
+def test_an_event_is_parsed_once(data):
+    """A parse in a filter and in a column would be two."""
+    views = data.clickstream().where("product_list IS NOT NULL").select("event_id", "product_list")
+    assert plan(views).count("get_json_object(") == 1
+
+
+def test_what_a_part_says_is_worked_out_below_the_join(data):
+    lines = data.sales("cust_id", "class_id", "class")
+    above = lines._jdf.queryExecution().optimizedPlan().toString().split("Join ", 1)[0]
+    assert "split" not in above and "ascii" not in above
