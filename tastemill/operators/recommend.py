@@ -15,6 +15,8 @@ from tastemill.operators.keys import ordered_index
 from tastemill.operators.topn import best_products
 from tastemill.session import cut, side_by_side
 
+TASKS_PER_CORE = 4  # in which lists are made: enough that none waits long for the last
+
 
 @dataclass(frozen=True)
 class ALSSettings:
@@ -148,12 +150,12 @@ def tune_als(train: DataFrame, validation: DataFrame, ranks: tuple = (3, 5), reg
     return grid, min(zip(rows, tries, strict=True), key=lambda pair: pair[0][2])[1]
 
 
-def indexed_scores(profile: DataFrame, level: Level) -> tuple[DataFrame, DataFrame, DataFrame]:
+def indexed_scores(profile: DataFrame, level: Level, held: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Scores by dense user and product id, with the two id tables.
 
     Profile and scores are cut, since indexes and scores read the one, and every
-    fit and every iteration of a grid the other. A held profile reads its cut ranks and is not
-    written again.
+    fit and every iteration of a grid the other. Without ``held`` the scores are not cut, for a
+    single fit, which reads them once.
     """
     profile = cut(profile)
     wanted = [(["cust_id"], "user_id"), (level.product_columns, "product_id")]
@@ -163,7 +165,7 @@ def indexed_scores(profile: DataFrame, level: Level) -> tuple[DataFrame, DataFra
         .join(products, level.product_columns)
         .select("user_id", "product_id", F.col("score").cast("double").alias("score"))
     )
-    return cut(scores), users, products
+    return cut(scores) if held else scores, users, products
 
 
 def open_recommendations(packed: DataFrame, user: str = "user_id") -> DataFrame:
@@ -195,12 +197,14 @@ def recommend(profile: DataFrame, level: Level, settings: ALSSettings = ALSSetti
     customers before they are opened, a row for each customer. ``indexed`` are the ``indexed_scores`` of
     the profile, where they are there already.
     """
-    scores, users, products = indexed or indexed_scores(profile, level)
+    scores, users, products = indexed or indexed_scores(profile, level, held=False)
     train = scores
     if not settings.refit_on_all:
         train, _ = split_train_validation(scores, ["user_id", "product_id"], settings.train_share, settings.seed)
     model = fit_als(train, settings)
-    packed = best_products(model.userFactors, model.itemFactors, n)
+    # Factors lie in a partition for each user block; starting a Python task for each took longer than its lists.
+    factors = model.userFactors.coalesce(TASKS_PER_CORE * profile.sparkSession.sparkContext.defaultParallelism)
+    packed = best_products(factors, model.itemFactors, n)
     recs = cut(open_recommendations(packed.join(users, "user_id"), "cust_id"))
     named = scale_scores(recs).join(products, "product_id")
     return named.select(*level.keys, "propensity_score", "propensity_rank")
